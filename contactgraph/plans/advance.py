@@ -1,0 +1,53 @@
+"""One step of a contact network as a batch job from snapshot to snapshot."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from contactgraph.operators.curves import quota_at
+from contactgraph.operators.graph import HUB_LINKS, rescore
+from contactgraph.operators.links import propose_links
+from contactgraph.operators.relabel import relabel
+from contactgraph.schema import Network
+from contactgraph.session import cut_lineage
+from contactgraph.sources.snapshots import read_snapshot, write_snapshot
+
+
+def advance_snapshot(
+    spark: SparkSession,
+    base: str,
+    step: int,
+    quotas: DataFrame,
+    *,
+    seed,
+    alpha: float = -2.0,
+    walk_steps: int = 10,
+    link_alpha: float = 10.0,
+    link_beta: float = 10.0,
+    link_sdf: float = 10.0,
+    link_mode: str = "skip",
+    scope: str = "both",
+    hub_links: int = HUB_LINKS,
+    fmt: str = "parquet",
+) -> Network:
+    """Read ``step``, rescore, relabel by the quota of ``step + 1``, add proposed
+    links, write ``step + 1`` and return it.
+
+    ``quotas`` must hold exactly one row for the step, i.e. one scenario. A
+    rerun overwrites the same output with the same content.
+    """
+    due = quota_at(quotas, step + 1).limit(2).collect()
+    if len(due) != 1:
+        raise ValueError(f"need one quota row for step {step + 1}, found {len(due)}")
+    quota = due[0]
+    now = read_snapshot(spark, base, step, fmt)
+    scores = rescore(now, alpha, walk_steps, scope, hub_links=hub_links)
+    draw = f"{seed}-{step + 1}"
+    labelled = relabel(now, scores, quota["new_infected"], quota["new_recovered"], draw)
+    edges = cut_lineage(labelled.edges)
+    labelled = Network(labelled.vertices, edges)
+    new = propose_links(labelled, link_alpha, link_beta, link_sdf, draw, link_mode)
+    write_snapshot(
+        Network(labelled.vertices, edges.unionByName(new)), base, step + 1, fmt, input_step=step
+    )
+    return read_snapshot(spark, base, step + 1, fmt)
