@@ -127,8 +127,7 @@ class _Neighbours:
     which is bounded because the number of hubs is (see HUB_SHARE).
     """
 
-    def __init__(self, links, degrees, partitions: int, hub_links: int, hold):
-        n_links = degrees.agg(F.coalesce(F.sum("degree"), F.lit(0))).first()[0]
+    def __init__(self, links, degrees, n_links: int, partitions: int, hub_links: int, hold):
         limit = max(hub_links, int(n_links * HUB_SHARE))
         found = []
         if n_links > limit:
@@ -163,9 +162,7 @@ class _Neighbours:
         return terms.groupBy(F.col("j").alias("id")).agg(F.sum("x").alias("total"))
 
 
-def _walk_vertices(
-    net: Network, links: DataFrame, alpha: float, scope: str, partitions: int
-) -> DataFrame:
+def _walk_vertices(net: Network, links: DataFrame, alpha: float, scope: str) -> DataFrame:
     """``(id, weight, degree)`` of active vertices; no degree when isolated."""
     degrees = links.groupBy(F.col("i").alias("id")).agg(F.count("*").alias("degree"))
     active = active_vertices(net.vertices).select(
@@ -176,11 +173,7 @@ def _walk_vertices(
         touched = both_directions(net.edges).select(F.col("i").alias("id")).distinct()
         lone = active.select("id").join(touched, "id", "left_semi").join(degrees, "id", "left_anti")
         degrees = degrees.unionByName(lone.withColumn("degree", F.lit(0).cast("long")))
-    return (
-        active.join(degrees, "id", "left")
-        .repartition(partitions, "id")
-        .sortWithinPartitions("id")
-    )
+    return active.join(degrees, "id", "left")
 
 
 def walk_rank(
@@ -188,7 +181,7 @@ def walk_rank(
     alpha: float = -2.0,
     steps: int = 10,
     scope: str = "both",
-    cut_every: int = 10,
+    cut_every: int = 5,
     hub_links: int = HUB_LINKS,
 ) -> DataFrame:
     """``(id, r)`` after ``steps`` steps of the softmax walk from the uniform
@@ -210,10 +203,11 @@ def walk_rank(
         return df
 
     try:
-        links = hold(both_directions(_weighted_edges(net, scope)))
-        vertices = hold(_walk_vertices(net, links, alpha, scope, partitions))
-        n, n_isolated, weight, isolated_weight = vertices.agg(
+        links = both_directions(cut_lineage(_weighted_edges(net, scope)))
+        vertices = cut_lineage(_walk_vertices(net, links, alpha, scope))
+        n, n_links, n_isolated, weight, isolated_weight = vertices.agg(
             F.count("*"),
+            F.coalesce(F.sum("degree"), F.lit(0)),
             F.count_if(F.col("degree").isNull()),
             F.coalesce(F.sum("weight"), F.lit(0.0)),
             F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("weight"))), F.lit(0.0)),
@@ -227,7 +221,8 @@ def walk_rank(
         ]
         rank = linked.select("id", F.lit(start).alias("r"))
         if n > n_isolated and steps:
-            near = _Neighbours(links, linked.select("id", "degree"), partitions, hub_links, hold)
+            degrees = linked.select("id", "degree")
+            near = _Neighbours(links, degrees, n_links, partitions, hub_links, hold)
             around = near.sums(linked.select("id", F.col("weight").alias("x")))
             base = hold(
                 linked.select("id", "weight")
@@ -262,7 +257,7 @@ def rescore(
     alpha: float = -2.0,
     steps: int = 10,
     scope: str = "both",
-    cut_every: int = 10,
+    cut_every: int = 5,
     hub_links: int = HUB_LINKS,
 ) -> DataFrame:
     """``(id, score)`` with ``score + (1 - score)·r`` for active vertices."""
