@@ -15,3 +15,12 @@ def portable_uniform(seed, *cols) -> Column:
     text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
     head = F.substring(F.md5(text), 1, _HEX_DIGITS)
     return F.conv(head, 16, 10).cast("bigint") / F.lit(float(16**_HEX_DIGITS))
+
+
+def uniform_text(seed, *parts: str) -> str:
+    """:func:`portable_uniform` as SQL text over SQL expressions, for plans
+    built in a loop."""
+    quoted = str(seed).replace("\\", "\\\\").replace("'", "\\'")
+    text = ", ".join([f"'{quoted}'", *(f"cast({p} as string)" for p in parts)])
+    head = f"substring(md5(concat_ws('|', {text})), 1, {_HEX_DIGITS})"
+    return f"(cast(conv({head}, 16, 10) as bigint) / {float(16**_HEX_DIGITS)!r}D)"

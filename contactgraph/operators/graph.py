@@ -13,7 +13,7 @@ from contactgraph.session import cut_lineage
 # A vertex is a hub when it holds more than this share of all link ends and
 # more than HUB_LINKS of them. Shares sum to one, so there are at most
 # 1 / HUB_SHARE hubs and their rows may be collected and broadcast.
-HUB_SHARE = 1e-4
+HUB_SHARE = 1e-5
 HUB_LINKS = 1_000_000
 
 
@@ -101,21 +101,38 @@ def _weighted_edges(net: Network, scope: str) -> DataFrame:
     return active_edges(net, "both")
 
 
-def transition_matrix(net: Network, alpha: float = -2.0, scope: str = "both") -> DataFrame:
+def transition_matrix(
+    net: Network, alpha: float = -2.0, scope: str = "both", isolated_rows: bool = True
+) -> DataFrame:
     """Row-stochastic ``(i, j, value)``: from i to j with weight exp(alpha·score_j)
-    among i's closed neighbourhood. Rows of isolated vertices are included."""
-    weights = active_vertices(net.vertices).select(
+    among i's closed neighbourhood.
+
+    The row of an isolated vertex covers all active vertices; leave those rows
+    out with ``isolated_rows=False``.
+    """
+    active = active_vertices(net.vertices)
+    weights = active.select(
         F.col("id").alias("j"), F.exp(F.lit(float(alpha)) * F.col("score")).alias("weight")
     )
-    weighted = (
-        closed_adjacency(net, scope, materialise=True)
-        .join(weights, "j")
-        .select("i", "j", "weight")
+    isolated = isolated_vertices(net, scope).select("id")
+    loops = active.join(isolated, "id", "left_anti").select(
+        F.col("id").alias("i"), F.col("id").alias("j")
     )
+    links = both_directions(_weighted_edges(net, scope))
+    weighted = links.unionByName(loops).join(weights, "j")
     totals = weighted.groupBy("i").agg(F.sum("weight").alias("total"))
-    return weighted.join(totals, "i").select(
+    rows = weighted.join(totals, "i").select(
         "i", "j", (F.col("weight") / F.col("total")).alias("value")
     )
+    if not isolated_rows:
+        return rows
+    # these rows are all alike: each weight's share of the sum of weights
+    size, total = weights.agg(F.count("*"), F.sum("weight")).first()
+    shares = weights.select(
+        F.col("j").alias("i"), (F.col("weight") / F.lit(total or 1.0)).alias("value")
+    )
+    alike = vec_outer(vec_constant_on(isolated, 1.0, size), SparseVec(shares, size))
+    return rows.unionByName(alike.df)
 
 
 class _Neighbours:

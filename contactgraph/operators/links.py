@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactgraph.functions.hashing import portable_uniform
+from contactgraph.functions.hashing import portable_uniform, uniform_text
 from contactgraph.functions.ordering import dense_index
 from contactgraph.schema import EDGES, Network, conform
 
@@ -20,6 +20,10 @@ def _eligible_ids(net: Network, eligible: Column | None) -> DataFrame:
     return vertices.select("id")
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def missing_pairs(net: Network, eligible: Column | None = None) -> DataFrame:
     """All pairs ``src < dst`` of (eligible) vertices that have no edge.
 
@@ -35,7 +39,7 @@ def missing_pairs(net: Network, eligible: Column | None = None) -> DataFrame:
     sources = ids.select(
         F.col("id").alias("src"),
         F.explode(F.sequence(F.col("block"), F.lit(last_block).cast("long"))).alias("block"),
-    )
+    ).repartition(_partitions(net.vertices), "src", "block")
     known = (
         net.edges.join(ids.withColumnRenamed("id", "dst"), "dst")
         .groupBy("src", "block")
@@ -62,10 +66,6 @@ def link_rate(alpha: float, beta: float, sdf: float) -> float:
     return alpha / (alpha + beta + sdf)
 
 
-def _some_hit(rate: float, length: Column) -> Column:
-    return -F.expm1(length * F.lit(math.log1p(-rate)))
-
-
 def skip_levels(rate: float) -> int:
     """Number of halvings of a target range holding about one link."""
     return max(0, min(_MAX_LEVELS, math.ceil(math.log2(1.0 / rate))))
@@ -82,47 +82,48 @@ def _sampled_ranks(ids: DataFrame, n: int, rate: float, seed) -> DataFrame:
     """
     levels = skip_levels(rate)
     span = 2**levels
-    last = F.lit(n).cast("long")
-    starts = F.sequence(F.col("idx") + 1, last, F.lit(span).cast("long"))
-    nodes = ids.filter(F.col("idx") < last).select(
-        F.col("id").alias("src"), F.explode(starts).alias("lo")
+
+    def hit(length: str) -> str:
+        return f"(-expm1({length} * {math.log1p(-rate)!r}D))"
+
+    ranges = ids.filter(F.col("idx") < n).selectExpr(
+        "id src", f"explode(sequence(idx + 1, {n}L, {span}L)) lo"
+    )
+    nodes = ranges.selectExpr("src", "lo", f"least({span}L, {n}L - lo + 1) len").filter(
+        f"{uniform_text(seed, chr(39) + 'root' + chr(39), 'src', 'lo')} < {hit('len')}"
     )
-    nodes = nodes.withColumn("len", F.least(F.lit(span).cast("long"), last - F.col("lo") + 1))
-    u = portable_uniform(seed, F.lit("root"), F.col("src"), F.col("lo"))
-    nodes = nodes.filter(u < _some_hit(rate, F.col("len")))
     for level in range(levels, 0, -1):
-        half = F.lit(2 ** (level - 1)).cast("long")
-        left = F.least(half, F.col("len"))
-        right = F.col("len") - left
-        hit, hit_left, hit_right = (_some_hit(rate, x) for x in (F.col("len"), left, right))
-        only_left = hit_left * (1 - hit_right) / hit
-        only_right = hit_right * (1 - hit_left) / hit
-        drawn = nodes.select(
-            "src",
-            "lo",
-            left.alias("left"),
-            right.alias("right"),
-            portable_uniform(seed, F.lit(level), F.col("src"), F.col("lo")).alias("u"),
-            only_left.alias("only_left"),
-            (only_left + only_right).alias("not_both"),
-        )
-        whole = F.col("right") == 0
-        keep_left = whole | (F.col("u") < F.col("only_left")) | (F.col("u") >= F.col("not_both"))
-        keep_right = ~whole & (F.col("u") >= F.col("only_left"))
-        halves = F.array(
-            F.struct(keep_left.alias("keep"), F.col("lo").alias("lo"), F.col("left").alias("len")),
-            F.struct(
-                keep_right.alias("keep"),
-                (F.col("lo") + F.col("left")).alias("lo"),
-                F.col("right").alias("len"),
-            ),
-        )
+        left = f"least({2 ** (level - 1)}L, len)"
         nodes = (
-            drawn.select("src", F.explode(halves).alias("h"))
-            .filter("h.keep")
-            .select("src", "h.lo", "h.len")
+            nodes.selectExpr(
+                "src",
+                "lo",
+                "len",
+                f"{left} l",
+                f"len - {left} r",
+                f"{uniform_text(seed, str(level), 'src', 'lo')} u",
+            )
+            .selectExpr(
+                "src",
+                "lo",
+                "l",
+                "r",
+                "u",
+                f"{hit('l')} * (1 - {hit('r')}) / {hit('len')} only_left",
+                f"{hit('r')} * (1 - {hit('l')}) / {hit('len')} only_right",
+            )
+            .selectExpr(
+                "src",
+                """explode(array(
+                     named_struct('keep', r = 0 or u < only_left or u >= only_left + only_right,
+                                  'lo', lo, 'len', l),
+                     named_struct('keep', r > 0 and u >= only_left,
+                                  'lo', lo + l, 'len', r))) half""",
+            )
+            .filter("half.keep")
+            .selectExpr("src", "half.lo", "half.len")
         )
-    return nodes.select("src", F.col("lo").alias("t"))
+    return nodes.selectExpr("src", "lo t")
 
 
 def propose_links(
@@ -149,6 +150,8 @@ def propose_links(
     if rate >= 1.0:
         return missing_pairs(net, eligible)
     ids = dense_index(_eligible_ids(net, eligible), "id")
-    drawn = _sampled_ranks(ids, ids.count(), rate, seed)
+    # a few bytes per id turn into many links, so spread by count, not by size
+    spread = ids.repartition(_partitions(net.vertices), "id")
+    drawn = _sampled_ranks(spread, ids.count(), rate, seed)
     pairs = drawn.join(ids.select(F.col("id").alias("dst"), F.col("idx").alias("t")), "t")
     return conform(pairs, EDGES).join(net.edges, ["src", "dst"], "left_anti")
