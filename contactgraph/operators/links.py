@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from contactgraph.functions.hashing import portable_uniform, uniform_text
 from contactgraph.functions.ordering import dense_index
 from contactgraph.schema import EDGES, Network, conform
+from contactgraph.session import spread
 
 _BLOCK = 1_024  # target ids per array in missing_pairs
+_SOURCES = 16_384  # about as many sources meet one copy of a target block
 _MAX_LEVELS = 40
 
 
@@ -20,36 +22,43 @@ def _eligible_ids(net: Network, eligible: Column | None) -> DataFrame:
     return vertices.select("id")
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def missing_pairs(net: Network, eligible: Column | None = None) -> DataFrame:
     """All pairs ``src < dst`` of (eligible) vertices that have no edge.
 
     The answer has about n*n/2 rows. They come into being in the last, narrow
     step: what is shuffled is one row per source and block of 1,024 targets,
-    with the targets and the known neighbours as bounded arrays.
+    with the targets and the known neighbours as bounded arrays. A block is
+    met by bounded pieces of the sources, so that no task expands them all.
     """
     ids = dense_index(_eligible_ids(net, eligible), "id")
+    n = ids.count()
+    pieces = max(1, -(-n // _SOURCES))
     block = F.floor((F.col("idx") - 1) / F.lit(_BLOCK)).cast("long")
     ids = ids.select("id", block.alias("block"))
-    targets = ids.groupBy("block").agg(F.array_sort(F.collect_list("id")).alias("targets"))
-    last_block = targets.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0]
+    every_piece = F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)).cast("array<bigint>"))
+    targets = (
+        ids.groupBy("block")
+        .agg(F.array_sort(F.collect_list("id")).alias("targets"))
+        .withColumn("piece", every_piece)
+    )
+    last_block = F.lit(max(n - 1, 0) // _BLOCK).cast("long")
     sources = ids.select(
         F.col("id").alias("src"),
-        F.explode(F.sequence(F.col("block"), F.lit(last_block).cast("long"))).alias("block"),
-    ).repartition(_partitions(net.vertices), "src", "block")
+        F.explode(F.sequence(F.col("block"), last_block)).alias("block"),
+    )
     known = (
         net.edges.join(ids.withColumnRenamed("id", "dst"), "dst")
         .groupBy("src", "block")
         .agg(F.collect_set("dst").alias("known"))
     )
+    sources = sources.join(known, ["src", "block"], "left").withColumn(
+        "piece", F.pmod(F.xxhash64("src"), F.lit(pieces).cast("long"))
+    )
     nothing = F.array().cast("array<bigint>")
     later = F.filter("targets", lambda t: t > F.col("src"))
     pairs = (
-        sources.join(known, ["src", "block"], "left")
-        .join(targets, "block")
+        spread(sources, "block", "piece")
+        .join(targets, ["block", "piece"])
         .select(
             "src",
             F.explode(F.array_except(later, F.coalesce("known", nothing))).alias("dst"),
@@ -150,8 +159,6 @@ def propose_links(
     if rate >= 1.0:
         return missing_pairs(net, eligible)
     ids = dense_index(_eligible_ids(net, eligible), "id")
-    # a few bytes per id turn into many links, so spread by count, not by size
-    spread = ids.repartition(_partitions(net.vertices), "id")
-    drawn = _sampled_ranks(spread, ids.count(), rate, seed)
+    drawn = _sampled_ranks(spread(ids, "id"), ids.count(), rate, seed)
     pairs = drawn.join(ids.select(F.col("id").alias("dst"), F.col("idx").alias("t")), "t")
     return conform(pairs, EDGES).join(net.edges, ["src", "dst"], "left_anti")

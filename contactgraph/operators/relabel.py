@@ -14,7 +14,7 @@ from contactgraph.session import cut_lineage
 def prune_edges(edges: DataFrame, recovered: DataFrame, canonical: bool = False) -> DataFrame:
     """Edges that touch none of the ``recovered`` ids, each once;
     ``canonical=True`` vouches that there are no duplicates to remove."""
-    ids = recovered.select("id").distinct()
+    ids = recovered.select("id")
     kept = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_anti")
     kept = kept.join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
     kept = kept.select("src", "dst")

@@ -1,9 +1,9 @@
 """Sparse vectors ``(i, value)`` and matrices ``(i, j, value)`` as DataFrames.
 
 A product is an equi-join on the shared index and a grouped sum, so Spark sums
-each task's share before the shuffle. A hot index needs no care from the
-caller: both inputs of a product reach the join through a shuffle, which lets
-adaptive execution split a skewed partition on either side.
+each task's share before the shuffle. Both inputs reach the join through a
+shuffle, which lets adaptive execution split the partition of a hot index. A
+matrix product, where a hot index multiplies rows, is split by counts as well.
 """
 
 from __future__ import annotations
@@ -14,7 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OUTER_SIDE = 10_000  # entries of each side per cell of the outer-product grid
+from contactgraph.session import cut_lineage, spread
+
+# Entries of each side that meet in one cell of an all-with-all grid.
+_SIDE = 10_000
+# Hot indices listed by value and broadcast; beyond that they are joined.
+_LISTED = 100_000
 
 
 @dataclass(frozen=True)
@@ -98,6 +103,14 @@ def _summed(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum("value").alias("value")).filter(F.col("value") != 0)
 
 
+def _piece(key: str, count: Column) -> Column:
+    return F.pmod(F.xxhash64(key), count.cast("long"))
+
+
+def _every(count: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1))
+
+
 # vectors
 
 
@@ -159,7 +172,7 @@ def vec_hadamard(u: SparseVec, v: SparseVec) -> SparseVec:
     return SparseVec(product.filter(F.col("value") != 0), u.size)
 
 
-def vec_outer(u: SparseVec, v: SparseVec, side: int = _OUTER_SIDE) -> SparseMat:
+def vec_outer(u: SparseVec, v: SparseVec, side: int = _SIDE) -> SparseMat:
     """Outer product, zeros dropped.
 
     The result has an entry per pair, so it is laid out as a grid: each vector
@@ -170,23 +183,20 @@ def vec_outer(u: SparseVec, v: SparseVec, side: int = _OUTER_SIDE) -> SparseMat:
     rows = max(1, -(-u.size // side))
     cols = max(1, -(-v.size // side))
 
-    def piece(count: int) -> Column:
-        return F.pmod(F.xxhash64("i"), F.lit(count))
-
-    def every(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<bigint>"))
-
     stored = F.col("value") != 0
     left = u.df.filter(stored).select(
-        "i", "value", piece(rows).alias("cell_row"), every(cols).alias("cell_col")
+        "i",
+        "value",
+        _piece("i", F.lit(rows)).alias("cell_row"),
+        _every(F.lit(cols)).alias("cell_col"),
     )
     right = v.df.filter(stored).select(
         F.col("i").alias("j"),
         F.col("value").alias("other"),
-        piece(cols).alias("cell_col"),
-        every(rows).alias("cell_row"),
+        _piece("i", F.lit(cols)).alias("cell_col"),
+        _every(F.lit(rows)).alias("cell_row"),
     )
-    product = left.join(right, ["cell_row", "cell_col"]).select(
+    product = spread(left, "cell_row", "cell_col").join(right, ["cell_row", "cell_col"]).select(
         "i", "j", (F.col("value") * F.col("other")).alias("value")
     )
     return SparseMat(product.filter(F.col("value") != 0), u.size, v.size)
@@ -212,15 +222,55 @@ def mat_transpose(a: SparseMat) -> SparseMat:
     return SparseMat(swapped, a.n_cols, a.n_rows)
 
 
-def mat_mul(a: SparseMat, b: SparseMat) -> SparseMat:
-    """Matrix product, zeros dropped."""
+def _hot_indices(a: SparseMat, b: SparseMat, side: int) -> DataFrame | None:
+    """``(k, cell_rows, cell_cols)`` for shared indices whose product has more
+    than side*side terms; None when there are none."""
+    left = a.df.groupBy(F.col("j").alias("k")).agg(F.count("*").alias("rows"))
+    right = b.df.groupBy(F.col("i").alias("k")).agg(F.count("*").alias("cols"))
+    hot = (
+        left.join(right, "k")
+        .filter(F.col("rows").cast("double") * F.col("cols") > float(side * side))
+        .select(
+            "k",
+            F.ceil(F.col("rows") / side).alias("cell_rows"),
+            F.ceil(F.col("cols") / side).alias("cell_cols"),
+        )
+    )
+    listed = hot.limit(_LISTED + 1).collect()
+    if not listed:
+        return None
+    if len(listed) > _LISTED:
+        return cut_lineage(hot)
+    schema = "k long, cell_rows long, cell_cols long"
+    return F.broadcast(a.df.sparkSession.createDataFrame(listed, schema))
+
+
+def mat_mul(a: SparseMat, b: SparseMat, side: int = _SIDE) -> SparseMat:
+    """Matrix product, zeros dropped.
+
+    The terms of a shared index are all pairs of its column in ``a`` and its
+    row in ``b``. An index with more than side*side of them is cut into a grid
+    of pieces, each met by copies of the other side, so no task forms them all.
+    """
     _need(SparseMat, a, b)
     _same(a.n_cols, b.n_rows)
-    right = b.df.select(
-        F.col("i").alias("k"), F.col("j").alias("col"), F.col("value").alias("other")
-    )
-    terms = a.df.join(right, F.col("j") == F.col("k")).select(
-        "i", F.col("col").alias("j"), (F.col("value") * F.col("other")).alias("value")
+    left = a.df.select("i", F.col("j").alias("k"), "value")
+    right = b.df.select(F.col("i").alias("k"), "j", F.col("value").alias("other"))
+    keys = ["k"]
+    hot = _hot_indices(a, b, side)
+    if hot is not None:
+        rows = F.coalesce("cell_rows", F.lit(1))
+        cols = F.coalesce("cell_cols", F.lit(1))
+        keys = ["k", "cell_row", "cell_col"]
+        left = left.join(hot, "k", "left").select(
+            "i", "k", "value", _piece("i", rows).alias("cell_row"), _every(cols).alias("cell_col")
+        )
+        right = right.join(hot, "k", "left").select(
+            "k", "j", "other", _every(rows).alias("cell_row"), _piece("j", cols).alias("cell_col")
+        )
+        left = spread(left, *keys)
+    terms = left.join(right, keys).select(
+        "i", "j", (F.col("value") * F.col("other")).alias("value")
     )
     return SparseMat(_summed(terms, "i", "j"), a.n_rows, b.n_cols)
 

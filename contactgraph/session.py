@@ -54,3 +54,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     a lost executor costs a re-read and the plan does not grow."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition by count instead of by size: for rows that are small but
+    grow into many in the next step, which adaptive coalescing cannot know."""
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(count, *cols)

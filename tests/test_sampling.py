@@ -47,6 +47,7 @@ def test_missing_pairs(spark, monkeypatch):
     net = make(spark, vertices, edges)
     assert pairs(missing_pairs(net)) == missing(vertices, edges)
     monkeypatch.setattr(links, "_BLOCK", 4)
+    monkeypatch.setattr(links, "_SOURCES", 10)
     assert pairs(missing_pairs(net)) == missing(vertices, edges)
     some = [v for v in vertices if v[2] == 0]
     assert pairs(missing_pairs(net, F.col("health_status") == 0)) == missing(some, edges)

@@ -45,6 +45,7 @@ def test_products(spark, numbers):
     assert np.allclose(dense(sp.mat_vec(sa, su)), a @ u)
     assert np.allclose(dense(sp.vec_mat(su, sb)), u @ b)
     assert np.allclose(dense(sp.mat_mul(sa, sb)), a @ b)
+    assert np.allclose(dense(sp.mat_mul(sa, sb, side=1)), a @ b)
     assert np.allclose(dense(sp.mat_hadamard(sa, sc)), a * c)
     assert np.allclose(dense(sp.mat_transpose(sa)), a.T)
     assert np.allclose(dense(sp.mat_diag(su)), np.diag(u))
@@ -101,6 +102,17 @@ def test_sizes_and_types_are_checked(spark, numbers):
         sp.validate(sp.SparseVec(su.df, 2))
 
 
+@pytest.mark.parametrize("listed", [100_000, 1])
+def test_product_over_hot_indices(spark, monkeypatch, listed):
+    """Two indices hold most entries on both sides; both ways of splitting."""
+    monkeypatch.setattr(sp, "_LISTED", listed)
+    rng = np.random.default_rng(5)
+    a, b = np.zeros((40, 12)), np.zeros((12, 30))
+    a[:, 3], a[:, 8], b[3, :], b[8, :] = (rng.random(n) for n in (40, 40, 30, 30))
+    a[:5, 1], b[1, :4] = 2.0, 3.0
+    assert np.allclose(dense(sp.mat_mul(mat(spark, a), mat(spark, b), side=7)), a @ b)
+
+
 def test_hot_index_is_split(spark):
     """A third of all entries share one index; the join on it is split."""
     settings = {
