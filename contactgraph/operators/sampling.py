@@ -12,7 +12,15 @@ from contactgraph.functions.ordering import (
     first_k,
     last_of_first,
 )
-from contactgraph.schema import EDGES, INFECTED, RECOVERED, SUSCEPTIBLE, VERTICES, conform
+from contactgraph.schema import (
+    EDGES,
+    INFECTED,
+    RECOVERED,
+    SUSCEPTIBLE,
+    VERTICES,
+    Network,
+    conform,
+)
 
 
 def label_sample(ids: DataFrame, n_infected: int, n_recovered: int, seed) -> DataFrame:
@@ -53,3 +61,12 @@ def disjoint_pairs(ids: DataFrame, m: int, seed) -> DataFrame:
     return conform(
         pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")), EDGES
     )
+
+
+def initial_network(
+    ids: DataFrame, n_edges: int, n_infected: int, n_recovered: int, seed
+) -> Network:
+    """Random labels and random disjoint edges on the given ids."""
+    return Network(
+        label_sample(ids, n_infected, n_recovered, seed), disjoint_pairs(ids, n_edges, seed)
+    )

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from contactgraph.operators import links
 from contactgraph.operators.links import missing_pairs, propose_links, skip_levels
-from contactgraph.operators.sampling import disjoint_pairs, label_sample
-from contactgraph.schema import Network
+from contactgraph.operators.sampling import disjoint_pairs, initial_network, label_sample
+from contactgraph.schema import Network, check_network
 
 
 def pairs(df):
@@ -38,6 +38,13 @@ def test_disjoint_pairs(spark, n, m, size):
     assert all(a < b for a, b in got)
 
 
+def test_initial_network(spark):
+    net = initial_network(spark.range(20), 9, 3, 2, seed=4)
+    assert set(check_network(net).first()) == {0}
+    assert net.edges.count() == 9
+    assert Counter(r["health_status"] for r in net.vertices.collect()) == {1: 3, -1: 2, 0: 15}
+
+
 def missing(vertices, edges):
     return set(combinations(sorted(i for i, _, _ in vertices), 2)) - set(edges)
 
