@@ -98,26 +98,19 @@ def _sampled_ranks(ids: DataFrame, n: int, rate: float, seed) -> DataFrame:
     ranges = ids.filter(F.col("idx") < n).selectExpr(
         "id src", f"explode(sequence(idx + 1, {n}L, {span}L)) lo"
     )
-    nodes = ranges.selectExpr("src", "lo", f"least({span}L, {n}L - lo + 1) len").filter(
-        f"{uniform_text(seed, chr(39) + 'root' + chr(39), 'src', 'lo')} < {hit('len')}"
-    )
+    roots = ranges.selectExpr("src", "lo", f"least({span}L, {n}L - lo + 1) len")
+    chance = f"{uniform_text(seed, chr(39) + 'root' + chr(39), 'src', 'lo')} < {hit('len')}"
+    nodes = roots.selectExpr("src", f"named_struct('keep', {chance}, 'lo', lo, 'len', len) node")
     for level in range(levels, 0, -1):
-        left = f"least({2 ** (level - 1)}L, len)"
         nodes = (
-            nodes.selectExpr(
-                "src",
-                "lo",
-                "len",
-                f"{left} l",
-                f"len - {left} r",
-                f"{uniform_text(seed, str(level), 'src', 'lo')} u",
-            )
+            nodes.filter("node.keep")
             .selectExpr(
                 "src",
-                "lo",
-                "l",
-                "r",
-                "u",
+                "node.lo lo",
+                "node.len len",
+                f"least({2 ** (level - 1)}L, len) l",
+                "len - l r",
+                f"{uniform_text(seed, str(level), 'src', 'lo')} u",
                 f"{hit('l')} * (1 - {hit('r')}) / {hit('len')} only_left",
                 f"{hit('r')} * (1 - {hit('l')}) / {hit('len')} only_right",
             )
@@ -127,12 +120,10 @@ def _sampled_ranks(ids: DataFrame, n: int, rate: float, seed) -> DataFrame:
                      named_struct('keep', r = 0 or u < only_left or u >= only_left + only_right,
                                   'lo', lo, 'len', l),
                      named_struct('keep', r > 0 and u >= only_left,
-                                  'lo', lo + l, 'len', r))) half""",
+                                  'lo', lo + l, 'len', r))) node""",
             )
-            .filter("half.keep")
-            .selectExpr("src", "half.lo", "half.len")
         )
-    return nodes.selectExpr("src", "lo t")
+    return nodes.filter("node.keep").selectExpr("src", "node.lo t")
 
 
 def propose_links(

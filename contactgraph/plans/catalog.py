@@ -26,7 +26,8 @@ N_PAIRS = 100
 N_PRUNED = 100
 TOP = 20
 LINKS = dict(alpha=30.0, beta=75.0, sdf=70.0)
-SPARSE_LINKS = dict(alpha=2.0, beta=3.0, sdf=9995.0)
+# SPARSE_SDF times the number of vertices, so that links grow with vertices
+SPARSE_ALPHA, SPARSE_BETA, SPARSE_SDF = 2.0, 5.0, 10
 GRID_BETA = [0.3, 0.45, 0.6]
 GRID_GAMMA = [0.05, 0.1]
 QUOTA_STEP = 5
@@ -56,8 +57,15 @@ def closed_adjacency(spark, sf_dir):
     return graph.closed_adjacency(tables.supplier_network(spark, sf_dir), materialise=True)
 
 
-def transition_matrix(spark, sf_dir, source):
-    return _rounded(graph.transition_matrix(source(spark, sf_dir), ALPHA), 9, "value")
+def closed_adjacency_real(spark, sf_dir):
+    return graph.closed_adjacency(tables.customer_network(spark, sf_dir))
+
+
+def transition_matrix(spark, sf_dir, source, isolated_rows):
+    matrix = graph.transition_matrix(
+        source(spark, sf_dir), ALPHA, isolated_rows=isolated_rows
+    )
+    return _rounded(matrix, 9, "value")
 
 
 def walk_rank(spark, sf_dir, steps, scope, source):
@@ -139,7 +147,8 @@ def propose_links_enumerate(spark, sf_dir):
 
 def propose_links_skip(spark, sf_dir):
     net = tables.customer_network(spark, sf_dir)
-    return links.propose_links(net, seed=SEED, mode="skip", **SPARSE_LINKS)
+    sdf = float(SPARSE_SDF * net.vertices.count())
+    return links.propose_links(net, SPARSE_ALPHA, SPARSE_BETA, sdf, SEED, mode="skip")
 
 
 # sparse algebra
@@ -321,10 +330,9 @@ def _advanced(spark, sf_dir) -> Network:
         seed=SEED,
         alpha=ALPHA,
         walk_steps=3,
-        link_alpha=LINKS["alpha"],
-        link_beta=LINKS["beta"],
-        link_sdf=LINKS["sdf"],
-        link_mode="enumerate",
+        link_alpha=SPARSE_ALPHA,
+        link_beta=SPARSE_BETA,
+        link_sdf=float(SPARSE_SDF * net.vertices.count()),
     )
 
 
@@ -346,8 +354,13 @@ def queries() -> dict[str, Query]:
         "isolated_vertices": partial(isolated_vertices, scope="both"),
         "isolated_vertices_either": partial(isolated_vertices, scope="either"),
         "closed_adjacency": closed_adjacency,
-        "transition_matrix": partial(transition_matrix, source=tables.customer_network),
-        "transition_matrix_suppliers": partial(transition_matrix, source=tables.supplier_network),
+        "closed_adjacency_real": closed_adjacency_real,
+        "transition_matrix": partial(
+            transition_matrix, source=tables.customer_network, isolated_rows=False
+        ),
+        "transition_matrix_suppliers": partial(
+            transition_matrix, source=tables.supplier_network, isolated_rows=True
+        ),
         "walk_rank_3": partial(
             walk_rank, steps=3, scope="both", source=tables.customer_network
         ),

@@ -3,9 +3,7 @@ definitions (dense adjacency, full pair lists, plain sorts)."""
 
 from __future__ import annotations
 
-import math
-
-from contactgraph.operators.links import link_rate, skip_levels
+from contactgraph.operators.links import link_rate
 from contactgraph.plans.catalog import (
     ALPHA,
     GRID_BETA,
@@ -18,7 +16,9 @@ from contactgraph.plans.catalog import (
     QUOTA_STEP,
     ROW_BLOCK,
     SEED,
-    SPARSE_LINKS,
+    SPARSE_ALPHA,
+    SPARSE_BETA,
+    SPARSE_SDF,
     TOP,
 )
 
@@ -214,32 +214,40 @@ def _first_in_hash_order(source: str, k: int, *salt: str, where: str = "true") -
     )
 
 
-def _skip_links() -> str:
-    rate = link_rate(**SPARSE_LINKS)
-    levels = skip_levels(rate)
-    span, c = 2**levels, _double(math.log1p(-rate))
+def _skip_links(v: str, e: str, seed) -> tuple[Ctes, str]:
+    """CTEs and the query for links drawn by halving ranges, see propose_links."""
+    alpha, beta, per_vertex = _double(SPARSE_ALPHA), _double(SPARSE_BETA), SPARSE_SDF
 
     def hit(length: str) -> str:
-        return f"(1 - exp({length} * {c}))"
+        return f"(1 - exp({length} * c))"
 
-    root = _uniform(SEED, "'root'", "src", "lo")
-    split = _uniform(SEED, "lvl", "src", "lo")
+    root = _uniform(seed, "'root'", "src", "lo")
+    split = _uniform(seed, "lvl", "src", "lo")
     only_left = f"{hit('l')} * (1 - {hit('r')}) / {hit('len')}"
     only_right = f"{hit('r')} * (1 - {hit('l')}) / {hit('len')}"
     ctes: Ctes = [
-        *CUSTOMERS,
-        ("ids", "select id, row_number() over (order by id) idx from v"),
-        ("n", "select count(*) n from v"),
+        ("ids", f"select id, row_number() over (order by id) idx from {v}"),
+        (
+            "rate",
+            f"select n, {alpha} / ({alpha} + {beta} + {per_vertex} * n) rate"
+            f" from (select count(*) n from {v})",
+        ),
+        (
+            "par",
+            "select n, ln(1 - rate) c, cast(ceil(log2(1 / rate)) as integer) levels,"
+            " 1 << cast(ceil(log2(1 / rate)) as integer) span from rate",
+        ),
         (
             "roots",
-            f"select src, lo, least({span}, n - lo + 1) len from"
-            f" (select id src, unnest(range(idx + 1, n + 1, {span})) lo, n from ids, n)",
+            "select src, lo, least(span, n - lo + 1) len, c, levels from"
+            " (select id src, unnest(range(idx + 1, n + 1, span)) lo, n, c, levels, span"
+            " from ids, par)",
         ),
         (
             "nodes",
-            f"select {levels} lvl, src, lo, len from roots where {root} < {hit('len')}"
+            f"select levels lvl, src, lo, len, c from roots where {root} < {hit('len')}"
             f" union all select lvl - 1, src, case when side = 0 then lo else lo + l end,"
-            f" case when side = 0 then l else r end"
+            f" case when side = 0 then l else r end, c"
             f" from (select *, {only_left} ol, {only_right} orr, {split} u from"
             f"  (select *, least(len, 1 << (lvl - 1)) l, len - least(len, 1 << (lvl - 1)) r"
             f"   from nodes where lvl > 0)), (values (0), (1)) s(side)"
@@ -247,11 +255,9 @@ def _skip_links() -> str:
             f" or (side = 1 and r > 0 and u >= ol)",
         ),
     ]
-    return _with(
-        ctes,
-        "select nodes.src, ids.id dst from nodes join ids on idx = lo where lvl = 0"
-        " and not exists (select 1 from e where e.src = nodes.src and e.dst = ids.id)",
-        recursive=True,
+    return ctes, (
+        f"select nodes.src, ids.id dst from nodes join ids on idx = lo where lvl = 0"
+        f" and not exists (select 1 from {e} x where x.src = nodes.src and x.dst = ids.id)"
     )
 
 
@@ -456,8 +462,15 @@ def oracle_sql() -> dict[str, str]:
             [*active, *_isolated(scope)], "select id, score, health_status from iso"
         )
     out["closed_adjacency"] = _with(suppliers, "select i, j, cast(1 as double) value from adj")
+    out["closed_adjacency_real"] = _with(
+        customers,
+        "select i, j, cast(1 as double) value from adj"
+        " where i = j or i not in (select id from iso)",
+    )
     matrix = "select i, j, round(p, 9) value from p"
-    out["transition_matrix"] = _with([*customers, *_transition()], matrix)
+    out["transition_matrix"] = _with(
+        [*customers, *_transition()], f"{matrix} where i not in (select id from iso)"
+    )
     out["transition_matrix_suppliers"] = _with([*suppliers, *_transition()], matrix)
     for name, net, steps, scope in (
         ("walk_rank_3", CUSTOMERS, 3, "both"),
@@ -509,7 +522,8 @@ def oracle_sql() -> dict[str, str]:
     out["propose_links_enumerate"] = _with(
         [*USERS, ("gap", _missing("v", "e"))], f"select src, dst from gap where {draw} < {rate}"
     )
-    out["propose_links_skip"] = _skip_links()
+    drawn, links = _skip_links("v", "e", SEED)
+    out["propose_links_skip"] = _with([*CUSTOMERS, *drawn], links, recursive=True)
 
     out["vec_repeat"] = (
         "select i, cast(0.25 as double) value"
@@ -638,10 +652,8 @@ def oracle_sql() -> dict[str, str]:
     out["advance_snapshot_vertices"] = _with(
         advanced, "select id, round(score, 9) score, health_status from v1", recursive=True
     )
-    new_links = _uniform(f"{SEED}-1", "src", "dst")
+    drawn, links = _skip_links("v1", "e1", f"{SEED}-1")
     out["advance_snapshot_edges"] = _with(
-        [*advanced, ("gap", _missing("v1", "e1"))],
-        f"select src, dst from e1 union all select src, dst from gap where {new_links} < {rate}",
-        recursive=True,
+        [*advanced, *drawn], f"select src, dst from e1 union all {links}", recursive=True
     )
     return out
