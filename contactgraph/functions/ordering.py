@@ -10,9 +10,9 @@ from contactgraph.functions.hashing import portable_uniform
 from contactgraph.session import cut_lineage
 
 # Largest k handed to orderBy().limit(k): every task keeps k rows and one task
-# merges them, so k is held to a size one task takes easily. Above it the
-# selection below works on counts only.
-TOP_ROWS = 10_000
+# merges those of all tasks, so k is kept small. Above it the selection below
+# works on counts only.
+TOP_ROWS = 1_000
 _BUCKETS = 4_096
 
 

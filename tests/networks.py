@@ -2,6 +2,7 @@
 
 import math
 import random
+from contextlib import contextmanager
 
 from contactgraph.schema import EDGES, VERTICES, Network, canonical_edges
 
@@ -53,3 +54,27 @@ def brute_walk(vertices, edges, alpha, steps, scope="both"):
 
 def plan_lines(df):
     return df._jdf.queryExecution().executedPlan().toString().splitlines()
+
+
+@contextmanager
+def low_skew_limits(spark):
+    """Let adaptive execution treat small partitions as large ones."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)

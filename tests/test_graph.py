@@ -1,8 +1,9 @@
 import pytest
-from networks import brute_walk, make, plan_lines, random_network
+from networks import brute_walk, low_skew_limits, make, plan_lines, random_network
 from pyspark.sql import functions as F
 
 from contactgraph.operators import graph
+from contactgraph.operators.relabel import prune_edges
 from contactgraph.schema import Network
 from contactgraph.session import cut_lineage
 
@@ -117,8 +118,9 @@ def test_scores_and_vectors(spark):
     assert as_dict(graph.vector_to_scores(v)) == {3: 0.2, 4: 0.4, 5: 0.2}
 
 
-def test_walk_needs_one_shuffle_per_step(spark):
-    """Links and vertices stay put; only partial sums move."""
+@pytest.mark.parametrize("hub_links", [10**6, 8])
+def test_walk_needs_one_shuffle_per_step(spark, hub_links):
+    """Links and vertices stay put; only partial sums move, hubs or not."""
     vertices, edges = random_network(9, n=200, m=400)
     net = make(spark, vertices, edges)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -134,7 +136,8 @@ def test_walk_needs_one_shuffle_per_step(spark):
         base = hold(base.repartition(4, "id").sortWithinPartitions("id"))
         base.count()
         degrees = base.filter("degree is not null").select("id", "degree")
-        near = graph._Neighbours(links, degrees, 2 * len(edges), 4, 10**6, hold)
+        near = graph._Neighbours(links, degrees, 2 * len(edges), 4, hub_links, hold)
+        assert (near.hubs is None) == (hub_links > 1000)
         x = base.select("id", F.col("weight").alias("x"))
         moved = base.join(near.sums(x), "id").select("id", "total")
         shuffles = [line for line in plan_lines(moved) if "ENSURE_REQUIREMENTS" in line]
@@ -150,3 +153,21 @@ def test_network_with_unordered_duplicates(spark):
     net = make(spark, vertices, [(1, 0), (0, 1), (2, 2), (2, 3), (2, 3)])
     assert sorted(tuple(r) for r in net.edges.collect()) == [(0, 1), (2, 3)]
     assert isinstance(net, Network)
+
+
+def test_hot_vertex_is_split(spark):
+    """A third of the edges share a vertex; the joins with vertices split it."""
+    n = 30_000
+    with low_skew_limits(spark):
+        vertices = spark.range(n).select(
+            "id", F.lit(0.5).alias("score"), F.lit(0).alias("health_status")
+        )
+        src = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") - 1)
+        edges = spark.range(1, n).select(src.alias("src"), F.col("id").alias("dst"))
+        net = Network(vertices, edges.repartition(8))
+        for df in (
+            graph.active_edges(net),
+            prune_edges(net.edges, spark.range(n, n + 5), canonical=True),
+        ):
+            assert len(df.collect()) == n - 1
+            assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from networks import low_skew_limits
 from pyspark.sql import functions as F
 
 from contactgraph.operators import sparse as sp
@@ -115,31 +116,14 @@ def test_product_over_hot_indices(spark, monkeypatch, listed):
 
 def test_hot_index_is_split(spark):
     """A third of all entries share one index; the join on it is split."""
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
-        "spark.sql.shuffle.partitions": "16",
-    }
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, value in settings.items():
-        spark.conf.set(k, value)
-    try:
-        n = 30_000
+    n = 30_000
+    with low_skew_limits(spark):
         j = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id"))
         cells = spark.range(n).select(
             (F.col("id") % 1000).alias("i"), j.alias("j"), F.lit(1.0).alias("value")
-        ).repartition(8)
-        a = sp.SparseMat(cells, 1000, n)
-        v = sp.vec_repeat(spark, 1.0, n)
-        product = sp.mat_vec(a, v).df
-        assert product.agg(F.sum("value")).first()[0] == n
+        )
+        a = sp.SparseMat(cells.repartition(8), 1000, n)
+        product = sp.mat_vec(a, sp.vec_repeat(spark, 1.0, n)).df
         rows = product.collect()
-        assert len(rows) == 1000
-        plan = product._jdf.queryExecution().executedPlan().toString()
-        assert "skew=true" in plan
-    finally:
-        for k, value in before.items():
-            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
+        assert len(rows) == 1000 and sum(r["value"] for r in rows) == n
+        assert "skew=true" in product._jdf.queryExecution().executedPlan().toString()
