@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactgraph.functions.joins import hot_join
 from contactgraph.operators.sparse import SparseVec, vec_constant_on, vec_outer
 from contactgraph.schema import RECOVERED, Network
 from contactgraph.session import cut_lineage
@@ -39,8 +40,8 @@ def active_edges(net: Network, scope: str = "both") -> DataFrame:
     """Edges with both ends active, or with at least one (``scope="either"``)."""
     active = active_vertices(net.vertices).select("id")
     if scope == "both":
-        by_src = net.edges.join(active.withColumnRenamed("id", "src"), "src", "left_semi")
-        kept = by_src.join(active.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        by_src = hot_join(net.edges, active.withColumnRenamed("id", "src"), "src", "left_semi")
+        kept = hot_join(by_src, active.withColumnRenamed("id", "dst"), "dst", "left_semi")
         return kept.select("src", "dst")
     if scope != "either":
         raise ValueError(f"scope must be 'both' or 'either', got {scope!r}")
@@ -48,8 +49,7 @@ def active_edges(net: Network, scope: str = "both") -> DataFrame:
     src = marks.select(F.col("id").alias("src"), F.col("hit").alias("src_hit"))
     dst = marks.select(F.col("id").alias("dst"), F.col("hit").alias("dst_hit"))
     return (
-        net.edges.join(src, "src", "left")
-        .join(dst, "dst", "left")
+        hot_join(hot_join(net.edges, src, "src", "left"), dst, "dst", "left")
         .filter(F.col("src_hit").isNotNull() | F.col("dst_hit").isNotNull())
         .select("src", "dst")
     )
@@ -119,9 +119,9 @@ def transition_matrix(
         F.col("id").alias("i"), F.col("id").alias("j")
     )
     links = both_directions(_weighted_edges(net, scope))
-    weighted = links.unionByName(loops).join(weights, "j")
+    weighted = hot_join(links.unionByName(loops), weights, "j")
     totals = weighted.groupBy("i").agg(F.sum("weight").alias("total"))
-    rows = weighted.join(totals, "i").select(
+    rows = hot_join(weighted, totals, "i").select(
         "i", "j", (F.col("weight") / F.col("total")).alias("value")
     )
     if not isolated_rows:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactgraph.functions.hashing import portable_uniform, uniform_text
+from contactgraph.functions.joins import hot_join
 from contactgraph.functions.ordering import dense_index
 from contactgraph.schema import EDGES, Network, conform
 from contactgraph.session import spread
@@ -47,7 +48,7 @@ def missing_pairs(net: Network, eligible: Column | None = None) -> DataFrame:
         F.explode(F.sequence(F.col("block"), last_block)).alias("block"),
     )
     known = (
-        net.edges.join(ids.withColumnRenamed("id", "dst"), "dst")
+        hot_join(net.edges, ids.withColumnRenamed("id", "dst"), "dst")
         .groupBy("src", "block")
         .agg(F.collect_set("dst").alias("known"))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactgraph.functions.hashing import portable_uniform
+from contactgraph.functions.joins import hot_join
 from contactgraph.functions.ordering import at_or_before, last_of_first
 from contactgraph.schema import INFECTED, RECOVERED, SUSCEPTIBLE, VERTICES, Network, conform
 from contactgraph.session import cut_lineage
@@ -15,8 +16,8 @@ def prune_edges(edges: DataFrame, recovered: DataFrame, canonical: bool = False)
     """Edges that touch none of the ``recovered`` ids, each once;
     ``canonical=True`` vouches that there are no duplicates to remove."""
     ids = recovered.select("id")
-    kept = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_anti")
-    kept = kept.join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    kept = hot_join(edges, ids.withColumnRenamed("id", "src"), "src", "left_anti")
+    kept = hot_join(kept, ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
     kept = kept.select("src", "dst")
     return kept if canonical else kept.distinct()
 

@@ -1,9 +1,9 @@
 """Sparse vectors ``(i, value)`` and matrices ``(i, j, value)`` as DataFrames.
 
 A product is an equi-join on the shared index and a grouped sum, so Spark sums
-each task's share before the shuffle. Both inputs reach the join through a
-shuffle, which lets adaptive execution split the partition of a hot index. A
-matrix product, where a hot index multiplies rows, is split by counts as well.
+each task's share before the shuffle. Adaptive execution splits the partition of
+a hot index (see ``hot_join``). A matrix product, where a hot index multiplies
+rows, is split by counts.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactgraph.functions.joins import hot_join
 from contactgraph.session import cut_lineage, spread
 
 # Entries of each side that meet in one cell of an all-with-all grid.
-_SIDE = 10_000
+_SIDE = 4_000
 # Hot indices listed by value and broadcast; beyond that they are joined.
 _LISTED = 100_000
 
@@ -207,7 +208,7 @@ def vec_mat(v: SparseVec, a: SparseMat) -> SparseVec:
     _need(SparseVec, v)
     _need(SparseMat, a)
     _same(v.size, a.n_rows)
-    terms = a.df.join(v.df.select("i", F.col("value").alias("other")), "i").select(
+    terms = hot_join(a.df, v.df.select("i", F.col("value").alias("other")), "i").select(
         F.col("j").alias("i"), (F.col("value") * F.col("other")).alias("value")
     )
     return SparseVec(_summed(terms, "i"), a.n_cols)
@@ -280,8 +281,8 @@ def mat_vec(a: SparseMat, v: SparseVec) -> SparseVec:
     _need(SparseMat, a)
     _need(SparseVec, v)
     _same(a.n_cols, v.size)
-    right = v.df.select(F.col("i").alias("k"), F.col("value").alias("other"))
-    terms = a.df.join(right, F.col("j") == F.col("k")).select(
+    right = v.df.select(F.col("i").alias("j"), F.col("value").alias("other"))
+    terms = hot_join(a.df, right, "j").select(
         "i", (F.col("value") * F.col("other")).alias("value")
     )
     return SparseVec(_summed(terms, "i"), a.n_rows)
@@ -295,7 +296,7 @@ def mat_diag(v: SparseVec) -> SparseMat:
 
 def _scaled(a: SparseMat, v: SparseVec, key: str) -> SparseMat:
     factors = v.df.select(F.col("i").alias(key), F.col("value").alias("factor"))
-    product = a.df.join(factors, key).select(
+    product = hot_join(a.df, factors, key).select(
         "i", "j", (F.col("value") * F.col("factor")).alias("value")
     )
     return _with_df(a, product.filter(F.col("value") != 0))

@@ -165,8 +165,11 @@ def test_hot_vertex_is_split(spark):
         src = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") - 1)
         edges = spark.range(1, n).select(src.alias("src"), F.col("id").alias("dst"))
         net = Network(vertices, edges.repartition(8))
+        status = F.max("health_status").alias("health_status")
+        grouped = Network(vertices.groupBy("id").agg(status), net.edges)
         for df in (
             graph.active_edges(net),
+            graph.active_edges(grouped),
             prune_edges(net.edges, spark.range(n, n + 5), canonical=True),
         ):
             assert len(df.collect()) == n - 1

@@ -123,7 +123,10 @@ def test_hot_index_is_split(spark):
             (F.col("id") % 1000).alias("i"), j.alias("j"), F.lit(1.0).alias("value")
         )
         a = sp.SparseMat(cells.repartition(8), 1000, n)
-        product = sp.mat_vec(a, sp.vec_repeat(spark, 1.0, n)).df
-        rows = product.collect()
-        assert len(rows) == 1000 and sum(r["value"] for r in rows) == n
-        assert "skew=true" in product._jdf.queryExecution().executedPlan().toString()
+        stored = sp.vec_repeat(spark, 1.0, n)
+        summed = sp.coalesce(stored)  # already partitioned by the index
+        for v in (stored, summed):
+            product = sp.mat_vec(a, v).df
+            rows = product.collect()
+            assert len(rows) == 1000 and sum(r["value"] for r in rows) == n
+            assert "skew=true" in product._jdf.queryExecution().executedPlan().toString()
