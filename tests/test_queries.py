@@ -10,9 +10,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 import check_oracles  # noqa: E402
 
 import __spark_entry__ as spark_entry  # noqa: E402
+from contactgraph.plans import catalog, oracles  # noqa: E402
 
-QUERIES = spark_entry.queries()
-ORACLES = spark_entry.oracle_sql()
+QUERIES = catalog.queries()
+ORACLES = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
