@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactgraph.llm import simhash
+from contactgraph.llm import packing, secret_scan, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+SECRET_RATE = 0.05
 SIMHASH = dict(shingle=4, distance=4)
 
 
@@ -18,12 +19,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _count(kind: str):
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
+def op4_secret_scan(spark, sf_dir):
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"), rate=SECRET_RATE)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[_count(kind) for kind in secret_scan.PATTERNS],
+        F.sha2(secret_scan.joined("base"), 256).alias("base_sha256"),
+        secret_scan.joined("spans").alias("spans"),
+    )
+
+
 def op9_simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), **SIMHASH)
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op10_packing(spark, sf_dir):
+    return packing.digest(packing.pack(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op4_secret_scan": op4_secret_scan,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
+        "op10_packing": op10_packing,
     }

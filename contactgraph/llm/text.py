@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: without arguments splits UTF-8 at exactly these.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: For ``bytes.translate``: A to Z become a to z, in UTF-8 as in ASCII.
+LOWER_ASCII = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def words_column(text: str | Column) -> Column:
