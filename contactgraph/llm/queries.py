@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactgraph.llm import packing, secret_scan, simhash
+from contactgraph.llm import packing, secret_scan, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,13 @@ def op4_secret_scan(spark, sf_dir):
     )
 
 
+def op5_substring_dedup(spark, sf_dir):
+    found = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op9_simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), **SIMHASH)
     return found.withColumnRenamed("id", "doc_id")
@@ -45,6 +52,7 @@ def op10_packing(spark, sf_dir):
 def queries() -> dict[str, Query]:
     return {
         "op4_secret_scan": op4_secret_scan,
+        "op5_substring_dedup": op5_substring_dedup,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_packing": op10_packing,
     }
