@@ -22,7 +22,7 @@ LIMIT = 4_096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
 
 _encoders: dict = {}
 
@@ -118,28 +118,29 @@ def pack(
     if limit < 1 or limit & (limit - 1):
         raise ValueError(f"limit must be a power of two, got {limit}")
     last = np.array([end_id], "<u4").tobytes()
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("bucket", pa.int32()),
-         ("ids", pa.binary()), ("doc_tokens", pa.int64())]
-    )
 
     def run(batches):
         path = public_tokenizers.path(tokenizer)
         for batch in batches:
             for part in range(0, batch.num_rows, 512):
                 rows = batch.slice(part, 512)
-                columns = [[] for _ in schema]
-                ids = rows.column(0).to_pylist()
-                for doc, packed in zip(ids, encode(rows.column(1).to_pylist(), path)):
-                    packed += last
-                    total = len(packed) // 4
-                    for start, length in binary_pieces(total, limit):
-                        piece = packed[4 * start : 4 * (start + length)]
-                        row = (doc, start, length, length.bit_length() - 1, piece, total)
-                        for column, value in zip(columns, row):
-                            column.append(value)
+                packed = [p + last for p in encode(rows.column(1).to_pylist(), path)]
+                totals = [len(p) // 4 for p in packed]
+                cuts = [binary_pieces(n, limit) for n in totals]
+                counts = [len(c) for c in cuts]
+                spans = np.array([piece for c in cuts for piece in c], np.int64).reshape(-1, 2)
+                ids = [p[4 * i : 4 * (i + n)] for p, c in zip(packed, cuts) for i, n in c]
+                owner = pa.array(np.repeat(np.arange(len(counts)), counts))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema
+                    [
+                        rows.column(0).take(owner),
+                        pa.array(spans[:, 0]),
+                        pa.array(spans[:, 1]),
+                        pa.array(np.log2(spans[:, 1]).astype(np.int32)),
+                        pa.array(ids, pa.binary()),
+                        pa.array(np.repeat(totals, counts)),
+                    ],
+                    ["doc_id", "start", "length", "bucket", "ids", "doc_tokens"],
                 )
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
