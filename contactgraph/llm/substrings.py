@@ -16,8 +16,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contactgraph.functions.joins import hot_join
 from contactgraph.llm.runs import starts_of_runs, whole_runs
 from contactgraph.llm.text import mix64
+from contactgraph.session import cut_lineage
 
 WINDOW = 50
 #: A perfect difference cover: differences of these six reach every remainder modulo 31.
@@ -31,6 +33,10 @@ REMEMBERED = 500_000
 GATHERED_WORDS = 2_000_000
 #: Stands for a null id: later than every other.
 _NO_ID = 2**63 - 1
+#: A range that ends here takes in all windows.
+_EVERY = 2**31 - 1
+#: Marks a document that brings no windows into the comparison.
+_SKIP = -(2**31)
 
 _PLACES = pa.list_(pa.int32())
 
@@ -104,8 +110,17 @@ def _ranges(ids, tags, lows, width: int):
     return ids[docs], tags[docs], _lists(ends, 2 * np.searchsorted(first, docs))
 
 
-_MET = "k0 bigint, k1 bigint, asks boolean, id bigint, tag int, several boolean, places array<int>, ranges array<int>"
-_MET_NAMES = ["k0", "k1", "asks", "id", "tag", "several", "places", "ranges"]
+#: What tasks exchange. ``key`` and the upper half of ``rest`` are the hashes, the
+#: lower half of ``rest`` is the tag. ``place`` is the first place times four,
+#: plus one for rows that ask, plus two where the task has seen another document.
+#: ``more`` has all places of a row that asks from several, or settled ranges.
+_MET = "key bigint, rest bigint, id bigint, place bigint, more array<int>"
+_MET_NAMES = ["key", "rest", "id", "place", "more"]
+
+
+def _packed(high: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    tags = tags.astype(np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF)
+    return ((high >> np.uint64(32) << np.uint64(32)) | tags).view(np.int64)
 
 
 def _settle(keys, ids, tags, places, reach):
@@ -120,33 +135,33 @@ def _settle(keys, ids, tags, places, reach):
     several = np.repeat(ids[starts] != ids[starts + lengths - 1], lengths)
 
     units = starts_of_runs([*[k[asking] for k in keys], tags[asking]])
-    k = [x[asking][units].view(np.int64) for x in keys]
-    n = len(units)
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(k[0]),
-            pa.array(k[1]) if len(k) > 1 else pa.array(np.zeros(n, np.int64)),
-            pa.array(np.ones(n, bool)),
-            pa.array(ids[asking][units]),
-            pa.array(tags[asking][units]),
-            pa.array(several[asking][units]),
-            _lists(places[asking], units),
-            pa.nulls(n, _PLACES),
-        ],
-        _MET_NAMES,
-    )
+    k = [x[asking][units] for x in keys]
+    high = k[1] if len(k) > 1 else np.zeros(len(units), np.uint64)
+    own = places[asking]
+    single = np.diff(np.append(units, len(own))) == 1
+    several = several[asking][units]
+    for some, repeated in ((single, False), (~single, True)):
+        if some.any():
+            n = int(some.sum())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(k[0][some].view(np.int64)),
+                    pa.array(_packed(high, tags[asking][units])[some]),
+                    pa.array(ids[asking][units][some]),
+                    pa.array((own[units] * 4 + 1 + 2 * several)[some]),
+                    _lists(own, units).filter(pa.array(some)) if repeated else pa.nulls(n, _PLACES),
+                ],
+                _MET_NAMES,
+            )
     if not asking.all():
-        rest = ~asking
-        i, t, ranges = _ranges(ids[rest], tags[rest], places[rest] - reach[0], reach[1])
+        out = ~asking
+        i, t, ranges = _ranges(ids[out], tags[out], places[out] - reach[0], reach[1])
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(mix64(i + t).view(np.int64)),
-                pa.array(np.zeros(len(i), np.int64)),
-                pa.array(np.zeros(len(i), bool)),
+                pa.array(_packed(np.zeros(len(i), np.uint64), t)),
                 pa.array(i),
-                pa.array(t),
-                pa.array(np.ones(len(i), bool)),
-                pa.nulls(len(i), _PLACES),
+                pa.array(np.zeros(len(i), np.int64)),
                 ranges,
             ],
             _MET_NAMES,
@@ -178,44 +193,50 @@ def _joined(held):
 def _meet(rows: DataFrame, reach, any_other: bool) -> DataFrame:
     """``(id, tag, ranges)`` of the asking places that other documents hold too
     (``any_other``) or that a document with a smaller id holds."""
-    keys = ["k0", "k1", "asks"]
 
     def run(batches):
-        for table in whole_runs(batches, keys):
-            asks = table["asks"].to_numpy()
-            settled = table.filter(pa.array(~asks)).select(["id", "tag", "ranges"]).combine_chunks()
-            yield from settled.to_batches()
-            asking = table.filter(pa.array(asks)).combine_chunks()
-            if not asking.num_rows:
+        for table in whole_runs(batches, ["key"]):
+            place, tags = table["place"].to_numpy(), table["rest"].to_numpy().astype(np.int32)
+            asks = (place & 1) == 1
+            done = table.filter(pa.array(~asks))
+            yield pa.RecordBatch.from_arrays(
+                [done["id"].combine_chunks(), pa.array(tags[~asks]), done["more"].combine_chunks()],
+                ["id", "tag", "ranges"],
+            )
+            if not asks.any():
                 continue
-            ids = asking["id"].to_numpy()
-            starts = starts_of_runs([asking["k0"].to_numpy(), asking["k1"].to_numpy()])
+            asking = table.filter(pa.array(asks))
+            place, tags, ids = place[asks], tags[asks], asking["id"].to_numpy()
+            starts = starts_of_runs([asking["key"].to_numpy(), asking["rest"].to_numpy() >> 32])
             lengths = np.diff(np.append(starts, len(ids)))
             if any_other:
                 found = ids[starts] != ids[starts + lengths - 1]
-                found |= np.maximum.reduceat(asking["several"].to_numpy().astype(np.int8), starts) > 0
+                found |= np.bitwise_or.reduceat(place & 2, starts) > 0
                 found = np.repeat(found, lengths)
             else:
                 found = ids > np.repeat(ids[starts], lengths)
             if not found.any():
                 continue
-            some = asking.filter(pa.array(found)).combine_chunks()
-            lists = some["places"].combine_chunks()
+            more = asking["more"].combine_chunks().filter(pa.array(found))
+            ids, tags, place = ids[found], tags[found], place[found] >> 2
+            repeated = more.is_valid().to_numpy(zero_copy_only=False)
+            lists = more.drop_null()
             counts = np.diff(lists.offsets.to_numpy())
             i, t, ranges = _ranges(
-                np.repeat(some["id"].to_numpy(), counts),
-                np.repeat(some["tag"].to_numpy(), counts),
-                lists.flatten().to_numpy().astype(np.int64) - reach[0],
+                np.concatenate([ids[~repeated], np.repeat(ids[repeated], counts)]),
+                np.concatenate([tags[~repeated], np.repeat(tags[repeated], counts)]),
+                np.concatenate([place[~repeated], lists.flatten().to_numpy().astype(np.int64)]) - reach[0],
                 reach[1],
             )
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(t), ranges], ["id", "tag", "ranges"])
 
-    ordered = rows.repartition("k0", "k1").sortWithinPartitions(*keys, "id")
-    return (
-        ordered.mapInArrow(run, "id bigint, tag int, ranges array<int>")
-        .groupBy("id", "tag")
-        .agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    )
+    order = ["key", F.shiftright("rest", 32), F.col("place").bitwiseAND(F.lit(1)), "id"]
+    ordered = rows.repartition("key").sortWithinPartitions(*order)
+    return ordered.mapInArrow(run, "id bigint, tag int, ranges array<int>")
+
+
+def _by_document(found: DataFrame) -> DataFrame:
+    return found.groupBy("id", "tag").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def _starts(ranges: list[int] | None, n: int) -> np.ndarray:
@@ -238,6 +259,14 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """``(id, tag)`` of rows whose whole text a row with a smaller id has."""
+    texts = rows.select("id", "tag", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+    first = texts.groupBy("text_md5").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    again = hot_join(texts, first.filter("n > 1").drop("n"), "text_md5")
+    return again.filter("id > first").select("id", "tag").distinct()
+
+
 def repeated_windows(
     docs: DataFrame,
     window: int = WINDOW,
@@ -248,7 +277,10 @@ def repeated_windows(
 ) -> DataFrame:
     """``(id, tag, ranges)``: per document the starts of its windows whose words
     also start in a document with a smaller id, as a flat list of range ends.
+    Ends may lie beyond the last window.
 
+    Of documents with equal texts only the one with the smallest id brings its
+    windows into the comparison; all windows of the others start in it.
     Each document is read for its anchors, and those with shared anchors once
     more for their windows. A task settles what its own documents share before
     it shuffles and sends on one row per key, so a passage that many documents
@@ -275,13 +307,16 @@ def repeated_windows(
     # the windows around an anchor at p start from p - period + 1 to p
     around, itself = (period - 1, period), (0, 1)
     anchors = rows.mapInArrow(lambda batches: _gather(batches, anchors_of, around), _MET)
-    candidates = _meet(anchors, around, any_other=True)
+    copies = cut_lineage(_copies(rows)).withColumn("ranges", F.array(F.lit(0), F.lit(_EVERY)))
+    candidates = _by_document(
+        _meet(anchors, around, any_other=True).union(copies.withColumn("ranges", F.array(F.lit(_SKIP))))
+    ).filter(~F.array_contains("ranges", _SKIP))
     windows = (
         rows.join(candidates, ["id", "tag"])
         .select("id", "tag", "text", "ranges")
         .mapInArrow(lambda batches: _gather(batches, windows_of, itself), _MET)
     )
-    return _meet(windows, itself, any_other=False)
+    return _by_document(_meet(windows, itself, any_other=False).union(copies))
 
 
 def remove_repeats(
@@ -307,7 +342,7 @@ def remove_repeats(
             for text, ranges in zip(texts, batch.column(2).to_pylist()):
                 words = text.encode().split()
                 gone = np.zeros(len(words), bool)
-                if ranges:
+                if ranges and len(words) >= window:
                     # a start takes its whole window along, so ranges grow at the end
                     ends = np.array(ranges, np.int64).reshape(-1, 2) + [0, window - 1]
                     gone[_starts(ends.ravel().tolist(), len(words))] = True
