@@ -23,11 +23,13 @@ END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers; beyond it the memory starts anew.
 REMEMBERED = 1_500_000
+#: Documents encoded together.
+TOGETHER = 2_048
 
 _encoders: dict = {}
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of white-space separated words as packed unsigned 32-bit little endian.
 
     The tokenizer never joins across ASCII white space, nor a letter with the
@@ -38,7 +40,7 @@ class WordIds(dict):
     """
 
     def __init__(self, path: str):
-        super().__init__()
+        self.ids: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -56,35 +58,35 @@ class WordIds(dict):
             if len(stops) != len(some) or stops[-1] != len(ids):
                 return False
             packed, cuts = ids.tobytes(), [0, *(4 * stops).tolist()]
-            self.update((w, packed[i:j]) for w, i, j in zip(some, cuts, cuts[1:]))
+            self.ids.update((w, packed[i:j]) for w, i, j in zip(some, cuts, cuts[1:]))
         return True
 
     def learn(self, words: set[bytes]) -> None:
-        new = words.difference(self)
+        new = words.difference(self.ids)
         split = {}
         for word in new:
             stem = word.rstrip(b".,!?;:#$%&*)")
             if len(stem) < len(word) and stem.decode().isalpha():
                 split[word] = (stem, word[len(stem) :])
-        simple = new.difference(split).union(*map(set, split.values())).difference(self)
+        simple = new.difference(split).union(*map(set, split.values())).difference(self.ids)
         letters = [w for w in simple if w.decode().isalpha()]
         if letters and self._learn_letters(letters):
             simple.difference_update(letters)
         rest = list(simple)
-        self.update(zip(rest, (i.tobytes() for i in self._encode([w.decode() for w in rest]))))
-        self.update((w, self[stem] + self[tail]) for w, (stem, tail) in split.items())
+        self.ids.update(zip(rest, (i.tobytes() for i in self._encode([w.decode() for w in rest]))))
+        self.ids.update((w, self.ids[stem] + self.ids[tail]) for w, (stem, tail) in split.items())
 
 
 def encode(texts: list[str | None], path: str) -> list[bytes]:
     """Packed ids of each text, without special tokens; null counts as empty."""
     encoder = _encoders.get(path)
-    if encoder is None or len(encoder) > REMEMBERED:
+    if encoder is None or len(encoder.ids) > REMEMBERED:
         encoder = _encoders[path] = WordIds(path)
     # the tokenizer lowers case itself, but tells special tokens by theirs
     raw = [(t or "").encode() for t in texts]
     split = [(t if b"<|" in t else t.translate(LOWER_ASCII)).split() for t in raw]
     encoder.learn(set().union(*split))
-    return [b"".join(map(encoder.__getitem__, words)) for words in split]
+    return [b"".join(map(encoder.ids.__getitem__, words)) for words in split]
 
 
 def binary_pieces(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
@@ -122,8 +124,8 @@ def pack(
     def run(batches):
         path = public_tokenizers.path(tokenizer)
         for batch in batches:
-            for part in range(0, batch.num_rows, 512):
-                rows = batch.slice(part, 512)
+            for part in range(0, batch.num_rows, TOGETHER):
+                rows = batch.slice(part, TOGETHER)
                 packed = [p + last for p in encode(rows.column(1).to_pylist(), path)]
                 totals = [len(p) // 4 for p in packed]
                 cuts = [binary_pieces(n, limit) for n in totals]
