@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactgraph.llm import packing, secret_scan, simhash, substrings
+from contactgraph.llm import mixing, packing, secret_scan, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SECRET_RATE = 0.05
+TOXIC = 0.3
 SIMHASH = dict(shingle=4, distance=4)
 
 
@@ -40,6 +41,23 @@ def op5_substring_dedup(spark, sf_dir):
     )
 
 
+def op6_source_mixing(spark, sf_dir):
+    return mixing.mix(_table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken"
+    )
+
+
+def op7_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+    )
+
+
 def op9_simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), **SIMHASH)
     return found.withColumnRenamed("id", "doc_id")
@@ -53,6 +71,8 @@ def queries() -> dict[str, Query]:
     return {
         "op4_secret_scan": op4_secret_scan,
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_source_mixing": op6_source_mixing,
+        "op7_toxicity": op7_toxicity,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_packing": op10_packing,
     }

@@ -13,6 +13,7 @@ that gradients flow through.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -456,7 +457,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in docs.columns if c != "score"]
     place = others.index(text_col)
-    key = shared.id
+    key = uuid.uuid4().hex
 
     def run(batches):
         if key not in _scorers:
