@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactgraph.llm import mixing, packing, secret_scan, simhash, substrings, toxicity
+from contactgraph.llm import fingerprints, mixing, packing, quality, secret_scan, simhash, substrings, toxicity
+from contactgraph.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+FINGERPRINTS = dict(radius=3, blocks=6)
 SECRET_RATE = 0.05
 TOXIC = 0.3
 SIMHASH = dict(shingle=4, distance=4)
@@ -20,6 +22,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ensemble = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, ensemble).select(
+        "doc_id",
+        quality.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op2_document_fingerprints(spark, sf_dir):
+    prints = cut_lineage(fingerprints.fingerprint_edited(_table(spark, sf_dir, "documents")))
+    asks = F.pmod("id", F.lit(50)) == 0
+    return fingerprints.count_within(prints, asks, **FINGERPRINTS).select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        fingerprints.as_hex("fp").alias("fingerprint"),
+        fingerprints.as_hex("edited_fp").alias("edited_fingerprint"),
+        fingerprints.likeness("fp", "edited_fp").alias("near_edited"),
+        fingerprints.likeness("fp", "next_fp").alias("near_next"),
+        "n_near",
+    )
+
+
 def _count(kind: str):
     return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
@@ -69,6 +97,8 @@ def op10_packing(spark, sf_dir):
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality_rules": op1_quality_rules,
+        "op2_document_fingerprints": op2_document_fingerprints,
         "op4_secret_scan": op4_secret_scan,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_source_mixing": op6_source_mixing,
