@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactgraph.llm import fingerprints, mixing, packing, quality, secret_scan, simhash, substrings, toxicity
+from contactgraph.llm import embeddings, fingerprints, mixing, packing, quality, secret_scan, simhash, substrings, toxicity
 from contactgraph.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,11 @@ def op2_document_fingerprints(spark, sf_dir):
     )
 
 
+def op3_embedding_near_dedup(spark, sf_dir):
+    found = embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def _count(kind: str):
     return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
@@ -99,6 +104,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_document_fingerprints": op2_document_fingerprints,
+        "op3_embedding_near_dedup": op3_embedding_near_dedup,
         "op4_secret_scan": op4_secret_scan,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_source_mixing": op6_source_mixing,
