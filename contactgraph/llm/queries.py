@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactgraph.llm import embeddings, fingerprints, mixing, packing, quality, secret_scan, simhash, substrings, toxicity
+from contactgraph.llm import embeddings, fingerprints, licenses, mixing, packing, quality, secret_scan, simhash, substrings, toxicity
 from contactgraph.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,19 @@ def op7_toxicity(spark, sf_dir):
     )
 
 
+def op8_license_scan(spark, sf_dir):
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("found").cast("bigint").alias("n_found"),
+        F.array_join("found.license", ",").alias("licenses"),
+        F.round(F.coalesce(F.array_max("found.coverage"), F.lit(0.0)), 6).alias("coverage"),
+        F.array_join(
+            F.transform("found", lambda f: F.concat_ws(":", f["license"], f["start"], f["end"])), ","
+        ).alias("spans"),
+    )
+
+
 def op9_simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), **SIMHASH)
     return found.withColumnRenamed("id", "doc_id")
@@ -109,6 +122,7 @@ def queries() -> dict[str, Query]:
         "op5_substring_dedup": op5_substring_dedup,
         "op6_source_mixing": op6_source_mixing,
         "op7_toxicity": op7_toxicity,
+        "op8_license_scan": op8_license_scan,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_packing": op10_packing,
     }

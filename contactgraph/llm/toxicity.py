@@ -26,7 +26,7 @@ WINDOW, STRIDE = 48, 32
 UNITS = 8  # of each direction, and of each embedding
 GRAMS = (3, 5)
 #: Bounds of the training sample and of what is learned from it.
-POSITIVES, NEGATIVES, SAMPLE_WORDS = 2_000, 4_000, 2_000
+POSITIVES, NEGATIVES, SAMPLE_WORDS = 1_200, 2_800, 2_000
 WORDS, GRAM_COUNT = 30_000, 60_000
 STEPS, EPOCHS, BATCH = 400, 8, 64
 #: Steps between two looks at all words for picking windows.
