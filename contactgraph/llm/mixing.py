@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from contactgraph.functions.hashing import portable_uniform
 from contactgraph.functions.joins import hot_join
 from contactgraph.llm.text import WORD
-from contactgraph.session import cut_lineage
+from contactgraph.session import cut_lineage, fresh_folder
 
 WEIGHTS = (3, 1, 2)
 #: Equal ranges of rank in which the words of a source are counted.
@@ -69,45 +69,23 @@ def inclusion_rank(seed: int, inclusion: Column, *ids: str) -> Column:
     return u * (1 - p) / (u * (1 - p) + (1 - u) * p)
 
 
-def mix(
-    docs: DataFrame,
-    share: float = 1.5,
-    most: float = 2.0,
-    weights: tuple = WEIGHTS,
-    power: float = 0.5,
-    seed: int = 42,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
+def cut_table(
+    sized: DataFrame, share: float, most: float, weights: tuple, power: float, seed: int
 ) -> DataFrame:
-    """``(id, source, size, source_size, target, copies, taken)`` per row of ``docs``.
-
-    Sizes are in words. ``targets`` gives each source its words; the measure of
-    a document is its size to the ``power``, so that long documents are likelier
-    than short ones but less than in proportion. ``copies`` is at most ``most``
-    rounded up, and ``taken`` is copies times size.
-
-    The rank at which a source's sample ends is found from the words in
-    ``BUCKETS`` equal ranges of rank, a count with a map-side aggregate, and then
-    within the one range where the remainder is reached: no source is sorted or
-    gathered, however large. The words taken miss the target by at most half of
-    the document at the cut. Null texts have size 0 and get the certain copies
-    alone, a null source is a source, and rows with equal id and size rank alike.
-    The draw is a hash of seed and id, so reruns agree. Runs a job when called.
+    """One row per source: what its documents get for certain and where its
+    sample ends. ``sized`` has ``id, source, size`` and is read several times.
+
+    The rank at which a sample ends is found from the words in ``BUCKETS`` equal
+    ranges of rank, a count with a map-side aggregate, and then within the one
+    range where the remainder is reached: no source is sorted or gathered,
+    however large. The words taken miss the target by at most half of the
+    document at the cut.
     """
-    sized = cut_lineage(
-        docs.select(
-            F.col(id_col).cast("bigint").alias("id"),
-            F.col(source_col).cast("string").alias("source"),
-            size_in_words(text_col).alias("size"),
-        )
-    )
-    measure = F.pow("size", F.lit(power)) if power != 0.5 else F.sqrt("size")
     sums = sized.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.sum(measure * F.col("size")).alias("measured")
+        F.sum("size").alias("source_size"), F.sum(_measure(power) * F.col("size")).alias("measured")
     )
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan = (
+    plan = cut_lineage(
         targets(sums, share, most, weights)
         .withColumn("whole", F.floor(ratio))
         .withColumn("goal", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -115,18 +93,10 @@ def mix(
         .withColumn("key", _key())
         .drop("source", "measured")
     )
-    # one row per source; kept, as both the histogram and the draw read it
-    plan = cut_lineage(plan)
-    inclusion = F.least(F.greatest(F.col("scale") * measure, F.lit(1e-9)), F.lit(1 - 1e-9))
-    ranked = (
-        hot_join(sized.withColumn("key", _key()), plan, "key")
-        .withColumn("rank", inclusion_rank(seed, inclusion, "id"))
-        .withColumn("bucket", F.floor(F.col("rank") * BUCKETS).cast("int"))
-    )
+    ranked = _ranked(hot_join(sized.withColumn("key", _key()), plan, "key"), power, seed).filter("goal > 0")
     in_order = Window.partitionBy("key").orderBy("bucket")
-    cuts = (
-        ranked.filter("goal > 0")
-        .groupBy("key", "bucket")
+    cuts = cut_lineage(
+        ranked.groupBy("key", "bucket")
         .agg(F.sum("size").alias("words"), F.max("goal").alias("goal"))
         .withColumn("reached", F.sum("words").over(in_order))
         .filter("reached >= goal")
@@ -134,15 +104,87 @@ def mix(
         .agg(F.min(F.struct("bucket", "reached", "words")).alias("cut"))
         .select("key", F.col("cut.bucket").alias("at"), (F.col("cut.reached") - F.col("cut.words")).alias("base"))
     )
-    placed = ranked.join(cut_lineage(cuts), "key", "left")
-    inside = F.col("goal") > 0
-    apart = placed.filter(F.col("at").isNull() | (F.col("bucket") != F.col("at"))).withColumn(
-        "extra", inside & (F.col("at").isNull() | (F.col("bucket") < F.col("at")))
-    )
     by_rank = Window.partitionBy("key").orderBy("rank", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("base") + F.sum("size").over(by_rank) - F.col("size") / 2
-    at_cut = placed.filter(F.col("bucket") == F.col("at")).withColumn("extra", middle <= F.col("goal"))
-    copies = F.col("whole") + F.col("extra").cast("bigint")
-    return apart.unionByName(at_cut).select(
-        "id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+    last = (
+        hot_join(ranked, cuts, "key")
+        .filter(F.col("bucket") == F.col("at"))
+        .withColumn("taken", middle <= F.col("goal"))
+        .groupBy("key")
+        .agg(F.max(F.when(F.col("taken"), F.struct("rank", "id", "size"))).alias("last"))
+    )
+    table = plan.join(cuts.drop("base"), "key", "left").join(last, "key", "left")
+    # written and read again, so that its size is known where it is joined
+    path = fresh_folder(sized.sparkSession, "mixing-cuts")
+    table.write.parquet(path)
+    return sized.sparkSession.read.parquet(path)
+
+
+def _measure(power: float) -> Column:
+    return F.sqrt("size") if power == 0.5 else F.pow("size", F.lit(power))
+
+
+def _ranked(rows: DataFrame, power: float, seed: int) -> DataFrame:
+    inclusion = F.least(F.greatest(F.col("scale") * _measure(power), F.lit(1e-9)), F.lit(1 - 1e-9))
+    return rows.withColumn("rank", inclusion_rank(seed, inclusion, "id")).withColumn(
+        "bucket", F.floor(F.col("rank") * BUCKETS).cast("int")
+    )
+
+
+def with_copies(rows: DataFrame, cuts: DataFrame, power: float, seed: int) -> DataFrame:
+    """``rows`` (with ``id, source, size``) and their ``source_size, target, copies``."""
+    ranked = _ranked(hot_join(rows.withColumn("key", _key()), cuts, "key"), power, seed)
+    at_cut = F.coalesce(F.struct("rank", "id", "size") <= F.col("last"), F.lit(False))
+    extra = (F.col("goal") > 0) & (
+        F.col("at").isNull() | (F.col("bucket") < F.col("at")) | ((F.col("bucket") == F.col("at")) & at_cut)
     )
+    return ranked.withColumn("copies", F.col("whole") + extra.cast("bigint")).select(
+        *rows.columns, "source_size", "target", "copies"
+    )
+
+
+def mix(
+    docs: DataFrame,
+    share: float = 1.5,
+    most: float = 2.0,
+    weights: tuple = WEIGHTS,
+    power: float = 0.5,
+    seed: int = 42,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    carry: tuple = (),
+) -> DataFrame:
+    """``id, source, size, source_size, target, copies, taken`` per row of ``docs``,
+    and the columns named in ``carry``.
+
+    Sizes are in words. :func:`targets` gives each source its words; the measure
+    of a document is its size to the ``power``, so that long documents are
+    likelier than short ones but less than in proportion. ``copies`` is at most
+    ``most`` rounded up, and ``taken`` is copies times size. Null texts have size
+    0, a null source is a source, and rows of one source with equal id and size
+    fare alike. The draw is a hash of seed and id, so reruns agree. Runs jobs.
+    """
+    rows = docs.select(
+        F.col(id_col).cast("bigint").alias("id"),
+        F.col(source_col).cast("string").alias("source"),
+        size_in_words(text_col).alias("size"),
+        *[F.col(c).alias(f"_carried_{c}") for c in carry],
+    )
+    sized = cut_lineage(rows.select("id", "source", "size"))
+    cuts = cut_table(sized, share, most, weights, power, seed)
+    return (
+        with_copies(rows if carry else sized, cuts, power, seed)
+        .withColumn("taken", F.col("copies") * F.col("size"))
+        .withColumnsRenamed({f"_carried_{c}": c for c in carry})
+    )
+
+
+def resample(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it, same columns.
+
+    ``id_col``, ``text_col`` and ``source_col`` name the columns as for :func:`mix`."""
+    carried = docs.select(F.struct(*docs.columns).alias("row"), *docs.columns)
+    mixed = mix(carried, carry=("row",), **options)
+    times = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
+    return mixed.select("row", times.alias("n")).select("row.*")

@@ -243,3 +243,45 @@ def joined(spans: str | Column) -> Column:
     return F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
     )
+
+
+def redact(docs: DataFrame, rate: float = 0.05, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
+    """``docs`` with every span of :func:`scan` replaced by ``mark`` and
+    ``n_chars``, if there is such a column, counted anew.
+
+    Overlapping spans become one mark; null texts stay null. The texts are read
+    twice, for the thresholds and to replace, and never shuffled. Runs jobs.
+    """
+    rows = docs.select(F.lit(None).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    tokens = rows.mapInArrow(_scan, _FOUND).select(F.explode("tokens").alias("t")).select("t.*")
+    # at most one row per encoding and class
+    least = {(r["encoding"], r["class"]): r["least"] for r in thresholds(tokens, rate).collect()}
+    names = docs.columns
+    place = names.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = [_redacted(t, least, mark) for t in batch.column(place).to_pylist()]
+            columns = list(batch.columns)
+            columns[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    done = docs.mapInArrow(run, docs.schema)
+    return done.withColumn("n_chars", F.length(text_col).cast("bigint")) if "n_chars" in names else done
+
+
+def _redacted(text: str | None, least: dict, mark: str) -> str | None:
+    if not text:
+        return text
+    spans = [(i, j) for _, i, j in base_spans(text)]
+    for m in _CANDIDATE.finditer(text):
+        name, p = randomness(m[0])
+        level = min(int(p * LEVELS), LEVELS - 1)
+        if name is not None and level >= least.get((name, int(np.searchsorted(LENGTHS, len(m[0])))), LEVELS):
+            spans.append(m.span())
+    parts, end = [], 0
+    for i, j in sorted(spans):
+        if i >= end:
+            parts += [text[end:i], mark]
+        end = max(end, j)
+    return "".join([*parts, text[end:]])
