@@ -28,7 +28,7 @@ GRAMS = (3, 5)
 #: Bounds of the training sample and of what is learned from it.
 POSITIVES, NEGATIVES, SAMPLE_WORDS = 1_200, 2_800, 2_000
 WORDS, GRAM_COUNT = 30_000, 60_000
-STEPS, EPOCHS, BATCH = 400, 8, 64
+STEPS, EPOCHS, BATCH = 400, 30, 64
 #: Steps between two looks at all words for picking windows.
 REFRESH = 20
 SEED = 7
@@ -204,7 +204,7 @@ def _log_odds(having: np.ndarray, positive: np.ndarray, prior: float) -> np.ndar
 def _initial(documents: list[list[bytes]], labels: np.ndarray, rng) -> Model:
     """Embeddings of what several documents have; their first unit starts as
     smoothed log-odds, all else at random."""
-    prior = float(np.clip(labels.mean(), 0.01, 0.99))
+    prior = float(np.clip(labels.mean() if len(labels) else 0.0, 0.01, 0.99))
     having, positive = Counter(), Counter()
     for words, label in zip(documents, labels):
         distinct = set(words)
@@ -259,8 +259,11 @@ def train(texts: list[str | None], labels: list[int], prior: float, steps: int =
     documents = [words_of(t) for t in texts]
     y = np.array(labels, np.float32)
     model = _initial(documents, y, rng)
+    # the empty text is a negative of every batch
+    documents.append([])
+    y = np.append(y, np.float32(0))
     prior = float(np.clip(prior, 0.01, 0.99))
-    sides = [np.flatnonzero(y == 1), np.flatnonzero(y == 0)]
+    sides = [np.flatnonzero(y == 1), np.flatnonzero(y[:-1] == 0)]
     if min(map(len, sides)) == 0:
         model.output[:] = 0
         model.offset[:] = np.log(prior / (1 - prior))
@@ -277,12 +280,17 @@ def train(texts: list[str | None], labels: list[int], prior: float, steps: int =
 
     adam = _Adam(0.01)
     share = 0.25
+    model.offset[:] = np.log(share / (1 - share))
     steps = min(steps, max(1, EPOCHS * len(documents) // BATCH))
     for step in range(steps):
         adam.steps += 1
         adam.rate = 0.01 * (1 - step / steps) + 0.0005
         picked = np.concatenate(
-            [rng.choice(sides[0], int(BATCH * share)), rng.choice(sides[1], BATCH - int(BATCH * share))]
+            [
+                rng.choice(sides[0], int(BATCH * share)),
+                rng.choice(sides[1], BATCH - int(BATCH * share)),
+                [len(documents) - 1] * 4,
+            ]
         )
         if step % REFRESH == 0:
             all_gates = np.concatenate([_pad_gates(), model.gates(model.embed(word_rows, gram_rows, owners, scale))])
@@ -450,7 +458,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """All columns of ``docs`` but a clashing one, and ``score``: the toxicity of
     each whole text, from 0 to 1.
 
-    Null texts count as empty, which score as the network's offset. Repeated
+    Null texts count as empty; a text without words scores as the network's
+    offset, which is trained on the empty text as a negative. Repeated
     rows come back as often as they came. Nothing is shuffled; the model, of
     bounded size, is broadcast.
     """
