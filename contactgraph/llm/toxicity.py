@@ -33,7 +33,7 @@ STEPS, EPOCHS, BATCH = 400, 30, 64
 REFRESH = 20
 SEED = 7
 #: Words a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _GROUP = 2_048  # windows scored together
 
 _PUNCTUATION = bytes(range(1, 48)) + b":;<=>?@[\\]^_`{|}~"
