@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contactgraph.llm.text import in_pieces
+
 _BREAKS = "".join(map(chr, range(1, 48))) + ":;<=>?@[\\]^_`{|}~"
 _TO_SPACE = bytes.maketrans(_BREAKS.encode(), b" " * len(_BREAKS))
 _WORD = re.compile(f"[^{re.escape(_BREAKS)}]+")
@@ -169,7 +171,7 @@ def scan(
     hints = {h.encode() for t in ready for h in t.hints}
 
     def run(batches):
-        for batch in batches:
+        for batch in in_pieces(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 quick = (text or "").lower().encode(errors="replace").translate(_TO_SPACE).split()

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from contactgraph.llm.text import LOWER_ASCII
+from contactgraph.llm.text import LOWER_ASCII, in_pieces
 
 LIMIT = 4_096
 END_ID = 2
@@ -123,27 +123,25 @@ def pack(
 
     def run(batches):
         path = public_tokenizers.path(tokenizer)
-        for batch in batches:
-            for part in range(0, batch.num_rows, TOGETHER):
-                rows = batch.slice(part, TOGETHER)
-                packed = [p + last for p in encode(rows.column(1).to_pylist(), path)]
-                totals = [len(p) // 4 for p in packed]
-                cuts = [binary_pieces(n, limit) for n in totals]
-                counts = [len(c) for c in cuts]
-                spans = np.array([piece for c in cuts for piece in c], np.int64).reshape(-1, 2)
-                ids = [p[4 * i : 4 * (i + n)] for p, c in zip(packed, cuts) for i, n in c]
-                owner = pa.array(np.repeat(np.arange(len(counts)), counts))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column(0).take(owner),
-                        pa.array(spans[:, 0]),
-                        pa.array(spans[:, 1]),
-                        pa.array(np.log2(spans[:, 1]).astype(np.int32)),
-                        pa.array(ids, pa.binary()),
-                        pa.array(np.repeat(totals, counts)),
-                    ],
-                    ["doc_id", "start", "length", "bucket", "ids", "doc_tokens"],
-                )
+        for rows in in_pieces(batches, TOGETHER):
+            packed = [p + last for p in encode(rows.column(1).to_pylist(), path)]
+            totals = [len(p) // 4 for p in packed]
+            cuts = [binary_pieces(n, limit) for n in totals]
+            counts = [len(c) for c in cuts]
+            spans = np.array([piece for c in cuts for piece in c], np.int64).reshape(-1, 2)
+            ids = [p[4 * i : 4 * (i + n)] for p, c in zip(packed, cuts) for i, n in c]
+            owner = pa.array(np.repeat(np.arange(len(counts)), counts))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column(0).take(owner),
+                    pa.array(spans[:, 0]),
+                    pa.array(spans[:, 1]),
+                    pa.array(np.log2(spans[:, 1]).astype(np.int32)),
+                    pa.array(ids, pa.binary()),
+                    pa.array(np.repeat(totals, counts)),
+                ],
+                ["doc_id", "start", "length", "bucket", "ids", "doc_tokens"],
+            )
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = rows.mapInArrow(

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contactgraph.llm.text import in_pieces
 from contactgraph.session import cut_lineage
 
 #: Patterns, and the group whose length counts, with the least length.
@@ -145,7 +146,7 @@ _TYPES = [
 
 
 def _scan(batches):
-    for batch in batches:
+    for batch in in_pieces(batches):
         bases, tokens = [], []
         for text in batch.column(1).to_pylist():
             text = text or ""
@@ -260,7 +261,7 @@ def redact(docs: DataFrame, rate: float = 0.05, mark: str = "[SECRET]", text_col
     place = names.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in in_pieces(batches):
             texts = [_redacted(t, least, mark) for t in batch.column(place).to_pylist()]
             columns = list(batch.columns)
             columns[place] = pa.array(texts, pa.string())

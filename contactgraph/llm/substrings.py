@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from contactgraph.functions.joins import hot_join
 from contactgraph.llm.runs import starts_of_runs, whole_runs
-from contactgraph.llm.text import mix64
+from contactgraph.llm.text import in_pieces, mix64
 from contactgraph.session import cut_lineage
 
 WINDOW = 50
@@ -171,7 +171,7 @@ def _settle(keys, ids, tags, places, reach):
 def _gather(batches, keys_of, reach):
     """Settle, task by task, the keys that ``keys_of(words, more)`` gives."""
     held, count = [], 0
-    for batch in batches:
+    for batch in in_pieces(batches):
         for doc, tag, text, *more in zip(*[c.to_pylist() for c in batch.columns]):
             words = (text or "").encode().split()
             keys, places = keys_of(words, *more)
@@ -337,7 +337,7 @@ def remove_repeats(
     rows = _rows(docs, id_col, text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in in_pieces(batches):
             texts, numbers, kept = batch.column(1).to_pylist(), [], []
             for text, ranges in zip(texts, batch.column(2).to_pylist()):
                 words = text.encode().split()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +17,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOWER_ASCII = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+#: Texts that a Python worker turns into Python strings at one time.
+TEXTS_TOGETHER = 512
+
+
+def in_pieces(batches: Iterable[pa.RecordBatch], rows: int = TEXTS_TOGETHER) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that not a whole batch of texts is
+    held as Python strings beside its Arrow form."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def words_column(text: str | Column) -> Column:
     """Array of the words of a text; null and empty texts have none."""
     text = F.col(text) if isinstance(text, str) else text

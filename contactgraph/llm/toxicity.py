@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contactgraph.llm.text import in_pieces
+
 WINDOW, STRIDE = 48, 32
 UNITS = 8  # of each direction, and of each embedding
 GRAMS = (3, 5)
 #: Bounds of the training sample and of what is learned from it.
-POSITIVES, NEGATIVES, SAMPLE_WORDS = 1_200, 2_800, 2_000
+POSITIVES, NEGATIVES, SAMPLE_WORDS = 800, 1_600, 2_000
 WORDS, GRAM_COUNT = 30_000, 60_000
 STEPS, EPOCHS, BATCH = 400, 30, 64
 #: Steps between two looks at all words for picking windows.
@@ -473,7 +475,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             _scorers.clear()
             _scorers[key] = Scorer(shared.value)
         scorer = _scorers[key]
-        for batch in batches:
+        for batch in in_pieces(batches):
             found = scorer.scores(batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*others, "score"])
 
