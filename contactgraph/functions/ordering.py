@@ -1,10 +1,14 @@
 """Global order without a single-partition sort: exact k-th row, first k rows,
-random k rows, dense row numbers."""
+random k rows, dense row numbers, the next row."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contactgraph.functions.hashing import portable_uniform
 from contactgraph.session import cut_lineage
@@ -13,7 +17,7 @@ from contactgraph.session import cut_lineage
 # merges those of all tasks, so k is kept small. Above it the selection below
 # works on counts only.
 TOP_ROWS = 1_000
-_BUCKETS = 4_096
+_SHARES = [(n + 1) / 64 for n in range(64)]
 
 
 def _columns(keys) -> list[Column]:
@@ -24,13 +28,24 @@ def _order_struct(keys) -> Column:
     return F.struct(*[c.alias(f"k{n}") for n, c in enumerate(_columns(keys))])
 
 
+def _refuse_unordered(rows: DataFrame, name: str) -> None:
+    # NaN is not equal to itself as a number, but Spark orders it last
+    column = F.col(name)
+    odd = column.isNull() | F.isnan(column.cast("double"))
+    if rows.filter(odd).limit(1).count():
+        raise ValueError("keys must not be null or NaN")
+
+
 def last_of_first(df: DataFrame, k: int, *keys, top_rows: int = TOP_ROWS) -> tuple | None:
     """Key tuple of the k-th row in ascending order of the numeric ``keys``,
     or of the last row when there are fewer; ``None`` when nothing is taken.
 
-    ``keys`` together must be unique. Small k is a top-k. Large k narrows the
-    range by bucket counts, one scan with a map-side aggregate per pass: no row
-    is sorted or moved, and each pass cuts the range by the bucket count.
+    ``keys`` together must be unique. Null and NaN keys are refused where they
+    would decide; infinite ones are in order like others. Small k is a top-k.
+    Large k narrows the range by counts between quantiles, two scans with
+    map-side aggregates per pass: no row is sorted or moved. Quantiles are taken
+    of the values below the largest, so every pass shrinks the range, whatever
+    the values, and a heavy value is alone after two.
     """
     if k < 0:
         raise ValueError(f"k must not be negative, got {k}")
@@ -41,7 +56,7 @@ def last_of_first(df: DataFrame, k: int, *keys, top_rows: int = TOP_ROWS) -> tup
     found: list = []
     for depth, name in enumerate(names):
         open_names = names[depth:]
-        low = high = None
+        checked = False
         while True:
             if k <= top_rows:
                 last = (
@@ -51,19 +66,21 @@ def last_of_first(df: DataFrame, k: int, *keys, top_rows: int = TOP_ROWS) -> tup
                     .first()["last"]
                 )
                 return None if last is None else tuple(found) + tuple(last)
-            if low is None:
-                low, high, size = rest.agg(F.min(name), F.max(name), F.count("*")).first()
-                if not size:
-                    return None
-                k = min(k, size)
+            if not checked:
+                _refuse_unordered(rest, name)
+                checked = True
+            low, high, size = rest.agg(F.min(name), F.max(name), F.count("*")).first()
+            if not size:
+                return None
+            k = min(k, size)
             if low == high:
                 break
-            gap = F.col(name) - F.lit(low)
-            if high - low >= 2**62:  # the bigint difference could overflow
-                gap = F.col(name).cast("double") - F.lit(float(low))
-            place = gap / F.lit(float(high - low)) * _BUCKETS
-            bucket = F.least(F.floor(place), F.lit(_BUCKETS - 1))
-            # at most _BUCKETS rows come back
+            below = F.when(F.col(name) < F.lit(high), F.col(name))
+            quantiles = F.percentile_approx(below, _SHARES, 100 * len(_SHARES))
+            bounds = sorted(set(rest.agg(quantiles).first()[0]))
+            listed = F.array(*[F.lit(b) for b in bounds])
+            bucket = F.size(F.filter(listed, lambda b: b < F.col(name)))
+            # at most one row more than there are shares comes back
             counts = (
                 rest.groupBy(bucket.alias("bucket"))
                 .agg(F.count("*").alias("n"), F.min(name).alias("lo"), F.max(name).alias("hi"))
@@ -72,10 +89,10 @@ def last_of_first(df: DataFrame, k: int, *keys, top_rows: int = TOP_ROWS) -> tup
             )
             for row in counts:
                 if k <= row["n"]:
-                    low, high = row["lo"], row["hi"]
+                    inside = F.col(name).between(F.lit(row["lo"]), F.lit(row["hi"]))
                     break
                 k -= row["n"]
-            rest = rest.filter(F.col(name).between(F.lit(low), F.lit(high)))
+            rest = rest.filter(inside)
         found.append(low)
         rest = rest.filter(F.col(name) == F.lit(low))
     return tuple(found)
@@ -89,14 +106,14 @@ def at_or_before(keys, cut: tuple | None) -> Column:
     return _order_struct(keys) <= bound
 
 
-def first_k(df: DataFrame, k: int, *keys) -> DataFrame:
+def first_k(df: DataFrame, k: int, *keys, top_rows: int = TOP_ROWS) -> DataFrame:
     """The first k rows in ascending order of unique numeric ``keys``."""
-    return df.filter(at_or_before(keys, last_of_first(df, k, *keys)))
+    return df.filter(at_or_before(keys, last_of_first(df, k, *keys, top_rows=top_rows)))
 
 
-def sample_k(df: DataFrame, k: int, seed, key: str = "id") -> DataFrame:
+def sample_k(df: DataFrame, k: int, seed, key: str = "id", top_rows: int = TOP_ROWS) -> DataFrame:
     """k rows drawn without replacement: the first k in hash order."""
-    return first_k(df, k, portable_uniform(seed, key), F.col(key))
+    return first_k(df, k, portable_uniform(seed, key), F.col(key), top_rows=top_rows)
 
 
 def dense_index(df: DataFrame, *keys, name: str = "idx") -> DataFrame:
@@ -126,3 +143,67 @@ def dense_index(df: DataFrame, *keys, name: str = "idx") -> DataFrame:
         .withColumn(name, F.col("_start") + F.col("_slot").bitwiseAND(F.lit((1 << 33) - 1)))
         .drop("_block", "_start", "_slot")
     )
+
+
+def with_next(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Each row but the last with the next row's ``cols`` as ``next_<col>``, in
+    the order of unique ``keys``.
+
+    Rows are range-partitioned and sorted once; within a partition the next row
+    is the one after, and only the first row of every partition is passed to the
+    partition before, on the driver. Runs a job.
+    """
+    order = _columns(keys)
+    names = [f"next_{c}" for c in cols]
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def shifted(batches):
+        block = TaskContext.get().partitionId()
+
+        def joined(batch, following, first):
+            n = batch.num_rows
+            edge = np.zeros(n, np.int8)
+            edge[0] = first
+            edge[n - 1] |= 2 * (following is None)
+            nexts = []
+            for c in cols:
+                own = batch.column(c).slice(1)
+                tail = pa.nulls(1, own.type) if following is None else following.column(c).slice(0, 1)
+                nexts.append(pa.concat_arrays([own, tail]))
+            blocks = pa.array(np.full(n, block, np.int32))
+            return pa.RecordBatch.from_arrays(
+                [*batch.columns, *nexts, blocks, pa.array(edge)],
+                [*batch.schema.names, *names, "_block", "_edge"],
+            )
+
+        held, first = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                yield joined(held, batch, first)
+                first = False
+            held = batch
+        if held is not None:
+            yield joined(held, None, first)
+
+    schema = T.StructType(
+        [T.StructField(f.name, f.dataType) for f in df.schema]
+        + [T.StructField(n, df.schema[c].dataType) for n, c in zip(names, cols)]
+        + [T.StructField("_block", T.IntegerType()), T.StructField("_edge", T.ByteType())]
+    )
+    placed = cut_lineage(ranged.mapInArrow(shifted, schema))
+    # one row per partition
+    heads = placed.filter(F.col("_edge").bitwiseAND(F.lit(1)) == 1).select("_block", *cols).collect()
+    heads.sort(key=lambda r: r["_block"])
+    followers = [(a["_block"], *[b[c] for c in cols]) for a, b in zip(heads, heads[1:])]
+    passed = T.StructType(
+        [T.StructField("_block", T.IntegerType())]
+        + [T.StructField(f"_{n}", df.schema[c].dataType) for n, c in zip(names, cols)]
+    )
+    table = df.sparkSession.createDataFrame(followers, passed)
+    last = F.col("_edge") >= 2
+    joined = placed.join(F.broadcast(table.withColumn("_known", F.lit(True))), "_block", "left")
+    return joined.filter(~last | F.col("_known")).select(
+        *df.columns, *[F.when(last, F.col(f"_{n}")).otherwise(F.col(n)).alias(n) for n in names]
+    )

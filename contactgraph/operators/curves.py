@@ -1,19 +1,13 @@
-"""Compartment curves and step quotas from tables of scenarios."""
+"""Counts, step quotas and peaks of observed curves; grids of scenarios."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactgraph.operators.relabel import observed_counts
 from contactgraph.schema import QUOTAS, SCENARIOS, conform
 
-_CURVES = "scenario_id long, step int, s double, i double, r double, n long"
-
 
 def scenario_grid(base: DataFrame, **lists) -> DataFrame:
     """Every row of ``base`` with every combination of the given parameter
@@ -38,62 +32,7 @@ def scenario_grid(base: DataFrame, **lists) -> DataFrame:
     return conform(grid.withColumn("scenario_id", number), SCENARIOS)
 
 
-def _slopes(s, i, beta, gamma):
-    caught = beta * s * i
-    healed = gamma * i
-    return -caught, caught - healed, healed
-
-
-def _advance(s, i, r, beta, gamma, h):
-    """One fourth-order Runge-Kutta step for a batch of scenarios."""
-    s1, i1, r1 = _slopes(s, i, beta, gamma)
-    s2, i2, r2 = _slopes(s + h / 2 * s1, i + h / 2 * i1, beta, gamma)
-    s3, i3, r3 = _slopes(s + h / 2 * s2, i + h / 2 * i2, beta, gamma)
-    s4, i4, r4 = _slopes(s + h * s3, i + h * i3, beta, gamma)
-    return (
-        s + h / 6 * (s1 + 2 * s2 + 2 * s3 + s4),
-        i + h / 6 * (i1 + 2 * i2 + 2 * i3 + i4),
-        r + h / 6 * (r1 + 2 * r2 + 2 * r3 + r4),
-    )
-
-
-def compartment_curves(scenarios: DataFrame, substeps: int = 10) -> DataFrame:
-    """Shares ``(s, i, r)`` of each scenario at the points ``k·step_size`` below
-    ``t_end + step_size``, with ``substeps`` integration steps per point.
-
-    Scenarios are independent rows; each Arrow batch is advanced as a whole,
-    and one point of all its scenarios is handed on at a time.
-    """
-    if substeps < 1:
-        raise ValueError("substeps must be at least 1")
-
-    def points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            beta, gamma = batch["beta"].to_numpy(), batch["gamma"].to_numpy()
-            size = batch["step_size"].to_numpy()
-            i, r = batch["i0"].to_numpy(), batch["r0"].to_numpy()
-            s = 1.0 - i - r
-            n_points = np.ceil((batch["t_end"].to_numpy() + size) / size)
-            for step in range(int(n_points.max(initial=0))):
-                if step:
-                    for _ in range(substeps):
-                        s, i, r = _advance(s, i, r, beta, gamma, size / substeps)
-                due = step < n_points
-                yield pd.DataFrame(
-                    {
-                        "scenario_id": batch["scenario_id"].to_numpy()[due],
-                        "step": np.full(int(due.sum()), step, dtype=np.int32),
-                        "s": s[due],
-                        "i": i[due],
-                        "r": r[due],
-                        "n": batch["n"].to_numpy()[due],
-                    }
-                )
-
-    return conform(scenarios, SCENARIOS).mapInPandas(points, _CURVES)
-
-
-def compartment_counts(curves: DataFrame) -> DataFrame:
+def rounded_counts(curves: DataFrame) -> DataFrame:
     """Add ``n_s, n_i, n_r``: each share times n, rounded on its own, half to
     even. They need not add up to n."""
 

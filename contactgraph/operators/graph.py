@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from contactgraph.functions.joins import hot_join
 from contactgraph.operators.sparse import SparseVec, vec_constant_on, vec_outer
 from contactgraph.schema import RECOVERED, Network
-from contactgraph.session import cut_lineage
+from contactgraph.session import cut_lineage, partition_count
 
 # A vertex is a hub when it holds more than this share of all link ends and
 # more than HUB_LINKS of them. Shares sum to one, so there are at most
@@ -102,39 +102,61 @@ def _weighted_edges(net: Network, scope: str) -> DataFrame:
 
 
 def transition_matrix(
-    net: Network, alpha: float = -2.0, scope: str = "both", isolated_rows: bool = True
+    net: Network, alpha: float = -2.0, scope: str = "both", isolated_rows: bool = False
 ) -> DataFrame:
     """Row-stochastic ``(i, j, value)``: from i to j with weight exp(alpha·score_j)
     among i's closed neighbourhood.
 
-    The row of an isolated vertex covers all active vertices; leave those rows
-    out with ``isolated_rows=False``.
+    The rows of isolated vertices are all alike and cover all active vertices;
+    :func:`isolated_shares` gives them once. ``isolated_rows=True`` spells them
+    out, which takes a row per isolated and active vertex. Writes the edges.
     """
-    active = active_vertices(net.vertices)
-    weights = active.select(
-        F.col("id").alias("j"), F.exp(F.lit(float(alpha)) * F.col("score")).alias("weight")
+    edges = cut_lineage(_weighted_edges(net, scope))
+    weights = _weights(net, alpha)
+    by_target = hot_join(
+        both_directions(edges), weights.select(F.col("id").alias("j"), "weight"), "j"
     )
-    isolated = isolated_vertices(net, scope).select("id")
-    loops = active.join(isolated, "id", "left_anti").select(
-        F.col("id").alias("i"), F.col("id").alias("j")
+    around = by_target.groupBy(F.col("i").alias("id")).agg(F.sum("weight").alias("around"))
+    if scope == "either":
+        touched = both_directions(net.edges).select(F.col("i").alias("id")).distinct()
+        linked = weights.join(touched, "id", "left_semi").join(around, "id", "left")
+    else:
+        linked = weights.join(around, "id")
+    linked = cut_lineage(
+        linked.select("id", "weight", (F.coalesce("around", F.lit(0.0)) + F.col("weight")).alias("total"))
     )
-    links = both_directions(_weighted_edges(net, scope))
-    weighted = hot_join(links.unionByName(loops), weights, "j")
-    totals = weighted.groupBy("i").agg(F.sum("weight").alias("total"))
-    rows = hot_join(weighted, totals, "i").select(
+    totals = linked.select(F.col("id").alias("i"), "total")
+    rows = hot_join(by_target, totals, "i").select(
         "i", "j", (F.col("weight") / F.col("total")).alias("value")
     )
+    loops = linked.select(
+        F.col("id").alias("i"), F.col("id").alias("j"), (F.col("weight") / F.col("total")).alias("value")
+    )
+    rows = rows.unionByName(loops)
     if not isolated_rows:
         return rows
-    # these rows are all alike: each weight's share of the sum of weights
-    size, total = weights.agg(F.count("*"), F.sum("weight")).first()
-    shares = weights.select(
-        F.col("j").alias("i"), (F.col("weight") / F.lit(total or 1.0)).alias("value")
-    )
+    shares = isolated_shares(net, alpha).select(F.col("id").alias("i"), F.col("share").alias("value"))
+    size = weights.count()
+    isolated = isolated_vertices(net, scope).select("id")
     alike = vec_outer(vec_constant_on(isolated, 1.0, size), SparseVec(shares, size))
     return rows.unionByName(alike.df)
 
 
+def _weights(net: Network, alpha: float) -> DataFrame:
+    return active_vertices(net.vertices).select(
+        "id", F.exp(F.lit(float(alpha)) * F.col("score")).alias("weight")
+    )
+
+
+def isolated_shares(net: Network, alpha: float = -2.0) -> DataFrame:
+    """``(id, share)``: the row of the transition matrix that every vertex of
+    :func:`isolated_vertices` has, each active vertex's share of all weight.
+    One row per vertex, however many are isolated."""
+    weights = _weights(net, alpha)
+    total = weights.agg(F.sum("weight")).first()[0]
+    return weights.select("id", (F.col("weight") / F.lit(total or 1.0)).alias("share"))
+
+
 class _Neighbours:
     """Adjacency laid out for repeated neighbour sums.
 
@@ -200,6 +222,7 @@ def walk_rank(
     scope: str = "both",
     cut_every: int = 5,
     hub_links: int = HUB_LINKS,
+    links_per_partition: int | None = None,
 ) -> DataFrame:
     """``(id, r)`` after ``steps`` steps of the softmax walk from the uniform
     start, over active vertices; r sums to 1.
@@ -207,12 +230,14 @@ def walk_rank(
     A walker at i moves within i's closed neighbourhood, to j with weight
     ``exp(alpha·score_j)``; from an isolated vertex it may move to anyone. No
     one moves to an isolated vertex except from isolated ones, so their share
-    has a closed form and only linked vertices are iterated.
+    has a closed form and only linked vertices are iterated. The links are laid
+    out in as many partitions as their number takes at ``links_per_partition``
+    (default as for other tables), not fewer than the session's setting.
+    Computes the walk when called.
     """
     if steps < 0 or cut_every < 1:
         raise ValueError("steps must be >= 0 and cut_every >= 1")
     spark = net.vertices.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = []
 
     def hold(df: DataFrame) -> DataFrame:
@@ -239,6 +264,7 @@ def walk_rank(
         rank = linked.select("id", F.lit(start).alias("r"))
         if n > n_isolated and steps:
             degrees = linked.select("id", "degree")
+            partitions = partition_count(spark, n_links + n, links_per_partition)
             near = _Neighbours(links, degrees, n_links, partitions, hub_links, hold)
             around = near.sums(linked.select("id", F.col("weight").alias("x")))
             base = hold(

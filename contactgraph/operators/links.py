@@ -7,14 +7,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactgraph.functions.hashing import portable_uniform, uniform_text
+from contactgraph.functions.hashing import uniform_text
 from contactgraph.functions.joins import hot_join
-from contactgraph.functions.ordering import dense_index
+from contactgraph.functions.ordering import dense_index, with_next
 from contactgraph.schema import EDGES, Network, conform
-from contactgraph.session import spread
+from contactgraph.session import cut_lineage, spread
 
-_BLOCK = 1_024  # target ids per array in missing_pairs
-_SOURCES = 16_384  # about as many sources meet one copy of a target block
+_PIECE = 1_024  # numbers per array
+# Ranges are not longer than 2**40; at lower rates there are more ranges than
+# links, which changes the work and not the law.
 _MAX_LEVELS = 40
 
 
@@ -23,49 +24,39 @@ def _eligible_ids(net: Network, eligible: Column | None) -> DataFrame:
     return vertices.select("id")
 
 
-def missing_pairs(net: Network, eligible: Column | None = None) -> DataFrame:
-    """All pairs ``src < dst`` of (eligible) vertices that have no edge.
+def missing_ranges(net: Network, eligible: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(src, first, last)`` and ``(id, idx)``: for each source the ranges of
+    later numbers ``idx`` that hold no neighbour of it.
 
-    The answer has about n*n/2 rows. They come into being in the last, narrow
-    step: what is shuffled is one row per source and block of 1,024 targets,
-    with the targets and the known neighbours as bounded arrays. A block is
-    met by bounded pieces of the sources, so that no task expands them all.
+    (Eligible) vertices are numbered from 1 by id. There are at most as many
+    ranges as vertices and edges together. Each vertex stands before its later
+    neighbours as a neighbour of itself, all are put in order once, and what lies
+    between one and the next is a range; so the neighbours of a hub are spread
+    like others. Runs jobs.
     """
-    ids = dense_index(_eligible_ids(net, eligible), "id")
+    ids = cut_lineage(dense_index(_eligible_ids(net, eligible), "id"))
     n = ids.count()
-    pieces = max(1, -(-n // _SOURCES))
-    block = F.floor((F.col("idx") - 1) / F.lit(_BLOCK)).cast("long")
-    ids = ids.select("id", block.alias("block"))
-    every_piece = F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)).cast("array<bigint>"))
-    targets = (
-        ids.groupBy("block")
-        .agg(F.array_sort(F.collect_list("id")).alias("targets"))
-        .withColumn("piece", every_piece)
-    )
-    last_block = F.lit(max(n - 1, 0) // _BLOCK).cast("long")
-    sources = ids.select(
-        F.col("id").alias("src"),
-        F.explode(F.sequence(F.col("block"), last_block)).alias("block"),
-    )
-    known = (
-        hot_join(net.edges, ids.withColumnRenamed("id", "dst"), "dst")
-        .groupBy("src", "block")
-        .agg(F.collect_set("dst").alias("known"))
-    )
-    sources = sources.join(known, ["src", "block"], "left").withColumn(
-        "piece", F.pmod(F.xxhash64("src"), F.lit(pieces).cast("long"))
-    )
-    nothing = F.array().cast("array<bigint>")
-    later = F.filter("targets", lambda t: t > F.col("src"))
-    pairs = (
-        spread(sources, "block", "piece")
-        .join(targets, ["block", "piece"])
-        .select(
-            "src",
-            F.explode(F.array_except(later, F.coalesce("known", nothing))).alias("dst"),
-        )
+    by_src = hot_join(net.edges, ids.select(F.col("id").alias("src"), F.col("idx").alias("s")), "src")
+    by_both = hot_join(by_src, ids.select(F.col("id").alias("dst"), F.col("idx").alias("t")), "dst")
+    own = ids.select(F.col("id").alias("src"), F.col("idx").alias("s"), F.col("idx").alias("t"))
+    ordered = by_both.select("src", "s", "t").unionByName(own)
+    after = with_next(ordered, ["s", "t"], ["s", "t"])
+    last = F.when(F.col("next_s") == F.col("s"), F.col("next_t") - 1).otherwise(F.lit(n))
+    ranges = after.select("src", (F.col("t") + 1).alias("first"), last.alias("last"))
+    return ranges.filter("first <= last"), ids
+
+
+def missing_pairs(net: Network, eligible: Column | None = None) -> DataFrame:
+    """All pairs ``src < dst`` of (eligible) vertices that have no edge: the
+    ranges of :func:`missing_ranges`, spelled out in pieces of 1,024. The answer
+    has about n*n/2 rows, so it is for small vertex sets."""
+    ranges, ids = missing_ranges(net, eligible)
+    pieces = ranges.select(
+        "src", "last", F.explode(F.sequence("first", "last", F.lit(_PIECE).cast("long"))).alias("lo")
     )
-    return conform(pairs, EDGES)
+    numbers = F.sequence("lo", F.least("last", F.col("lo") + (_PIECE - 1)))
+    pairs = spread(pieces, "src", "lo").select("src", F.explode(numbers).alias("idx"))
+    return conform(pairs.join(ids.withColumnRenamed("id", "dst"), "idx"), EDGES)
 
 
 def link_rate(alpha: float, beta: float, sdf: float) -> float:
@@ -96,8 +87,12 @@ def _sampled_ranks(ids: DataFrame, n: int, rate: float, seed) -> DataFrame:
     def hit(length: str) -> str:
         return f"(-expm1({length} * {math.log1p(-rate)!r}D))"
 
-    ranges = ids.filter(F.col("idx") < n).selectExpr(
-        "id src", f"explode(sequence(idx + 1, {n}L, {span}L)) lo"
+    # in two levels, so that no row holds more than n / (1024 span) numbers
+    wide = span * _PIECE
+    ranges = (
+        ids.filter(F.col("idx") < n)
+        .selectExpr("id src", f"explode(sequence(idx + 1, {n}L, {wide}L)) far")
+        .selectExpr("src", f"explode(sequence(far, least({n}L, far + {wide - span}L), {span}L)) lo")
     )
     roots = ranges.selectExpr("src", "lo", f"least({span}L, {n}L - lo + 1) len")
     chance = f"{uniform_text(seed, chr(39) + 'root' + chr(39), 'src', 'lo')} < {hit('len')}"
@@ -133,24 +128,19 @@ def propose_links(
     beta: float,
     sdf: float,
     seed,
-    mode: str = "skip",
     eligible: Column | None = None,
 ) -> DataFrame:
     """New edges, each missing pair drawn on its own at :func:`link_rate`.
 
-    ``mode="skip"`` does work in proportion to the links drawn;
-    ``mode="enumerate"`` draws per pair and suits small vertex sets only. Both
-    follow the same law with different draws. Recovered vertices take part
+    Work is in proportion to the links drawn. Recovered vertices take part
     unless ``eligible`` says otherwise. The caller unions with the old edges.
+    Runs jobs to number the vertices.
     """
     rate = link_rate(alpha, beta, sdf)
-    if mode == "enumerate":
-        return missing_pairs(net, eligible).filter(portable_uniform(seed, "src", "dst") < rate)
-    if mode != "skip":
-        raise ValueError(f"mode must be 'skip' or 'enumerate', got {mode!r}")
     if rate >= 1.0:
-        return missing_pairs(net, eligible)
+        raise ValueError("the rate rounds to 1: beta + sdf is too small beside alpha")
     ids = dense_index(_eligible_ids(net, eligible), "id")
-    drawn = _sampled_ranks(spread(ids, "id"), ids.count(), rate, seed)
+    n = ids.count()
+    drawn = _sampled_ranks(spread(ids, "id", rows=int(rate * n * (n - 1) / 2)), n, rate, seed)
     pairs = drawn.join(ids.select(F.col("id").alias("dst"), F.col("idx").alias("t")), "t")
     return conform(pairs, EDGES).join(net.edges, ["src", "dst"], "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contactgraph.functions.hashing import portable_uniform
 from contactgraph.functions.joins import hot_join
-from contactgraph.functions.ordering import at_or_before, last_of_first
+from contactgraph.functions.ordering import TOP_ROWS, at_or_before, last_of_first
 from contactgraph.schema import INFECTED, RECOVERED, SUSCEPTIBLE, VERTICES, Network, conform
 from contactgraph.session import cut_lineage
 
@@ -28,11 +28,18 @@ def rank_order(score: str = "score", key: str = "id") -> list:
     return [-F.round(F.col(score), 12), F.col(key)]
 
 
-def relabel(net: Network, scores: DataFrame, n_infected: int, n_recovered: int, seed) -> Network:
+def relabel(
+    net: Network,
+    scores: DataFrame,
+    n_infected: int,
+    n_recovered: int,
+    seed,
+    top_rows: int = TOP_ROWS,
+) -> Network:
     """The ``n_infected`` best-scored susceptibles become infected (score 1) and
     ``n_recovered`` random ones of those infected before become recovered
     (score 0, edges removed). Others take their new score, or keep the old
-    one when they have none."""
+    one when they have none. Finds both cut points when called."""
     new = scores.select("id", F.col("score").alias("new_score"))
     rows = cut_lineage(net.vertices.join(new, "id", "left"))
     scored = F.col("new_score").isNotNull()
@@ -41,8 +48,8 @@ def relabel(net: Network, scores: DataFrame, n_infected: int, n_recovered: int,
 
     best = rank_order("new_score")
     draw = [portable_uniform(seed, F.lit("recover"), F.col("id")), F.col("id")]
-    best_cut = last_of_first(rows.filter(susceptible), n_infected, *best)
-    draw_cut = last_of_first(rows.filter(infected), n_recovered, *draw)
+    best_cut = last_of_first(rows.filter(susceptible), n_infected, *best, top_rows=top_rows)
+    draw_cut = last_of_first(rows.filter(infected), n_recovered, *draw, top_rows=top_rows)
     falls_ill = susceptible & at_or_before(best, best_cut)
     recovers = infected & at_or_before(draw, draw_cut)
 

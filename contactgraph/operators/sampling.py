@@ -6,12 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactgraph.functions.hashing import portable_uniform
-from contactgraph.functions.ordering import (
-    at_or_before,
-    dense_index,
-    first_k,
-    last_of_first,
-)
+from contactgraph.functions.ordering import TOP_ROWS, at_or_before, dense_index, first_k, last_of_first
 from contactgraph.schema import (
     EDGES,
     INFECTED,
@@ -23,7 +18,9 @@ from contactgraph.schema import (
 )
 
 
-def label_sample(ids: DataFrame, n_infected: int, n_recovered: int, seed) -> DataFrame:
+def label_sample(
+    ids: DataFrame, n_infected: int, n_recovered: int, seed, top_rows: int = TOP_ROWS
+) -> DataFrame:
     """Vertices with ``n_infected`` random ids infected, another ``n_recovered``
     recovered, the rest susceptible; score 1 for infected, else 0.
 
@@ -32,8 +29,8 @@ def label_sample(ids: DataFrame, n_infected: int, n_recovered: int, seed) -> Dat
     if n_infected < 0 or n_recovered < 0:
         raise ValueError("counts must not be negative")
     order = [portable_uniform(seed, F.lit("label"), F.col("id")), F.col("id")]
-    infected = last_of_first(ids, n_infected, *order)
-    labelled = last_of_first(ids, n_infected + n_recovered, *order)
+    infected = last_of_first(ids, n_infected, *order, top_rows=top_rows)
+    labelled = last_of_first(ids, n_infected + n_recovered, *order, top_rows=top_rows)
     status = (
         F.when(at_or_before(order, infected), F.lit(INFECTED))
         .when(at_or_before(order, labelled), F.lit(RECOVERED))

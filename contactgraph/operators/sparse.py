@@ -177,27 +177,32 @@ def vec_outer(u: SparseVec, v: SparseVec, side: int = _SIDE) -> SparseMat:
     """Outer product, zeros dropped.
 
     The result has an entry per pair, so it is laid out as a grid: each vector
-    is hashed into pieces of about ``side`` entries, copied to the cells of its
-    row or column of the grid, and joined on the cell.
+    is hashed into pieces of about ``side`` stored entries, copied to the cells
+    of its row or column of the grid, and joined on the cell. A vector of at most
+    ``side`` entries is one piece, and then the other one is not copied at all.
+    Writes both vectors and counts them.
     """
     _need(SparseVec, u, v)
-    rows = max(1, -(-u.size // side))
-    cols = max(1, -(-v.size // side))
-
     stored = F.col("value") != 0
-    left = u.df.filter(stored).select(
+    left, right = cut_lineage(u.df.filter(stored)), cut_lineage(v.df.filter(stored))
+    n_left, n_right = left.count(), right.count()
+    rows = max(1, -(-n_left // side))
+    cols = max(1, -(-n_right // side))
+
+    left = left.select(
         "i",
         "value",
         _piece("i", F.lit(rows)).alias("cell_row"),
         _every(F.lit(cols)).alias("cell_col"),
     )
-    right = v.df.filter(stored).select(
+    right = right.select(
         F.col("i").alias("j"),
         F.col("value").alias("other"),
         _piece("i", F.lit(cols)).alias("cell_col"),
         _every(F.lit(rows)).alias("cell_row"),
     )
-    product = spread(left, "cell_row", "cell_col").join(right, ["cell_row", "cell_col"]).select(
+    laid = spread(left, "cell_row", "cell_col", rows=n_left * n_right)
+    product = laid.join(right, ["cell_row", "cell_col"]).select(
         "i", "j", (F.col("value") * F.col("other")).alias("value")
     )
     return SparseMat(product.filter(F.col("value") != 0), u.size, v.size)
@@ -223,9 +228,10 @@ def mat_transpose(a: SparseMat) -> SparseMat:
     return SparseMat(swapped, a.n_cols, a.n_rows)
 
 
-def _hot_indices(a: SparseMat, b: SparseMat, side: int) -> DataFrame | None:
+def _hot_indices(a: SparseMat, b: SparseMat, side: int) -> tuple[DataFrame | None, bool]:
     """``(k, cell_rows, cell_cols)`` for shared indices whose product has more
-    than side*side terms; None when there are none."""
+    than side*side terms, None when there are none; and whether it is short
+    enough to be broadcast."""
     left = a.df.groupBy(F.col("j").alias("k")).agg(F.count("*").alias("rows"))
     right = b.df.groupBy(F.col("i").alias("k")).agg(F.count("*").alias("cols"))
     hot = (
@@ -239,11 +245,11 @@ def _hot_indices(a: SparseMat, b: SparseMat, side: int) -> DataFrame | None:
     )
     listed = hot.limit(_LISTED + 1).collect()
     if not listed:
-        return None
+        return None, True
     if len(listed) > _LISTED:
-        return cut_lineage(hot)
+        return cut_lineage(hot), False
     schema = "k long, cell_rows long, cell_cols long"
-    return F.broadcast(a.df.sparkSession.createDataFrame(listed, schema))
+    return F.broadcast(a.df.sparkSession.createDataFrame(listed, schema)), True
 
 
 def mat_mul(a: SparseMat, b: SparseMat, side: int = _SIDE) -> SparseMat:
@@ -252,21 +258,26 @@ def mat_mul(a: SparseMat, b: SparseMat, side: int = _SIDE) -> SparseMat:
     The terms of a shared index are all pairs of its column in ``a`` and its
     row in ``b``. An index with more than side*side of them is cut into a grid
     of pieces, each met by copies of the other side, so no task forms them all.
+    Writes both matrices once.
     """
     _need(SparseMat, a, b)
     _same(a.n_cols, b.n_rows)
+    # read by the count of hot indices and by the product
+    a, b = (SparseMat(cut_lineage(m.df), m.n_rows, m.n_cols) for m in (a, b))
     left = a.df.select("i", F.col("j").alias("k"), "value")
     right = b.df.select(F.col("i").alias("k"), "j", F.col("value").alias("other"))
     keys = ["k"]
-    hot = _hot_indices(a, b, side)
+    hot, listed = _hot_indices(a, b, side)
     if hot is not None:
+        # a short list is broadcast; a long one meets hot indices on both sides
+        joined = (lambda m: m.join(hot, "k", "left")) if listed else (lambda m: hot_join(m, hot, "k", "left"))
         rows = F.coalesce("cell_rows", F.lit(1))
         cols = F.coalesce("cell_cols", F.lit(1))
         keys = ["k", "cell_row", "cell_col"]
-        left = left.join(hot, "k", "left").select(
+        left = joined(left).select(
             "i", "k", "value", _piece("i", rows).alias("cell_row"), _every(cols).alias("cell_col")
         )
-        right = right.join(hot, "k", "left").select(
+        right = joined(right).select(
             "k", "j", "other", _every(rows).alias("cell_row"), _piece("j", cols).alias("cell_col")
         )
         left = spread(left, *keys)

@@ -11,27 +11,30 @@ from pyspark.sql import functions as F
 from contactgraph.functions.ordering import dense_index, sample_k
 from contactgraph.operators import curves, graph, links, sampling, sparse
 from contactgraph.operators.relabel import prune_edges, rank_order, relabel
-from contactgraph.plans.advance import advance_snapshot
 from contactgraph.schema import INFECTED, SUSCEPTIBLE, Network
-from contactgraph.session import fresh_folder
+from contactgraph.session import cut_lineage, fresh_folder
 from contactgraph.sources import snapshots, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 ALPHA = -2.0
 SEED = 42
-QUOTA = (20, 10)
-N_LABELS = (300, 200)
-N_PAIRS = 100
-N_PRUNED = 100
+# Quotas and samples are one vertex in so many, so they grow with the tables.
+INFECTED_IN, RECOVERED_IN = 75, 150
+ILL_LABELS_IN, RECOVERED_LABELS_IN = 5, 8
+PAIRS_IN = SAMPLE_IN = 15
+# Above this many rows the selections count instead of sorting; low, so that
+# the counting is what the queries run.
+TOP_ROWS = 8
 TOP = 20
-LINKS = dict(alpha=30.0, beta=75.0, sdf=70.0)
 # SPARSE_SDF times the number of vertices, so that links grow with vertices
 SPARSE_ALPHA, SPARSE_BETA, SPARSE_SDF = 2.0, 5.0, 10
 GRID_BETA = [0.3, 0.45, 0.6]
 GRID_GAMMA = [0.05, 0.1]
 QUOTA_STEP = 5
 ROW_BLOCK = 1000
+GRID_SIDE = 8
+CUSTOMERS_WITH = 0.25
 
 
 def _rounded(df: DataFrame, places: int = 9, *cols: str) -> DataFrame:
@@ -61,13 +64,32 @@ def closed_adjacency_real(spark, sf_dir):
     return graph.closed_adjacency(tables.customer_network(spark, sf_dir))
 
 
-def transition_matrix(spark, sf_dir, source, isolated_rows):
-    matrix = graph.transition_matrix(
-        source(spark, sf_dir), ALPHA, isolated_rows=isolated_rows
-    )
+def transition_matrix(spark, sf_dir, source, scope="both", isolated_rows=False):
+    matrix = graph.transition_matrix(source(spark, sf_dir), ALPHA, scope, isolated_rows)
     return _rounded(matrix, 9, "value")
 
 
+def isolated_shares(spark, sf_dir):
+    """The one row that all isolated customers have in the transition matrix."""
+    shares = graph.isolated_shares(tables.customer_network(spark, sf_dir), ALPHA)
+    return _rounded(shares, 12, "share")
+
+
+def _vector_of_scores(spark, sf_dir):
+    well = F.col("score") >= CUSTOMERS_WITH
+    return graph.score_vector(tables.customer_vertices(spark, sf_dir), well)[1]
+
+
+def score_vector(spark, sf_dir):
+    vector = _vector_of_scores(spark, sf_dir)
+    return vector.df.withColumn("size", F.lit(vector.size).cast("bigint"))
+
+
+def vector_to_scores(spark, sf_dir):
+    halved = sparse.vec_apply(_vector_of_scores(spark, sf_dir), lambda x: x / 2)
+    return graph.vector_to_scores(halved)
+
+
 def walk_rank(spark, sf_dir, steps, scope, source):
     return _rounded(graph.walk_rank(source(spark, sf_dir), ALPHA, steps, scope), 9, "r")
 
@@ -95,9 +117,16 @@ def top_susceptible(spark, sf_dir):
 # relabelling
 
 
+def _quota(n: int) -> tuple[int, int]:
+    return n // INFECTED_IN, n // RECOVERED_IN
+
+
 def _customer_relabel(spark, sf_dir) -> Network:
     net = tables.customer_network(spark, sf_dir)
-    return relabel(net, graph.rescore(net, ALPHA, 3), *QUOTA, SEED)
+    # read by the walk, by the selection and by the removal of edges
+    net = Network(net.vertices, cut_lineage(net.edges))
+    scores = graph.rescore(net, ALPHA, 3)
+    return relabel(net, scores, *_quota(net.vertices.count()), SEED, TOP_ROWS)
 
 
 def relabel_vertices(spark, sf_dir):
@@ -111,7 +140,7 @@ def relabel_edges(spark, sf_dir):
 def pruned_edges(spark, sf_dir):
     net = tables.customer_network(spark, sf_dir)
     infected = net.vertices.filter(F.col("health_status") == INFECTED)
-    return prune_edges(net.edges, sample_k(infected, N_PRUNED, SEED))
+    return prune_edges(net.edges, infected)
 
 
 # sampling
@@ -119,16 +148,34 @@ def pruned_edges(spark, sf_dir):
 
 def label_sample(spark, sf_dir):
     ids = tables.customer_vertices(spark, sf_dir).select("id")
-    return sampling.label_sample(ids, *N_LABELS, SEED)
+    n = ids.count()
+    return sampling.label_sample(ids, n // ILL_LABELS_IN, n // RECOVERED_LABELS_IN, SEED, TOP_ROWS)
 
 
 def sample_customers(spark, sf_dir):
-    return sample_k(tables.customer_vertices(spark, sf_dir), N_PRUNED, SEED).select("id")
+    customers = tables.customer_vertices(spark, sf_dir)
+    return sample_k(customers, customers.count() // SAMPLE_IN, SEED, top_rows=TOP_ROWS).select("id")
 
 
 def disjoint_pairs(spark, sf_dir):
     ids = tables.customer_vertices(spark, sf_dir).select("id")
-    return sampling.disjoint_pairs(ids, N_PAIRS, SEED)
+    return sampling.disjoint_pairs(ids, ids.count() // PAIRS_IN, SEED)
+
+
+def _initial_network(spark, sf_dir) -> Network:
+    ids = tables.customer_vertices(spark, sf_dir).select("id")
+    n = ids.count()
+    return sampling.initial_network(
+        ids, n // PAIRS_IN, n // ILL_LABELS_IN, n // RECOVERED_LABELS_IN, SEED
+    )
+
+
+def initial_vertices(spark, sf_dir):
+    return _initial_network(spark, sf_dir).vertices
+
+
+def initial_edges(spark, sf_dir):
+    return _initial_network(spark, sf_dir).edges
 
 
 def order_index(spark, sf_dir):
@@ -136,19 +183,14 @@ def order_index(spark, sf_dir):
     return dense_index(orders, "o_orderdate", "o_orderkey").select("o_orderkey", "idx")
 
 
-def missing_pairs(spark, sf_dir):
-    return links.missing_pairs(tables.user_network(spark, sf_dir))
-
-
-def propose_links_enumerate(spark, sf_dir):
-    net = tables.user_network(spark, sf_dir)
-    return links.propose_links(net, seed=SEED, mode="enumerate", **LINKS)
+def missing_ranges(spark, sf_dir):
+    return links.missing_ranges(tables.customer_network(spark, sf_dir))[0]
 
 
 def propose_links_skip(spark, sf_dir):
     net = tables.customer_network(spark, sf_dir)
     sdf = float(SPARSE_SDF * net.vertices.count())
-    return links.propose_links(net, SPARSE_ALPHA, SPARSE_BETA, sdf, SEED, mode="skip")
+    return links.propose_links(net, SPARSE_ALPHA, SPARSE_BETA, sdf, SEED)
 
 
 # sparse algebra
@@ -196,9 +238,9 @@ def mat_transpose(spark, sf_dir):
     return sparse.mat_transpose(tables.purchases(spark, sf_dir)).df
 
 
-def mat_mul(spark, sf_dir):
+def mat_mul(spark, sf_dir, **options):
     sold = sparse.mat_transpose(tables.trade(spark, sf_dir, "l_tax"))
-    return _rounded(sparse.mat_mul(tables.trade(spark, sf_dir), sold).df, 4, "value")
+    return _rounded(sparse.mat_mul(tables.trade(spark, sf_dir), sold, **options).df, 4, "value")
 
 
 def mat_diag(spark, sf_dir):
@@ -240,29 +282,29 @@ def matrix_rows(spark, sf_dir):
 # curves
 
 
-def _supplier_curves(spark, sf_dir):
-    return curves.compartment_curves(tables.supplier_scenarios(spark, sf_dir))
+def _supplier_counts(spark, sf_dir):
+    return curves.rounded_counts(tables.supplier_curves(spark, sf_dir))
 
 
-def compartment_curves(spark, sf_dir):
-    return _rounded(_supplier_curves(spark, sf_dir), 6, "s", "i", "r")
-
-
-def compartment_counts(spark, sf_dir):
-    counts = curves.compartment_counts(_supplier_curves(spark, sf_dir))
+def rounded_counts(spark, sf_dir):
+    counts = _supplier_counts(spark, sf_dir)
     return counts.select("scenario_id", "step", "n_s", "n_i", "n_r")
 
 
 def _supplier_quotas(spark, sf_dir):
-    return curves.step_quotas(curves.compartment_counts(_supplier_curves(spark, sf_dir)))
+    return curves.step_quotas(_supplier_counts(spark, sf_dir))
 
 
 def step_quotas(spark, sf_dir):
     return _supplier_quotas(spark, sf_dir)
 
 
+def _event_quotas(spark, sf_dir):
+    return curves.step_quotas(curves.rounded_counts(tables.event_curve(spark, sf_dir)))
+
+
 def event_quotas(spark, sf_dir):
-    return curves.step_quotas(curves.compartment_counts(tables.event_curve(spark, sf_dir)))
+    return _event_quotas(spark, sf_dir)
 
 
 def quota_at(spark, sf_dir):
@@ -270,21 +312,17 @@ def quota_at(spark, sf_dir):
 
 
 def quota_cursor(spark, sf_dir):
-    quotas = curves.step_quotas(curves.compartment_counts(tables.event_curve(spark, sf_dir)))
-    return curves.quota_cursor(quotas).na.fill(-1)
-
-
-def _grid(spark, sf_dir):
-    base = tables.supplier_scenarios(spark, sf_dir)
-    return curves.scenario_grid(base, beta=GRID_BETA, gamma=GRID_GAMMA)
+    return curves.quota_cursor(_event_quotas(spark, sf_dir)).na.fill(-1)
 
 
 def scenario_grid(spark, sf_dir):
-    return _rounded(_grid(spark, sf_dir), 9, "i0", "r0")
+    base = tables.supplier_scenarios(spark, sf_dir)
+    grid = curves.scenario_grid(base, beta=GRID_BETA, gamma=GRID_GAMMA)
+    return _rounded(grid, 9, "i0", "r0")
 
 
 def peak_infected(spark, sf_dir):
-    return curves.peak_infected(curves.compartment_curves(_grid(spark, sf_dir)))
+    return curves.peak_infected(tables.supplier_curves(spark, sf_dir))
 
 
 # snapshots
@@ -308,40 +346,31 @@ def observed_curve(spark, sf_dir):
     base = fresh_folder(spark, "history")
     net = tables.customer_network(spark, sf_dir)
     snapshots.write_snapshot(net, base, 0)
+    quota = _quota(net.vertices.count())
     for step in (1, 2):
         net = snapshots.read_snapshot(spark, base, step - 1)
-        net = relabel(net, net.vertices.select("id", "score"), *QUOTA, SEED + step)
+        net = relabel(net, net.vertices.select("id", "score"), *quota, SEED + step, TOP_ROWS)
         snapshots.write_snapshot(net, base, step, input_step=step - 1)
     return curves.observed_curve(snapshots.read_history(spark, base)[0])
 
 
-def _advanced(spark, sf_dir) -> Network:
-    base = fresh_folder(spark, "advance")
-    net = tables.user_network(spark, sf_dir)
-    snapshots.write_snapshot(net, base, 0)
-    counts = curves.compartment_counts(
-        curves.compartment_curves(tables.user_scenario(spark, sf_dir))
-    )
-    return advance_snapshot(
-        spark,
-        base,
-        0,
-        curves.step_quotas(counts),
-        seed=SEED,
-        alpha=ALPHA,
-        walk_steps=3,
-        link_alpha=SPARSE_ALPHA,
-        link_beta=SPARSE_BETA,
-        link_sdf=float(SPARSE_SDF * net.vertices.count()),
-    )
+def _foreign(spark, sf_dir) -> Network:
+    """Headerless CSV as others write it: the status as 1.0, edges in any order and twice."""
+    base = fresh_folder(spark, "foreign")
+    net = tables.customer_network(spark, sf_dir)
+    status = F.col("health_status").cast("double")
+    net.vertices.withColumn("health_status", status).write.csv(f"{base}/v")
+    turned = net.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    net.edges.unionByName(turned).write.csv(f"{base}/e")
+    return snapshots.read_tables(spark, f"{base}/v", f"{base}/e")
 
 
-def advance_snapshot_vertices(spark, sf_dir):
-    return _rounded(_advanced(spark, sf_dir).vertices, 9, "score")
+def foreign_csv_vertices(spark, sf_dir):
+    return _foreign(spark, sf_dir).vertices
 
 
-def advance_snapshot_edges(spark, sf_dir):
-    return _advanced(spark, sf_dir).edges
+def foreign_csv_edges(spark, sf_dir):
+    return _foreign(spark, sf_dir).edges
 
 
 def queries() -> dict[str, Query]:
@@ -355,12 +384,16 @@ def queries() -> dict[str, Query]:
         "isolated_vertices_either": partial(isolated_vertices, scope="either"),
         "closed_adjacency": closed_adjacency,
         "closed_adjacency_real": closed_adjacency_real,
-        "transition_matrix": partial(
-            transition_matrix, source=tables.customer_network, isolated_rows=False
+        "transition_matrix": partial(transition_matrix, source=tables.customer_network),
+        "transition_matrix_either": partial(
+            transition_matrix, source=tables.customer_network, scope="either"
         ),
         "transition_matrix_suppliers": partial(
             transition_matrix, source=tables.supplier_network, isolated_rows=True
         ),
+        "isolated_shares": isolated_shares,
+        "score_vector": score_vector,
+        "vector_to_scores": vector_to_scores,
         "walk_rank_3": partial(
             walk_rank, steps=3, scope="both", source=tables.customer_network
         ),
@@ -382,8 +415,9 @@ def queries() -> dict[str, Query]:
         "sample_k": sample_customers,
         "disjoint_pairs": disjoint_pairs,
         "dense_index": order_index,
-        "missing_pairs": missing_pairs,
-        "propose_links_enumerate": propose_links_enumerate,
+        "initial_vertices": initial_vertices,
+        "initial_edges": initial_edges,
+        "missing_ranges": missing_ranges,
         "propose_links_skip": propose_links_skip,
         "vec_repeat": vec_repeat,
         "vec_apply_exp": vec_apply_exp,
@@ -396,14 +430,14 @@ def queries() -> dict[str, Query]:
         "mat_vec": mat_vec,
         "mat_transpose": mat_transpose,
         "mat_mul": mat_mul,
+        "mat_mul_grid": partial(mat_mul, side=GRID_SIDE),
         "mat_diag": mat_diag,
         "mat_apply": mat_apply,
         "mat_scale_cols": mat_scale_cols,
         "mat_scale_rows": mat_scale_rows,
         "mat_hadamard": mat_hadamard,
         "matrix_rows": matrix_rows,
-        "compartment_curves": compartment_curves,
-        "compartment_counts": compartment_counts,
+        "rounded_counts": rounded_counts,
         "step_quotas": step_quotas,
         "event_quotas": event_quotas,
         "quota_at": quota_at,
@@ -413,6 +447,6 @@ def queries() -> dict[str, Query]:
         "snapshot_vertices": snapshot_vertices,
         "snapshot_edges_csv": snapshot_edges_csv,
         "observed_curve": observed_curve,
-        "advance_snapshot_vertices": advance_snapshot_vertices,
-        "advance_snapshot_edges": advance_snapshot_edges,
+        "foreign_csv_vertices": foreign_csv_vertices,
+        "foreign_csv_edges": foreign_csv_edges,
     }

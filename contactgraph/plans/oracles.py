@@ -3,18 +3,19 @@ definitions (dense adjacency, full pair lists, plain sorts)."""
 
 from __future__ import annotations
 
-from contactgraph.operators.links import link_rate
 from contactgraph.plans.catalog import (
     ALPHA,
+    CUSTOMERS_WITH,
     GRID_BETA,
     GRID_GAMMA,
-    LINKS,
-    N_LABELS,
-    N_PAIRS,
-    N_PRUNED,
-    QUOTA,
+    ILL_LABELS_IN,
+    INFECTED_IN,
+    PAIRS_IN,
     QUOTA_STEP,
+    RECOVERED_IN,
+    RECOVERED_LABELS_IN,
     ROW_BLOCK,
+    SAMPLE_IN,
     SEED,
     SPARSE_ALPHA,
     SPARSE_BETA,
@@ -117,6 +118,14 @@ def _isolated(scope: str) -> Ctes:
     ]
 
 
+_LINKS: Ctes = [
+    (
+        "adj",
+        "select src i, dst j from e_both union all select dst, src from e_both"
+        " union all select id, id from act where id not in (select id from iso)",
+    )
+]
+
 _ADJACENCY: Ctes = [
     (
         "adj",
@@ -199,14 +208,11 @@ def _pruned(e: str, recovered: str) -> str:
     )
 
 
-def _missing(v: str, e: str) -> str:
-    return (
-        f"select a.id src, b.id dst from {v} a join {v} b on a.id < b.id"
-        f" where not exists (select 1 from {e} x where x.src = a.id and x.dst = b.id)"
-    )
+def _part(share: int) -> str:
+    return f"(select count(*) // {share} from v)"
 
 
-def _first_in_hash_order(source: str, k: int, *salt: str, where: str = "true") -> str:
+def _first_in_hash_order(source: str, k: str, *salt: str, where: str = "true") -> str:
     u = _uniform(SEED, *salt, "id")
     return (
         f"select id, n from (select id, row_number() over (order by {u}, id) n"
@@ -281,16 +287,6 @@ _SUPPLIER_SCENARIOS: Ctes = [
     ),
 ]
 
-_USER_SCENARIO: Ctes = [
-    (
-        "scen",
-        "select cast(0 as bigint) scenario_id, cast(0.45 as double) beta,"
-        " cast(0.05 as double) gamma, count(*) n,"
-        " cast(count(*) filter (health_status = 1) as double) / count(*) i0,"
-        " cast(count(*) filter (health_status = -1) as double) / count(*) r0 from v",
-    )
-]
-
 _GRID: Ctes = [
     (
         "grid",
@@ -303,41 +299,21 @@ _GRID: Ctes = [
 ]
 
 
-def _curves(source: str = "scen", steps: int = 20, substeps: int = 10) -> Ctes:
-    """CTE ``curve(scenario_id, step, s, i, r, n)`` by the same Runge-Kutta steps."""
-    h = "(cast(1 as double) / 10)"
-
-    def slopes(k: int, half: str) -> str:
-        if k == 1:
-            s, i = "s", "i"
-        else:
-            s, i = f"(s + {half} * ds{k - 1})", f"(i + {half} * di{k - 1})"
-        return (
-            f"-(beta * {s} * {i}) ds{k}, (beta * {s} * {i} - gamma * {i}) di{k},"
-            f" gamma * {i} dr{k}"
-        )
-
-    def total(d: str) -> str:
-        return f"{h} / 6 * ({d}1 + 2 * {d}2 + 2 * {d}3 + {d}4)"
-
-    stages = "fine"
-    where = f" where q < {steps * substeps}"
-    for k, half in ((1, ""), (2, f"{h} / 2"), (3, f"{h} / 2"), (4, h)):
-        stages = f"(select *, {slopes(k, half)} from {stages}{where})"
-        where = ""
-    return [
-        (
-            "fine",
-            f"select scenario_id, beta, gamma, n, 0 q, 1 - i0 - r0 s, i0 i, r0 r from {source}"
-            f" union all select scenario_id, beta, gamma, n, q + 1,"
-            f" s + {total('ds')}, i + {total('di')}, r + {total('dr')} from {stages}",
-        ),
-        (
-            "curve",
-            f"select scenario_id, cast(q // {substeps} as integer) step, s, i, r, n from fine"
-            f" where q % {substeps} = 0",
-        ),
-    ]
+_SUPPLIER_CURVES: Ctes = [
+    (
+        "lines",
+        "select l_suppkey, l_returnflag, cast(date_diff('month', (select min(l_shipdate) from lineitem),"
+        " l_shipdate) as integer) step from lineitem",
+    ),
+    (
+        "curve",
+        "select l_suppkey scenario_id, step,"
+        " cast(count(*) filter (l_returnflag = 'N') as double) / count(*) s,"
+        " cast(count(*) filter (l_returnflag = 'R') as double) / count(*) i,"
+        " cast(count(*) filter (l_returnflag = 'A') as double) / count(*) r,"
+        " cast(sum(count(*)) over (partition by l_suppkey) as bigint) n from lines group by 1, 2",
+    ),
+]
 
 
 _COUNTS: Ctes = [
@@ -370,7 +346,7 @@ _QUOTAS: Ctes = [
 _EVENT_CURVE: Ctes = [
     (
         "curve",
-        "select cast(0 as bigint) scenario_id, cast(day(ts) - 1 as integer) step,"
+        "select cast(0 as bigint) scenario_id, cast(date_diff('day', (select min(ts) from events), ts) as integer) step,"
         " cast(count(*) filter (event_type in ('view', 'click', 'signup')) as double)"
         " / count(*) s,"
         " cast(count(*) filter (event_type = 'error') as double) / count(*) i,"
@@ -416,37 +392,14 @@ def _trade(col: str) -> str:
 _MATRICES: Ctes = [("m", _PURCHASES), ("cx", _CUST_X), ("sx", _SUPP_X)]
 
 
-def _advance() -> Ctes:
-    return [
-        *_scores(USERS, 3),
-        *_USER_SCENARIO,
-        *_curves(),
-        *_COUNTS,
-        *_QUOTAS,
-        *_relabel(
-            "v",
-            "scores",
-            "(select new_infected from quotas where step = 1)",
-            "(select new_recovered from quotas where step = 1)",
-            f"{SEED}-1",
-            "v1",
-        ),
-        ("e1", _pruned("e", "v1_rec")),
-    ]
-
-
 def oracle_sql() -> dict[str, str]:
     active = [*CUSTOMERS, *_ACTIVE]
     suppliers = [*SUPPLIERS, *_ACTIVE, *_isolated("both"), *_ADJACENCY]
     customers = [*CUSTOMERS, *_ACTIVE, *_isolated("both"), *_ADJACENCY]
     scores = _scores(CUSTOMERS, 3)
-    relabelled = [*scores, *_relabel("v", "scores", str(QUOTA[0]), str(QUOTA[1]), SEED, "v1")]
+    relabelled = [*scores, *_relabel("v", "scores", _part(INFECTED_IN), _part(RECOVERED_IN), SEED, "v1")]
     equal = [*customers, *_transition("cast(1 as double)"), *_walk(5)]
-    curves = [*_SUPPLIER_SCENARIOS, *_curves()]
-    quotas = [*curves, *_COUNTS, *_QUOTAS]
-    rate = _double(link_rate(**LINKS))
-    draw = _uniform(SEED, "src", "dst")
-    n_i, n_r = N_LABELS
+    quotas = [*_SUPPLIER_CURVES, *_COUNTS, *_QUOTAS]
     out: dict[str, str] = {}
 
     out["top_susceptible"] = _with(
@@ -468,9 +421,18 @@ def oracle_sql() -> dict[str, str]:
         " where i = j or i not in (select id from iso)",
     )
     matrix = "select i, j, round(p, 9) value from p"
-    out["transition_matrix"] = _with(
-        [*customers, *_transition()], f"{matrix} where i not in (select id from iso)"
+    for scope, name in (("both", ""), ("either", "_either")):
+        out[f"transition_matrix{name}"] = _with(
+            [*active, *_isolated(scope), *_LINKS, *_transition()], matrix
+        )
+    out["isolated_shares"] = _with(
+        [*active, *_transition()[:1]], "select id, round(w / (select sum(w) from w), 12) share from w"
     )
+    well = f"select c.id i, c.score value from v c where c.score >= {CUSTOMERS_WITH}"
+    out["score_vector"] = _with(
+        [*CUSTOMERS, ("s", well)], "select i, value, (select count(*) from s) size from s"
+    )
+    out["vector_to_scores"] = _with([*CUSTOMERS, ("s", well)], "select i id, value / 2 score from s")
     out["transition_matrix_suppliers"] = _with([*suppliers, *_transition()], matrix)
     for name, net, steps, scope in (
         ("walk_rank_3", CUSTOMERS, 3, "both"),
@@ -486,30 +448,32 @@ def oracle_sql() -> dict[str, str]:
         relabelled, "select id, round(score, 9) score, health_status from v1"
     )
     out["relabel_edges"] = _with(relabelled, _pruned("e", "v1_rec"))
-    gone = _first_in_hash_order("v", N_PRUNED, where="health_status = 1")
+    gone = "select id from v where health_status = 1"
     out["prune_edges"] = _with([*CUSTOMERS, ("gone", gone)], _pruned("e", "gone"))
 
     label = _uniform(SEED, "'label'", "id")
-    out["label_sample"] = _with(
+    ill, both = _part(ILL_LABELS_IN), f"({_part(ILL_LABELS_IN)} + {_part(RECOVERED_LABELS_IN)})"
+    labels = _with(
         [
             ("v", _CUSTOMER_V),
             ("ranked", f"select id, row_number() over (order by {label}, id) n from v"),
         ],
-        f"select id, cast(case when n <= {n_i} then 1 else 0 end as double) score,"
-        f" cast(case when n <= {n_i} then 1 when n <= {n_i + n_r} then -1 else 0 end as integer)"
+        f"select id, cast(case when n <= {ill} then 1 else 0 end as double) score,"
+        f" cast(case when n <= {ill} then 1 when n <= {both} then -1 else 0 end as integer)"
         f" health_status from ranked",
     )
+    out["label_sample"] = out["initial_vertices"] = labels
     out["sample_k"] = _with(
-        [("v", _CUSTOMER_V), ("s", _first_in_hash_order("v", N_PRUNED))], "select id from s"
+        [("v", _CUSTOMER_V), ("s", _first_in_hash_order("v", _part(SAMPLE_IN)))], "select id from s"
     )
-    out["disjoint_pairs"] = _with(
+    out["disjoint_pairs"] = out["initial_edges"] = _with(
         [
             ("v", _CUSTOMER_V),
-            ("a", _first_in_hash_order("v", N_PAIRS, "'src'")),
+            ("a", _first_in_hash_order("v", _part(PAIRS_IN), "'src'")),
             (
                 "b",
                 _first_in_hash_order(
-                    "v", N_PAIRS, "'dst'", where="id not in (select id from a)"
+                    "v", _part(PAIRS_IN), "'dst'", where="id not in (select id from a)"
                 ),
             ),
         ],
@@ -518,9 +482,22 @@ def oracle_sql() -> dict[str, str]:
     out["dense_index"] = (
         "select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) idx from orders"
     )
-    out["missing_pairs"] = _with(USERS, _missing("v", "e"))
-    out["propose_links_enumerate"] = _with(
-        [*USERS, ("gap", _missing("v", "e"))], f"select src, dst from gap where {draw} < {rate}"
+    out["missing_ranges"] = _with(
+        [
+            *CUSTOMERS,
+            ("ids", "select id, row_number() over (order by id) idx from v"),
+            (
+                "marks",
+                "select id, idx s, idx t from ids union all select a.id, a.idx, b.idx"
+                " from e join ids a on a.id = src join ids b on b.id = dst",
+            ),
+            (
+                "gaps",
+                "select id src, t + 1 first, coalesce(lead(t) over (partition by s order by t) - 1,"
+                " (select count(*) from ids)) last from marks",
+            ),
+        ],
+        "select src, first, last from gaps where first <= last",
     )
     drawn, links = _skip_links("v", "e", SEED)
     out["propose_links_skip"] = _with([*CUSTOMERS, *drawn], links, recursive=True)
@@ -563,7 +540,7 @@ def oracle_sql() -> dict[str, str]:
         " group by m.i having sum(m.value * sx.value) <> 0",
     )
     out["mat_transpose"] = _with(_MATRICES, "select j i, i j, value from m")
-    out["mat_mul"] = _with(
+    out["mat_mul"] = out["mat_mul_grid"] = _with(
         [("a", _trade("l_quantity")), ("b", _trade("l_tax"))],
         "select a.i, b.i j, round(sum(a.value * b.value), 4) value from a join b on a.j = b.j"
         " group by a.i, b.i having sum(a.value * b.value) <> 0",
@@ -592,20 +569,13 @@ def oracle_sql() -> dict[str, str]:
         f" from m group by 1, 2",
     )
 
-    out["compartment_curves"] = _with(
-        curves,
-        "select scenario_id, step, round(s, 6) s, round(i, 6) i, round(r, 6) r, n from curve",
-        recursive=True,
-    )
-    out["compartment_counts"] = _with(
-        [*curves, *_COUNTS],
-        "select scenario_id, step, n_s, n_i, n_r from counts",
-        recursive=True,
+    out["rounded_counts"] = _with(
+        [*_SUPPLIER_CURVES, *_COUNTS], "select scenario_id, step, n_s, n_i, n_r from counts"
     )
     every = "select scenario_id, step, new_infected, new_recovered from quotas"
-    out["step_quotas"] = _with(quotas, every, recursive=True)
+    out["step_quotas"] = _with(quotas, every)
     out["event_quotas"] = _with([*_EVENT_CURVE, *_COUNTS, *_QUOTAS], every)
-    out["quota_at"] = _with(quotas, f"{every} where step = {QUOTA_STEP}", recursive=True)
+    out["quota_at"] = _with(quotas, f"{every} where step = {QUOTA_STEP}")
     cursor = ", ".join(
         f"coalesce({fn}(new_{kind}) over (partition by scenario_id order by step), -1)"
         f" {name}_{kind}"
@@ -622,20 +592,19 @@ def oracle_sql() -> dict[str, str]:
         " cast(20 as integer) t_end, cast(1 as double) step_size from grid",
     )
     out["peak_infected"] = _with(
-        [*_SUPPLIER_SCENARIOS, *_GRID, *_curves("grid")],
-        "select scenario_id, round(max(i), 3) peak from curve group by 1",
-        recursive=True,
+        _SUPPLIER_CURVES, "select scenario_id, round(max(i), 3) peak from curve group by 1"
     )
 
     out["snapshot_vertices"] = _with(CUSTOMERS, "select id, score, health_status from v")
     out["snapshot_edges_csv"] = _with(CUSTOMERS, "select src, dst from e")
-    history = [("v0", _CUSTOMER_V)]
+    history = [("v", _CUSTOMER_V), ("v0", "select * from v")]
+    quota = _part(INFECTED_IN), _part(RECOVERED_IN)
     for step in (1, 2):
         before = f"v{step - 1}"
         history += [
             (f"s{step}", f"select id, score from {before}"),
             *_relabel(
-                before, f"s{step}", str(QUOTA[0]), str(QUOTA[1]), SEED + step, f"v{step}"
+                before, f"s{step}", *quota, SEED + step, f"v{step}"
             ),
         ]
     counted = ", ".join(
@@ -648,12 +617,8 @@ def oracle_sql() -> dict[str, str]:
             f"select cast({k} as integer) step, {counted} from v{k}" for k in range(3)
         ),
     )
-    advanced = _advance()
-    out["advance_snapshot_vertices"] = _with(
-        advanced, "select id, round(score, 9) score, health_status from v1", recursive=True
-    )
-    drawn, links = _skip_links("v1", "e1", f"{SEED}-1")
-    out["advance_snapshot_edges"] = _with(
-        [*advanced, *drawn], f"select src, dst from e1 union all {links}", recursive=True
+    out["foreign_csv_vertices"], out["foreign_csv_edges"] = (
+        out["snapshot_vertices"],
+        out["snapshot_edges_csv"],
     )
     return out

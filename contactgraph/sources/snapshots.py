@@ -10,6 +10,7 @@ from contactgraph.schema import EDGES, VERTICES, Network, canonical_edges
 
 _FORMATS = ("parquet", "csv")
 _STEP = T.StructField("step", T.IntegerType(), False)
+_COMPLETE = T.StructField("complete", T.BooleanType(), False)
 
 
 def _check(fmt: str, step: int | None = None) -> None:
@@ -31,6 +32,8 @@ def write_snapshot(
 
     ``input_step`` is the step the network was read from; it must be another
     one, for a job cannot replace the files it is reading. CSV has no header.
+    A mark is taken away first and written last; readers require it, so a step
+    whose writing failed is never read as a whole.
     """
     _check(fmt, step)
     if input_step == step:
@@ -40,8 +43,22 @@ def write_snapshot(
         ("vertices", net.vertices.select(*VERTICES.names).sortWithinPartitions("id")),
         ("edges", net.edges.select(*EDGES.names).sortWithinPartitions("src", "dst")),
     )
+    spark = net.vertices.sparkSession
+    _mark(spark, base, step, False)
     for table, df in tables:
         df.write.mode("overwrite").format(fmt).save(table_path(base, table, step))
+    _mark(spark, base, step, True)
+
+
+def _mark(spark: SparkSession, base: str, step: int, complete: bool) -> None:
+    row = spark.range(1).select(F.lit(complete).alias("complete"))
+    row.write.mode("overwrite").parquet(table_path(base, "marks", step))
+
+
+def complete_steps(spark: SparkSession, base: str) -> list[int]:
+    """Steps that were written to their end, one number per snapshot."""
+    marks = spark.read.schema(T.StructType([_COMPLETE, _STEP])).parquet(table_path(base, "marks"))
+    return sorted(r["step"] for r in marks.filter("complete").select("step").collect())
 
 
 def read_snapshot(
@@ -50,6 +67,8 @@ def read_snapshot(
     """The network of one step. ``canonical=False`` puts the edges of foreign
     files into canonical form."""
     _check(fmt, step)
+    if step not in complete_steps(spark, base):
+        raise ValueError(f"step {step} below {base} is not complete")
     return read_tables(
         spark,
         table_path(base, "vertices", step),
@@ -88,11 +107,12 @@ def read_tables(
 def read_history(
     spark: SparkSession, base: str, fmt: str = "parquet"
 ) -> tuple[DataFrame, DataFrame]:
-    """Vertices and edges of all steps, with a ``step`` partition column."""
+    """Vertices and edges of all complete steps, with a ``step`` partition column."""
     _check(fmt)
+    steps = complete_steps(spark, base)
 
     def read(table: str, schema: T.StructType) -> DataFrame:
         full = T.StructType([*schema.fields, _STEP])
-        return spark.read.schema(full).format(fmt).load(table_path(base, table))
+        return spark.read.schema(full).format(fmt).load(table_path(base, table)).filter(F.col("step").isin(steps))
 
     return read("vertices", VERTICES), read("edges", EDGES)

@@ -3,10 +3,10 @@ event tables. Every function reads its tables whole."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contactgraph.functions.ordering import dense_index
+from contactgraph.functions.ordering import with_next
 from contactgraph.operators.sparse import SparseMat, SparseVec, matrix_from_df, vector_from_df
 from contactgraph.schema import (
     EDGES,
@@ -25,16 +25,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_next(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """Each row with the next row's ``cols`` as ``next_<col>``, in the order of
-    unique ``keys``: row numbers and an equi-join, not one global window."""
-    placed = dense_index(df, *keys)
-    following = placed.select(
-        (F.col("idx") - 1).alias("idx"), *[F.col(c).alias(f"next_{c}") for c in cols]
-    )
-    return placed.join(following, "idx")
-
-
 def _share_of_balance(col: str):
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(col) / F.lit(10000.0)))
 
@@ -319,26 +309,17 @@ def supplier_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scenario(served.join(beta, "scenario_id"))
 
 
-def user_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One scenario for all users of the event log."""
-    counts = user_vertices(spark, sf_dir).agg(*_status_counts())
-    return _scenario(
-        counts.select(
-            F.lit(0).alias("scenario_id"), F.lit(0.45).alias("beta"), "n", "infected", "recovered"
-        )
-    )
-
-
 def event_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily shares of three groups of events, as an observed curve."""
+    """Daily shares of three groups of events, as one observed curve; steps are
+    days since the first event."""
     events = load(spark, sf_dir, "events")
-    n_users = events.agg(F.countDistinct("user_id")).first()[0]
+    n_users, first_day = events.agg(F.countDistinct("user_id"), F.min(F.to_date("ts"))).first()
 
     def share(*kinds: str):
         return F.count_if(F.col("event_type").isin(*kinds)).cast("double") / F.count("*")
 
     return (
-        events.groupBy((F.dayofmonth("ts") - 1).cast("int").alias("step"))
+        events.groupBy(F.date_diff(F.to_date("ts"), F.lit(first_day)).alias("step"))
         .agg(
             share("view", "click", "signup").alias("s"),
             share("error").alias("i"),
@@ -353,3 +334,30 @@ def event_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(n_users).cast("long").alias("n"),
         )
     )
+
+
+def supplier_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One observed curve per supplier: by months since the first shipment of
+    all, the shares of its lines that are new, returned and accepted; ``n`` is
+    its number of lines."""
+    lines = load(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_returnflag")
+    first_day = lines.agg(F.min("l_shipdate")).first()[0]
+    first_month = 12 * first_day.year + first_day.month if first_day else 0
+    month = 12 * F.year("l_shipdate") + F.month("l_shipdate") - first_month
+    lines_of = Window.partitionBy("l_suppkey")
+
+    def share(flag: str):
+        return F.count_if(F.col("l_returnflag") == flag).cast("double") / F.count("*")
+
+    return (
+        lines.groupBy("l_suppkey", month.cast("int").alias("step"))
+        .agg(share("N").alias("s"), share("R").alias("i"), share("A").alias("r"), F.count("*").alias("lines"))
+        .select(
+            F.col("l_suppkey").cast("long").alias("scenario_id"),
+            "step",
+            "s",
+            "i",
+            "r",
+            F.sum("lines").over(lines_of).alias("n"),
+        )
+    )

@@ -1,3 +1,5 @@
+from contextlib import contextmanager
+
 import pytest
 from networks import brute_walk, low_skew_limits, make, plan_lines, random_network
 from pyspark.sql import functions as F
@@ -7,6 +9,18 @@ from contactgraph.operators.relabel import prune_edges
 from contactgraph.schema import Network
 from contactgraph.session import cut_lineage
 
+@contextmanager
+def broadcasts_off(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+# The worked example of five vertices that the golden numbers belong to.
 WALK5 = (
     [(1, 0.9, 0), (2, 0.9, 0), (3, 0.2, 0), (4, 0.4, 0), (5, 0.2, 0)],
     [(1, 2), (1, 3), (2, 3), (3, 4)],
@@ -96,9 +110,37 @@ def test_equal_scores_tend_to_degree(spark):
 def test_transition_rows_sum_to_one(spark):
     vertices, edges = random_network(8)
     net = make(spark, vertices, edges)
-    rows = graph.transition_matrix(net, -2.0).groupBy("i").agg(F.sum("value").alias("t")).collect()
-    assert len(rows) == graph.active_vertices(net.vertices).count()
-    assert all(abs(row["t"] - 1) < 1e-12 for row in rows)
+    for scope in ("both", "either"):
+        whole = graph.transition_matrix(net, -2.0, scope, isolated_rows=True)
+        rows = whole.groupBy("i").agg(F.sum("value").alias("t")).collect()
+        assert len(rows) == graph.active_vertices(net.vertices).count()
+        assert all(abs(row["t"] - 1) < 1e-12 for row in rows)
+        thin = graph.transition_matrix(net, -2.0, scope)
+        isolated = {r["id"] for r in graph.isolated_vertices(net, scope).collect()}
+        assert isolated and not isolated & {r["i"] for r in thin.select("i").collect()}
+        shares = {r["id"]: r["share"] for r in graph.isolated_shares(net, -2.0).collect()}
+        first = {r["j"]: r["value"] for r in whole.filter(F.col("i") == min(isolated)).collect()}
+        assert first == pytest.approx(shares)
+
+
+def test_transition_matrix_shuffles_little(spark):
+    net = make(spark, *random_network(8, n=60, m=90))
+    with broadcasts_off(spark):
+        rows = graph.transition_matrix(net, -2.0)
+        rows.collect()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert 0 < final.count("Exchange hashpartitioning") <= 6
+
+
+def test_partitions_follow_the_links(spark):
+    vertices, edges = random_network(9, n=200, m=400)
+    net = make(spark, vertices, edges)
+    few = as_dict(graph.walk_rank(net, -2.0, 2))
+    many = graph.walk_rank(net, -2.0, 2, links_per_partition=20)
+    assert as_dict(many) == pytest.approx(few)
+    assert partition_count(spark, 10**9) == 500 and partition_count(spark, 1) == 4
+    assert spread(spark.range(10), "id", rows=10**8).rdd.getNumPartitions() == 50
 
 
 def test_closed_adjacency(spark):

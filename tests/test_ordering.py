@@ -1,10 +1,17 @@
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from contactgraph.functions.hashing import portable_uniform
-from contactgraph.functions.ordering import dense_index, first_k, last_of_first, sample_k
+from contactgraph.functions.ordering import (
+    dense_index,
+    first_k,
+    last_of_first,
+    sample_k,
+    with_next,
+)
 
 
 def rows(spark, seed=1, n=500):
@@ -27,6 +34,47 @@ def test_selection_on_wide_integers(spark):
         assert last_of_first(df, k, "id", top_rows=0) == (want,)
 
 
+INFINITE = [math.inf] * 3 + [-math.inf] * 3 + [1e308, -1e308, 5e-324, 0.0, -0.0]
+
+
+@pytest.mark.parametrize(
+    "values",
+    [INFINITE + [float(k) for k in range(40)], [7.0] * 50, [1.0] * 49 + [2.0], [float(k) for k in range(9)] + [9.0] * 60],
+)
+def test_selection_on_any_ordered_key(spark, values):
+    data = list(enumerate(values))
+    df = spark.createDataFrame(data, "id long, x double")
+    ordered = sorted((x, i) for i, x in data)
+    for k in (1, 5, 9, len(values) // 2, len(values)):
+        assert last_of_first(df, k, "x", "id", top_rows=2) == ordered[k - 1]
+
+
+@pytest.mark.parametrize("odd", [None, math.nan])
+def test_keys_without_order_are_refused(spark, odd):
+    df = spark.createDataFrame([(k, float(k)) for k in range(20)] + [(20, odd)], "id long, x double")
+    with pytest.raises(ValueError):
+        last_of_first(df, 10, "x", "id", top_rows=2)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 57, 3000])
+def test_next_row(spark, n):
+    data = [(k % 7, k, f"r{k}" if k % 5 else None) for k in range(n)]
+    df = spark.createDataFrame(data, "a long, b long, c string").repartition(6)
+    found = {(r["a"], r["b"]): (r["next_a"], r["next_c"]) for r in with_next(df, ["a", "b"], ["a", "c"]).collect()}
+    order = sorted(data)
+    assert found == {x[:2]: (y[0], y[2]) for x, y in zip(order, order[1:])}
+
+
+def test_next_row_shuffles_once(spark):
+    df = spark.range(5_000).select("id", (F.col("id") % 10).alias("a"))
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    plan = df.repartitionByRange("a", "id").sortWithinPartitions("a", "id")
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    after = with_next(df, ["a", "id"], ["id"])
+    text = after._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in text and "Exchange range" not in text and before is not None
+
+
 def test_first_k(spark):
     df, ordered = rows(spark)
     for k in (0, 1, 260, 600):

@@ -49,26 +49,33 @@ def missing(vertices, edges):
     return set(combinations(sorted(i for i, _, _ in vertices), 2)) - set(edges)
 
 
-def test_missing_pairs(spark, monkeypatch):
+def test_missing_ranges_and_pairs(spark, monkeypatch):
     vertices, edges = random_network(11, n=30, m=80)
+    hub = min(i for i, _, _ in vertices)
+    edges = sorted(set(edges) | {(hub, i) for i, _, _ in vertices if i > hub and i % 3})
     net = make(spark, vertices, edges)
-    assert pairs(missing_pairs(net)) == missing(vertices, edges)
-    monkeypatch.setattr(links, "_BLOCK", 4)
-    monkeypatch.setattr(links, "_SOURCES", 10)
+    ranges, ids = links.missing_ranges(net)
+    at = {r["idx"]: r["id"] for r in ids.collect()}
+    found = ranges.collect()
+    assert len(found) <= len(vertices) + len(edges)
+    spelt = [(r["src"], at[k]) for r in found for k in range(r["first"], r["last"] + 1)]
+    assert len(spelt) == len(set(spelt)) and set(spelt) == missing(vertices, edges)
+    monkeypatch.setattr(links, "_PIECE", 4)
     assert pairs(missing_pairs(net)) == missing(vertices, edges)
     some = [v for v in vertices if v[2] == 0]
     assert pairs(missing_pairs(net, F.col("health_status") == 0)) == missing(some, edges)
+    assert links.missing_ranges(make(spark, [(1, 0.0, 0)], []))[0].count() == 0
 
 
 @pytest.mark.parametrize(
-    "mode, alpha, beta, sdf",
-    [("enumerate", 30, 75, 70), ("skip", 30, 75, 70), ("skip", 9, 0.5, 0.5), ("skip", 1, 60, 60)],
+    "alpha, beta, sdf, piece", [(30, 75, 70, 1_024), (30, 75, 70, 2), (9, 0.5, 0.5, 1_024), (1, 60, 60, 1_024)]
 )
-def test_link_rate(spark, mode, alpha, beta, sdf):
+def test_link_rate(spark, monkeypatch, alpha, beta, sdf, piece):
+    monkeypatch.setattr(links, "_PIECE", piece)
     vertices, edges = random_network(12, n=220, m=2000)
     possible = missing(vertices, edges)
     net = make(spark, vertices, edges)
-    got = pairs(propose_links(net, alpha, beta, sdf, seed=8, mode=mode))
+    got = pairs(propose_links(net, alpha, beta, sdf, seed=8))
     assert got <= possible
     rate = alpha / (alpha + beta + sdf)
     for inside in (lambda p: True, lambda p: (p[0] + p[1]) % 2 == 0, lambda p: p[0] < 200):
@@ -83,7 +90,7 @@ def test_skip_draws_are_even_over_targets_and_independent(spark):
     net = Network(make(spark, [(i, 0.0, 0) for i in range(n)], []).vertices, spark.sql(
         "select cast(0 as bigint) src, cast(0 as bigint) dst where false"
     ))
-    got = pairs(propose_links(net, 2, 49, 49, seed=1, mode="skip"))
+    got = pairs(propose_links(net, 2, 49, 49, seed=1))
     assert skip_levels(rate) == 6
     both = sum((a, b + 1) in got for a, b in got)
     possible = n * (n - 1) / 2
@@ -108,4 +115,14 @@ def test_skip_is_repeatable_and_rejects_bad_input(spark):
         with pytest.raises(ValueError):
             propose_links(net, *bad, seed=1)
     with pytest.raises(ValueError):
-        propose_links(net, 1, 1, 1, seed=1, mode="other")
+        propose_links(net, 1e300, 1, 1, seed=1)
+
+
+def test_links_per_source_meet_their_expectation(spark):
+    """The number of links of each source is binomial: mean, and spread over sources."""
+    n, rate = 900, 0.05
+    net = make(spark, [(i, 0.0, 0) for i in range(n)], [(0, 1)])
+    got = Counter(a for a, _ in pairs(propose_links(net, 5, 45, 50, seed=6)))
+    z = [(got[a] - rate * (n - 1 - a)) / math.sqrt(rate * (1 - rate) * (n - 1 - a)) for a in range(1, n - 200)]
+    assert abs(sum(z) / len(z)) < 4 / math.sqrt(len(z))
+    assert 0.8 < sum(x * x for x in z) / len(z) < 1.2

@@ -114,6 +114,35 @@ def test_product_over_hot_indices(spark, monkeypatch, listed):
     assert np.allclose(dense(sp.mat_mul(mat(spark, a), mat(spark, b), side=7)), a @ b)
 
 
+def test_outer_product_follows_stored_entries(spark):
+    """A huge declared size costs nothing: one entry meets many without copies of these."""
+    u = sp.vector_from_df(spark.range(1).select("id", F.lit(2.0).alias("v")), 10**12, i="id", value="v")
+    v = sp.vector_from_df(spark.range(2_000).select("id", F.lit(3.0).alias("v")), 10**12, i="id", value="v")
+    product = sp.vec_outer(u, v)
+    assert product.size == (10**12, 10**12)
+    assert product.df.agg(F.count("*"), F.sum("value")).first() == (2_000, 12_000.0)
+    with low_skew_limits(spark):
+        cut = sp.vec_outer(v, v, side=700).df
+        assert cut.count() == 4_000_000
+        assert sum(_rows_made(cut.limit(1_000), "Generate")) <= 2 * 3 * 2_000
+
+
+def _rows_made(df, node):
+    """Rows that the nodes of one kind put out in the run of ``df``."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    found, todo = [], [plan.finalPhysicalPlan() if hasattr(plan, "finalPhysicalPlan") else plan]
+    while todo:
+        here = todo.pop()
+        if here.nodeName() == node:
+            found.append(here.metrics().apply("numOutputRows").value())
+        if "QueryStage" in here.nodeName():
+            todo.append(here.plan())
+        children = here.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return found
+
+
 def test_hot_index_is_split(spark):
     """A third of all entries share one index; the join on it is split."""
     n = 30_000
