@@ -13,8 +13,8 @@ that gradients flow through.
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactgraph.llm.text import in_pieces
+from contactgraph.llm.text import TEXTS_TOGETHER
 
 WINDOW, STRIDE = 48, 32
 UNITS = 8  # of each direction, and of each embedding
@@ -406,9 +406,6 @@ class _Numbers(dict):
         return found
 
 
-_scorers: dict = {}
-
-
 def held_out(id_col: str = "doc_id", modulus: int = 4, remainder: int = 2):
     """Whether a row's label is kept from training; a null id is not held out."""
     code = F.crc32(F.col(id_col).cast("string").cast("binary"))
@@ -456,7 +453,7 @@ def fit(
     return train([r["text"] for r in taken], [r["y"] for r in taken], prior, steps)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` but a clashing one, and ``score``: the toxicity of
     each whole text, from 0 to 1.
 
@@ -466,19 +463,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     bounded size, is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def toxicity(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # what a task has remembered goes with it: later stages need the memory
+        scorer = Scorer(shared.value)
+        for texts in batches:
+            parts = [texts.slice(k, TEXTS_TOGETHER) for k in range(0, len(texts), TEXTS_TOGETHER)]
+            found = [scorer.scores(part.to_pylist()) for part in parts]
+            yield pa.array(np.concatenate([np.zeros(0), *found]), pa.float64())
+
     others = [c for c in docs.columns if c != "score"]
-    place = others.index(text_col)
-    key = uuid.uuid4().hex
-
-    def run(batches):
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(shared.value)
-        scorer = _scorers[key]
-        for batch in in_pieces(batches):
-            found = scorer.scores(batch.column(place).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*others, "score"])
-
-    rows = docs.select(*others)
-    schema = rows.withColumn("score", F.lit(0.0)).schema
-    return rows.mapInArrow(run, schema)
+    return docs.select(*others, toxicity(text_col).alias("score"))
