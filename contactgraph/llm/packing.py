@@ -77,13 +77,14 @@ class WordIds:
         self.ids.update((w, self.ids[stem] + self.ids[tail]) for w, (stem, tail) in split.items())
 
 
-def encode(texts: list[str | None], path: str) -> list[bytes]:
-    """Packed ids of each text, without special tokens; null counts as empty."""
+def encode(texts: list[str | bytes | None], path: str) -> list[bytes]:
+    """Packed ids of each text, a string or its UTF-8 form, without special
+    tokens; null counts as empty."""
     encoder = _encoders.get(path)
     if encoder is None or len(encoder.ids) > REMEMBERED:
         encoder = _encoders[path] = WordIds(path)
     # the tokenizer lowers case itself, but tells special tokens by theirs
-    raw = [(t or "").encode() for t in texts]
+    raw = [t.encode() if isinstance(t, str) else t or b"" for t in texts]
     split = [(t if b"<|" in t else t.translate(LOWER_ASCII)).split() for t in raw]
     encoder.learn(set().union(*split))
     return [b"".join(map(encoder.ids.__getitem__, words)) for words in split]
@@ -143,7 +144,8 @@ def pack(
                 ["doc_id", "start", "length", "bucket", "ids", "doc_tokens"],
             )
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    # as bytes, which the words are cut from without decoding
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     pieces = rows.mapInArrow(
         run, "doc_id bigint, start bigint, length bigint, bucket int, ids binary, doc_tokens bigint"
     )
