@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from contactgraph.operators import graph
 from contactgraph.operators.relabel import prune_edges
 from contactgraph.schema import Network
-from contactgraph.session import cut_lineage
+from contactgraph.session import cut_lineage, partition_count, spread
+
 
 @contextmanager
 def broadcasts_off(spark):
