@@ -2,6 +2,30 @@
 
 from __future__ import annotations
 
+#: All windows are formed and compared by the MD5 of their words.
+SUBSTRING_DEDUP = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM words WHERE len(w) >= 50
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM starts
+), firsts AS (
+  SELECT h, min(doc_id) AS first FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)
+), hits AS (
+  SELECT doc_id, i FROM windows JOIN firsts USING (h) WHERE doc_id > first
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM hits
+), places AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM words
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+  FROM places ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_substring_dedup": SUBSTRING_DEDUP}
