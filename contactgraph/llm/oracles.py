@@ -26,6 +26,50 @@ SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(c
 FROM words LEFT JOIN kept USING (doc_id)
 """
 
+#: Every source is sorted whole by rank; a document is taken as long as its middle
+#: lies within the remainder.
+SOURCE_MIXING = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), sums AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, sum(sqrt(size) * size) AS measured FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, 2 * CAST(source_size AS DOUBLE) AS stop,
+    CAST([3, 1, 2][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS DOUBLE) AS weight
+  FROM sums
+), levels AS (
+  SELECT *, stop / weight AS by_weight,
+    (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(stop) OVER before, 0))
+      / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM weighed
+  WINDOW before AS (ORDER BY stop / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT *, least(stop, coalesce(weight * (
+    SELECT level FROM levels WHERE level <= by_weight ORDER BY by_weight, level LIMIT 1
+  ), stop)) AS target
+  FROM levels
+), plans AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets
+), goals AS (
+  SELECT *, target - whole * source_size AS goal,
+    CASE WHEN measured > 0 THEN (target - whole * source_size) / measured ELSE 0 END AS scale
+  FROM plans
+), drawn AS (
+  SELECT d.*, g.source_size, g.target, g.whole, g.goal,
+    CAST(CAST('0x' || substring(md5('42|' || doc_id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 AS u,
+    least(greatest(scale * sqrt(size), CAST(1e-9 AS DOUBLE)), 1 - CAST(1e-9 AS DOUBLE)) AS p
+  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source
+), ranked AS (
+  SELECT *, u * (1 - p) / (u * (1 - p) + (1 - u) * p) AS rank FROM drawn
+), placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS UNBOUNDED PRECEDING) - size / 2 AS middle
+  FROM ranked
+)
+SELECT doc_id, size, source_size, target,
+  CAST((whole + CASE WHEN goal > 0 AND middle <= goal THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM placed
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": SUBSTRING_DEDUP}
+    return {"op5_substring_dedup": SUBSTRING_DEDUP, "op6_source_mixing": SOURCE_MIXING}
