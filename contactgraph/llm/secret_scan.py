@@ -174,9 +174,15 @@ def thresholds(tokens: DataFrame, rate: float) -> DataFrame:
     The upper half of the levels is taken to hold random strings alone, which
     fill every level alike; what a level holds above that is ordinary. A class
     whose upper half is empty has no threshold. At most one row per encoding
-    and class.
+    and class. Levels without strings count too: the lowest that passes may be one.
     """
-    counts = tokens.groupBy("encoding", "class", "level").agg(F.count("*").alias("n"))
+    held = tokens.groupBy("encoding", "class", "level").agg(F.count("*").alias("n"))
+    # one row per level of each encoding and class
+    counts = held.groupBy("encoding", "class").agg(
+        F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("held")
+    ).select(
+        "encoding", "class", "held", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")
+    ).withColumn("n", F.coalesce(F.try_element_at("held", F.col("level")), F.lit(0)))
     whole = Window.partitionBy("encoding", "class")
     above = whole.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
     upper = F.sum(F.when(F.col("level") >= LEVELS // 2, F.col("n")).otherwise(0)).over(whole)
@@ -184,7 +190,7 @@ def thresholds(tokens: DataFrame, rate: float) -> DataFrame:
     seen = F.sum("n").over(above)
     ordinary = F.greatest(seen - per_level * (F.lit(LEVELS) - F.col("level")), F.lit(0.0))
     return (
-        counts.withColumns({"upper": upper, "share": ordinary / seen})
+        counts.withColumns({"upper": upper, "share": ordinary / F.nullif(seen, F.lit(0))})
         .filter((F.col("upper") > 0) & (F.col("share") <= rate))
         .groupBy("encoding", "class")
         .agg(F.min("level").alias("least"))

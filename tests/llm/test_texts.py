@@ -88,6 +88,37 @@ def test_random_strings_are_found_at_the_rate_asked_for(spark):
     assert len([i for i in hit if i >= 300]) <= 0.05 * len(hit)
 
 
+@pytest.mark.parametrize("levels", [[15], [12, 19], [10], [19]])
+def test_few_random_strings_of_a_class_have_a_threshold(spark, levels):
+    tokens = spark.createDataFrame([("hex", 3, k) for k in levels], "encoding string, class int, level int")
+    rows = secret_scan.thresholds(tokens, 0.05).collect()
+    assert [(r["encoding"], r["class"]) for r in rows] == [("hex", 3)]
+    assert rows[0]["least"] <= min(levels)
+
+
+def test_a_class_with_ordinary_strings_only_has_no_threshold(spark):
+    tokens = spark.createDataFrame([("hex", 3, 0), ("hex", 3, 9), ("hex", 4, 0)], "encoding string, class int, level int")
+    assert secret_scan.thresholds(tokens, 0.05).count() == 0
+    many = spark.createDataFrame([("hex", 3, 0)] * 100 + [("hex", 3, 15)] * 2, "encoding string, class int, level int")
+    assert 0 < secret_scan.thresholds(many, 0.05).first()["least"] <= 10
+
+
+def test_a_lone_secret_is_found(spark):
+    rng = random.Random(3)
+    lone = next(
+        t for t in ("".join(rng.choices(secret_scan.ALPHABETS["base62"], k=44)) for _ in range(1000))
+        if secret_scan.randomness(t)[1] > 0.7
+    )
+    docs = docs_of(spark, [(0, f"see {lone} here", None), (1, "nothing here", None)])
+    spans = {r["id"]: secret_scan_spans(r) for r in secret_scan.scan(docs).collect()}
+    assert spans == {0: ["random:4:48"], 1: []}
+    assert {r["text"] for r in secret_scan.redact(docs).collect()} == {"see [SECRET] here", "nothing here"}
+
+
+def secret_scan_spans(row):
+    return [f"{s['kind']}:{s['start']}:{s['end']}" for s in row["spans"]]
+
+
 def test_redaction(spark):
     rows = [(i, t, "s") for i, t in enumerate(SECRET_TEXTS)]
     docs = docs_of(spark, rows).withColumn("n_chars", F.length("text").cast("long"))
