@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,9 @@ KINDS = [*PATTERNS, "random"]
 
 #: Shortest candidate; shorter strings tell too little.
 SHORTEST = 20
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+#: An equals sign only pads: what is before one inside a run is a string of its own,
+#: so that a value is told from its name. Of such parts those that are too short go.
+_CANDIDATE = re.compile(r"(?=[A-Za-z0-9+/_=-]{%d})[A-Za-z0-9+/_-]+=*" % SHORTEST)
 #: Alphabets in the order of their symbols; the first that holds all characters is taken.
 ALPHABETS = {
     "decimal": "0123456789",
@@ -79,6 +82,11 @@ def infer_encoding(token: str) -> str | None:
     return next((name for name, values in _VALUES.items() if used and used <= values.keys()), None)
 
 
+def candidates(text: str) -> Iterator[re.Match]:
+    """Runs of at least ``SHORTEST`` characters, padding included."""
+    return (m for m in _CANDIDATE.finditer(text) if m.end() - m.start() >= SHORTEST)
+
+
 def randomness(token: str) -> tuple[str | None, float]:
     """The inferred encoding and the joint p-value of the three tests; 0 where
     no alphabet fits or too few symbols are left."""
@@ -152,7 +160,7 @@ def _scan(batches):
             text = text or ""
             bases.append([{"kind": k, "start": i, "end": j} for k, i, j in base_spans(text)])
             found = []
-            for m in _CANDIDATE.finditer(text):
+            for m in candidates(text):
                 name, p = randomness(m[0])
                 if name is not None:
                     length = int(np.searchsorted(LENGTHS, len(m[0])))
@@ -281,7 +289,7 @@ def _redacted(text: str | None, least: dict, mark: str) -> str | None:
     if not text:
         return text
     spans = [(i, j) for _, i, j in base_spans(text)]
-    for m in _CANDIDATE.finditer(text):
+    for m in candidates(text):
         name, p = randomness(m[0])
         level = min(int(p * LEVELS), LEVELS - 1)
         if name is not None and level >= least.get((name, int(np.searchsorted(LENGTHS, len(m[0])))), LEVELS):

@@ -115,6 +115,24 @@ def test_a_lone_secret_is_found(spark):
     assert {r["text"] for r in secret_scan.redact(docs).collect()} == {"see [SECRET] here", "nothing here"}
 
 
+def test_a_value_behind_its_name_is_a_candidate(spark):
+    rng = random.Random(4)
+    letters = secret_scan.ALPHABETS["base64"]
+    values = ["".join(rng.choices(letters, k=40)) for _ in range(300)]
+    names = ["AWS_SECRET_ACCESS_KEY=", "private_key=", "sig=", "id=", "a=b=", "=", ""]
+    ends = ["", "=", "=="]
+    texts = [f"see {names[i % 7]}{v}{ends[i % 3]} here" for i, v in enumerate(values)]
+    for i, text in enumerate(texts):
+        start, end = text.index(values[i]), text.index(" here")
+        assert (start, end) in [m.span() for m in secret_scan.candidates(text)]
+    docs = docs_of(spark, [(i, t, None) for i, t in enumerate(texts)])
+    hit = {r["id"] for r in secret_scan.scan(docs).collect() if any(s["kind"] == "random" for s in r["spans"])}
+    assert len([i for i in hit if i % 7 < 6]) >= 0.8 * len([i for i in range(300) if i % 7 < 6])
+    for token in ("abcdefghijklmnopqr==", "AB" * 10 + "======", "a" * 30 + "=" * 20):
+        assert [m[0] for m in secret_scan.candidates(f"x {token} y")] == [token]
+    assert not list(secret_scan.candidates("id=abcdef=ghijkl=mnopqr= short"))
+
+
 def secret_scan_spans(row):
     return [f"{s['kind']}:{s['start']}:{s['end']}" for s in row["spans"]]
 
