@@ -124,7 +124,9 @@ def fit(
     """Grow and weigh rules on labelled documents that are not held out.
 
     ``labels`` has ``doc_id`` and the label; rows without both count for nothing.
-    Of each label at most ``sample`` ids, the first in hash order, are taken.
+    Of each label at most ``sample`` ids, the first in hash order, are taken, and
+    each stands for as many as the label has for one taken, so that the scores
+    keep to the ratio of all labels.
     With one label only, or none, the score is the smoothed share of label 1.
     """
     usable = (
@@ -132,6 +134,8 @@ def fit(
         .groupBy("doc_id")
         .agg(F.max(label).cast("double").alias("label"))
     )
+    totals = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    weights = [max(1.0, totals.get(float(y), 0) / sample) for y in (0, 1)]
     by_hash = [F.xxhash64(F.lit(SEED), "doc_id"), F.col("doc_id")]
     parts = [usable.filter(F.col("label") == y).orderBy(*by_hash).limit(sample) for y in (0, 1)]
     # bounded by twice the sample
@@ -139,21 +143,23 @@ def fit(
     rows, names = statistics(docs.select("doc_id", "text").join(chosen, "doc_id"))
     rows = cut_lineage(rows.select("label", *names).repartition(8, *names).sortWithinPartitions("label", *names))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    ones, zeros = counts.get(1.0, 0), counts.get(0.0, 0)
+    ones, zeros = weights[1] * counts.get(1.0, 0), weights[0] * counts.get(0.0, 0)
     base = math.log((ones + 1) / (zeros + 1))
     if not ones or not zeros:
         return Ensemble(base, ())
 
+    rows = rows.withColumn("_weight", F.when(F.col("label") == 1, weights[1]).otherwise(weights[0]))
     forest = RandomForestClassifier(
-        numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAST_ROWS, featureSubsetStrategy="onethird", seed=SEED
+        numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAST_ROWS, featureSubsetStrategy="onethird", seed=SEED,
+        weightCol="_weight",
     ).fit(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
     rules = sorted(set().union(*[rules_of(t.toDebugString, names) for t in forest.trees]), key=lambda r: r.terms)
     if not rules:
         return Ensemble(base, ())
-    marks = rows.select("label", *[r.column().cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
+    marks = rows.select("label", "_weight", *[r.column().cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
     marked = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(marks)
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False).fit(
-        cut_lineage(marked.select("label", "features"))
+    lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False, weightCol="_weight").fit(
+        cut_lineage(marked.select("label", "_weight", "features"))
     )
     kept = [(r, float(w)) for r, w in zip(rules, lasso.coefficients) if abs(w) > 1e-6]
     return Ensemble(float(lasso.intercept), tuple(kept))

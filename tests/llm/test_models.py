@@ -138,6 +138,19 @@ def test_quality_rules(spark):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+@pytest.mark.parametrize("alike", [True, False])
+def test_quality_keeps_the_ratio_of_labels_when_sampled(spark, alike):
+    """Texts that tell nothing: the mean score is near the share of label 1 and not at
+    the half of the sample; where texts differ, few labels are overfitted a little."""
+    rng = random.Random(6)
+    docs = [(i, "one text" if alike else " ".join(rng.choices(["ab", "cde", "Fg", "h1"], k=rng.randint(5, 40)))) for i in range(1500)]
+    marks = [(i, int(rng.random() < 0.9)) for i in range(1500)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    ensemble = quality.fit(rows, spark.createDataFrame(marks, "doc_id long, quality int"), sample=80)
+    mean = quality.score(rows, ensemble).agg(F.avg("score")).first()[0]
+    assert mean == pytest.approx(0.9, abs=0.03 if alike else 0.15)
+
+
 def test_quality_without_labels_and_without_rows(spark):
     rows, marks, n = tables(spark, *labelled(20))
     none = quality.fit(rows, marks.limit(0))
