@@ -55,6 +55,24 @@ TEMPLATES = {
     ),
 }
 COVERAGE = 0.8
+#: What tells a license from others with like notices: its name and version, as a pattern
+#: over the words of a match. Other words of a template may be lacking, these may not.
+_GPL = r"\b(?:gnu|the) general public licen[cs]es?\b"
+_THREE = r"(?:version )?(?:v?2 (?:0 )?(?:or|and) )?(?:version )?v?3(?: 0\b|\b(?! \d))"
+_GPL_3 = rf"{_GPL} (?:[a-z]+ ){{0,10}}?{_THREE}|\bversion 3 (?:0 )?of (?:the )?{_GPL}"
+_APACHE_2 = r"\bapache (?!org )(?:[a-z]+ ){0,4}v?2(?: 0\b|\b(?! \d))"
+NAMES = {
+    "MIT": (
+        r"(?<!\bat )(?<!\bby )(?<!\bfrom )\bmit\b"
+        r"(?! (?:under|0|no attribution|advertising|cmu|enna|feh|festival|khronos|modern|open group|testregex|wu)\b)"
+    ),
+    "Apache-2.0": _APACHE_2,
+    "Apache-2.0-notice": _APACHE_2,
+    "GPL-3.0": _GPL_3,
+    "GPL-notice": _GPL_3,
+    "CC-BY-NC-4.0": r"\bnc (?:by )?(?:licen[cs]e )?(?:version )?v?4(?: 0\b|\b(?! \d))",
+}
+_VERSION = re.compile(r"version|v?\d+")
 
 
 def words_with_places(text: str) -> tuple[list[str], list[tuple[int, int]]]:
@@ -108,7 +126,8 @@ class Template:
     A match may lack ``missing`` words of the template, so of any set of words
     that make up more places than that, one occurs; the longest are taken."""
 
-    def __init__(self, name: str, text: str, coverage: float):
+    def __init__(self, name: str, text: str, coverage: float, pattern: str | None = None):
+        self.pattern = re.compile(pattern) if pattern else None
         self.name, self.words, self.coverage = name, words_with_places(text)[0], coverage
         missing = len(self.words) - int(-(-coverage * len(self.words) // 1))
         self.hints, places = {}, 0
@@ -119,6 +138,13 @@ class Template:
             places += self.words.count(word)
         self.slack = max(3, missing)
 
+    def named(self, words: list[str], i: int, j: int) -> bool:
+        """Whether a match has the name and version; a version right behind it is read too."""
+        end = j
+        while end < min(len(words), j + 4) and _VERSION.fullmatch(words[end]):
+            end += 1
+        return self.pattern is None or self.pattern.search(" ".join(words[i:end])) is not None
+
     def find(self, words: list[str], places: list[tuple[int, int]]) -> list[tuple[str, float, int, int]]:
         """Matches in a text: name, coverage, start and end in code points. At
         every hint the template is laid over the text, with slack, and aligned.
@@ -131,7 +157,7 @@ class Template:
             high = min(len(words), p - self.hints[word] + size + self.slack)
             pairs = align(words[low:high], self.words)
             share = len(pairs) / size
-            if pairs and share >= self.coverage:
+            if pairs and share >= self.coverage and self.named(words, low + pairs[0][0], low + pairs[-1][0] + 1):
                 found.append((share, low + pairs[0][0], low + pairs[-1][0] + 1))
         kept = []
         for share, i, j in sorted(found, key=lambda f: (-f[0], f[1])):
@@ -162,12 +188,15 @@ def scan(
     coverage: float = COVERAGE,
     id_col: str = "doc_id",
     text_col: str = "text",
+    names: dict[str, str] | None = None,
 ) -> DataFrame:
     """``(id, found)`` per row: the matches in each whole text, with coverage and
-    code points. Null texts count as empty; repeated rows come back as often as
+    code points. A match must also have the pattern that ``names`` gives for its
+    template, ``NAMES`` for the own templates; templates without one go by coverage. Null texts count as empty; repeated rows come back as often as
     they came. Templates without words find nothing. Nothing is shuffled."""
     given = TEMPLATES if templates is None else templates
-    ready = [t for t in (Template(n, x, coverage) for n, x in given.items()) if t.words]
+    told = names if names is not None else NAMES if templates is None else {}
+    ready = [t for t in (Template(n, x, coverage, told.get(n)) for n, x in given.items()) if t.words]
     hints = {h.encode() for t in ready for h in t.hints}
 
     def run(batches):

@@ -320,6 +320,38 @@ def test_licenses_in_texts(spark):
     assert licenses.scan(docs_of(spark, [])).count() == 0
 
 
+NEAR_MISSES = [
+    "Released under the BSD License.", "Released under the MIT-0 License.", "Released by MIT under the BSD License.",
+    "Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0.", "Licensed under CC BY-NC 3.0.", "Licensed under CC BY-NC-SA 4.0.",
+    "This work is licensed under the GNU General Public License, version 2.",
+    "This work is licensed under the GNU Affero General Public License, version 3.",
+    "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "Licensed under the Mozilla Public License, Version 2.0.", "Licensed under the Apache License, Version 1.0.",
+    licenses.TEMPLATES["Apache-2.0-notice"].replace("Apache License", "Educational Community License"),
+    licenses.TEMPLATES["GPL-notice"].replace("GNU General", "GNU Lesser General"),
+    licenses.TEMPLATES["GPL-notice"].replace("version 3", "version 2"),
+]
+VARIANTS = {
+    "released under MIT license": "MIT", "Released under the MIT.": "MIT", "Released under the MIT/X11 License": "MIT",
+    "Licensed under the Apache License 2.0": "Apache-2.0", "Licensed under the Apache License, v2.0": "Apache-2.0",
+    "Licensed under the Apache 2.0 License": "Apache-2.0", "Licensed under Apache License, Version 2.0": "Apache-2.0",
+    "This work is licensed under the GNU General Public License v3.": "GPL-3.0",
+    "This work is licensed under the GNU General Public Licence, version 3.0": "GPL-3.0",
+    "This work is licensed under version 3 of the GNU General Public License": "GPL-3.0",
+    "Work licensed under the GNU General Public License, version 3": "GPL-3.0",
+    "Licensed under Creative Commons BY-NC 4.0": "CC-BY-NC-4.0", "Licensed under CC-BY-NC 4": "CC-BY-NC-4.0",
+}
+
+
+def test_notices_of_other_licenses_are_not_taken_for_known_ones(spark):
+    rows = [(i, "see " + t + " end", None) for i, t in enumerate([*NEAR_MISSES, *VARIANTS, *licenses.TEMPLATES.values()])]
+    found = {r["id"]: [f["license"] for f in r["found"]] for r in licenses.scan(docs_of(spark, rows)).collect()}
+    assert [t for i, t in enumerate(NEAR_MISSES) if found[i]] == []
+    n = len(NEAR_MISSES)
+    assert {t: found[n + i] for i, t in enumerate(VARIANTS)} == {t: [x] for t, x in VARIANTS.items()}
+    assert all(x in found[n + len(VARIANTS) + i] for i, x in enumerate(licenses.TEMPLATES))
+
+
 def test_license_query_against_plain_search(spark):
     folder = "/root/testdata/sf0.01"
     lines = ["MIT", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0"]
