@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contactgraph.llm import url_filter
+
 #: All windows are formed and compared by the MD5 of their words.
 SUBSTRING_DEDUP = r"""
 WITH words AS (
@@ -71,5 +73,52 @@ FROM placed
 """
 
 
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
+
+
+#: Every rule and every term is tried on every url.
+URL_FILTER = rf"""
+WITH rules(host, path, verdict) AS (VALUES {_values(url_filter.RULES)}),
+vocabulary(term, weight) AS (VALUES {_values(url_filter.VOCABULARY.items())}),
+rests AS (
+  SELECT row_number() OVER () AS n, page_id, coalesce(url, '') AS url,
+    CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), parts AS (
+  SELECT n, page_id, url, regexp_extract(rest, '^[^/?#]*') AS raw,
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM rests
+), lowered AS (
+  SELECT *, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS scanned
+  FROM parts
+), fitting AS (
+  SELECT p.n, r.host || r.path AS rule, r.verdict,
+    row_number() OVER (PARTITION BY p.n ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS place
+  FROM lowered p JOIN rules r
+    ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+), counted AS (
+  SELECT p.n, v.term, v.weight, len(regexp_extract_all(
+    regexp_replace(scanned, '([^\pL\pN])', '', 'g'), '(^|[^\pL\pN])' || v.term || '($|[^\pL\pN])')) AS hits
+  FROM lowered p JOIN vocabulary v ON contains(p.scanned, v.term)
+), summed AS (
+  SELECT n, sum(CASE WHEN weight >= {url_filter.LIMIT} THEN hits ELSE 0 END) AS strict_hits,
+    sum(CASE WHEN weight < {url_filter.LIMIT} THEN hits ELSE 0 END) AS soft_hits,
+    count(*) FILTER (weight < {url_filter.LIMIT}) AS soft_terms, sum(weight) AS weight
+  FROM counted WHERE hits > 0 GROUP BY n
+)
+SELECT page_id, host, path, rule,
+  coalesce(verdict, CASE WHEN weight >= {url_filter.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+  CAST(coalesce(strict_hits, 0) AS BIGINT) AS strict_hits, CAST(coalesce(soft_hits, 0) AS BIGINT) AS soft_hits,
+  CAST(coalesce(soft_terms, 0) AS BIGINT) AS soft_terms, CAST(coalesce(weight, 0) AS BIGINT) AS weight
+FROM lowered LEFT JOIN (SELECT * FROM fitting WHERE place = 1) USING (n) LEFT JOIN summed USING (n)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": SUBSTRING_DEDUP, "op6_source_mixing": SOURCE_MIXING}
+    return {
+        "op5_substring_dedup": SUBSTRING_DEDUP,
+        "op6_source_mixing": SOURCE_MIXING,
+        "op11_url_filter": URL_FILTER,
+    }

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactgraph.llm import embeddings, fingerprints, licenses, mixing, packing, quality, secret_scan, simhash, substrings, toxicity
+from contactgraph.llm import embeddings, fingerprints, licenses, mixing, packing, quality, secret_scan, simhash, substrings
+from contactgraph.llm import toxicity, url_filter
 from contactgraph.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +114,11 @@ def op10_packing(spark, sf_dir):
     return packing.digest(packing.pack(_table(spark, sf_dir, "documents")))
 
 
+def op11_url_filter(spark, sf_dir):
+    judged = url_filter.judge(_table(spark, sf_dir, "pages"))
+    return judged.withColumnRenamed("id", "page_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -125,4 +131,5 @@ def queries() -> dict[str, Query]:
         "op8_license_scan": op8_license_scan,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_packing": op10_packing,
+        "op11_url_filter": op11_url_filter,
     }
