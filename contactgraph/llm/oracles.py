@@ -115,10 +115,35 @@ SELECT page_id, host, path, rule,
 FROM lowered LEFT JOIN (SELECT * FROM fitting WHERE place = 1) USING (n) LEFT JOIN summed USING (n)
 """
 
+#: Every anchor is scored against every row.
+HARD_NEGATIVES = """
+WITH good AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id AS other_id, b.label AS other_label,
+    CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM good a JOIN good b ON len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE anchor_label = other_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id
+WHERE anchor_label <> other_label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_substring_dedup": SUBSTRING_DEDUP,
         "op6_source_mixing": SOURCE_MIXING,
         "op11_url_filter": URL_FILTER,
+        "op12_hard_negatives": HARD_NEGATIVES,
     }

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactgraph.llm import embeddings, fingerprints, licenses, mixing, packing, quality, secret_scan, simhash, substrings
-from contactgraph.llm import toxicity, url_filter
+from contactgraph.llm import embeddings, fingerprints, hard_negatives, licenses, mixing, packing, quality, secret_scan
+from contactgraph.llm import simhash, substrings, toxicity, url_filter
 from contactgraph.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,6 +119,11 @@ def op11_url_filter(spark, sf_dir):
     return judged.withColumnRenamed("id", "page_id")
 
 
+def op12_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label_col=moved)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -132,4 +137,5 @@ def queries() -> dict[str, Query]:
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_packing": op10_packing,
         "op11_url_filter": op11_url_filter,
+        "op12_hard_negatives": op12_hard_negatives,
     }
