@@ -21,10 +21,10 @@ from contactgraph.llm.text import LOWER_ASCII, in_pieces
 LIMIT = 4_096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
+#: Words at which the younger of the two halves of a worker's memory is full.
+REMEMBERED = 150_000
 #: Documents encoded together.
-TOGETHER = 2_048
+TOGETHER = 256
 
 _encoders: dict = {}
 
@@ -34,17 +34,25 @@ class WordIds:
 
     The tokenizer never joins across ASCII white space, nor a letter with the
     punctuation behind it, so the ids of a text are those of its words in order
-    and the ids of ``word,`` those of ``word`` and ``,``. Each is encoded once
-    and remembered. Words of letters alone are one unit each, whose last token
-    bears the mark of a word's end; they are encoded in one go and cut there.
+    and the ids of ``word,`` those of ``word`` and ``,``. Words of letters alone
+    are one unit each, whose last token bears the mark of a word's end; they are
+    encoded in one go and cut there.
+
+    Ids are remembered in two halves. When the younger is full it becomes the
+    older and a new one begins; a word of the older half that is met again moves
+    to the younger. So frequent words stay and those met once soon go.
     """
 
     def __init__(self, path: str):
         self.ids: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        whole, *parts = (i.tobytes() for i in self._encode(["ab cd,\tef\n(gh)", "ab", "cd", ",", "ef", "(gh)"]))
+        if whole != b"".join(parts):
+            raise ValueError(f"{path} does not cut texts at white space and words from punctuation")
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -62,7 +70,13 @@ class WordIds:
         return True
 
     def learn(self, words: set[bytes]) -> None:
+        """See to it that the younger half has all of ``words``."""
+        if len(self.ids) > REMEMBERED:
+            self.older, self.ids = self.ids, {}
         new = words.difference(self.ids)
+        again = new.intersection(self.older)
+        self.ids.update((w, self.older[w]) for w in again)
+        new -= again
         split = {}
         for word in new:
             stem = word.rstrip(b".,!?;:#$%&*)")
@@ -76,18 +90,14 @@ class WordIds:
         self.ids.update(zip(rest, (i.tobytes() for i in self._encode([w.decode() for w in rest]))))
         self.ids.update((w, self.ids[stem] + self.ids[tail]) for w, (stem, tail) in split.items())
 
-
-def encode(texts: list[str | bytes | None], path: str) -> list[bytes]:
-    """Packed ids of each text, a string or its UTF-8 form, without special
-    tokens; null counts as empty."""
-    encoder = _encoders.get(path)
-    if encoder is None or len(encoder.ids) > REMEMBERED:
-        encoder = _encoders[path] = WordIds(path)
-    # the tokenizer lowers case itself, but tells special tokens by theirs
-    raw = [t.encode() if isinstance(t, str) else t or b"" for t in texts]
-    split = [(t if b"<|" in t else t.translate(LOWER_ASCII)).split() for t in raw]
-    encoder.learn(set().union(*split))
-    return [b"".join(map(encoder.ids.__getitem__, words)) for words in split]
+    def encode(self, texts: list[str | bytes | None]) -> list[bytes]:
+        """Packed ids of each text, a string or its UTF-8 form, without special
+        tokens; null counts as empty."""
+        # the tokenizer lowers case itself, but tells special tokens by theirs
+        raw = [t.encode() if isinstance(t, str) else t or b"" for t in texts]
+        split = [(t if b"<|" in t else t.translate(LOWER_ASCII)).split() for t in raw]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.ids.__getitem__, words)) for words in split]
 
 
 def binary_pieces(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
@@ -109,14 +119,15 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per piece: ``doc_id, start, length, bucket, ids, doc_tokens,
-    sequence_id, offset``.
+    """One row per piece: ``doc_id, start, length, ids, doc_tokens, sequence_id,
+    offset, bucket``.
 
     ``limit`` is a power of two. A document is the ids of its text and
     ``end_id``, so null and empty texts give one piece of one id. ``bucket`` is
     the binary logarithm of the length. ``sequence_id`` follows from the input
     split and the row, so a task that runs again gives the same. No row is
-    shuffled. Repeated rows and null ids are packed like any other row.
+    shuffled. Repeated rows and null ids are packed like any other row. A tokenizer
+    that joins across white space is refused.
     """
     if limit < 1 or limit & (limit - 1):
         raise ValueError(f"limit must be a power of two, got {limit}")
@@ -124,8 +135,11 @@ def pack(
 
     def run(batches):
         path = public_tokenizers.path(tokenizer)
+        if path not in _encoders:
+            _encoders[path] = WordIds(path)
+        encoder = _encoders[path]
         for rows in in_pieces(batches, TOGETHER):
-            packed = [p + last for p in encode(rows.column(1).to_pylist(), path)]
+            packed = [p + last for p in encoder.encode(rows.column(1).to_pylist())]
             totals = [len(p) // 4 for p in packed]
             cuts = [binary_pieces(n, limit) for n in totals]
             counts = [len(c) for c in cuts]
@@ -137,23 +151,25 @@ def pack(
                     rows.column(0).take(owner),
                     pa.array(spans[:, 0]),
                     pa.array(spans[:, 1]),
-                    pa.array(np.log2(spans[:, 1]).astype(np.int32)),
                     pa.array(ids, pa.binary()),
                     pa.array(np.repeat(totals, counts)),
+                    pa.array(np.log2(spans[:, 1]).astype(np.int32)),
                 ],
-                ["doc_id", "start", "length", "bucket", "ids", "doc_tokens"],
+                ["doc_id", "start", "length", "ids", "doc_tokens", "bucket"],
             )
 
     # as bytes, which the words are cut from without decoding
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     pieces = rows.mapInArrow(
-        run, "doc_id bigint, start bigint, length bigint, bucket int, ids binary, doc_tokens bigint"
+        run, "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, bucket int"
     )
-    return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn(
-        "offset", F.lit(0).cast("bigint")
+    sequence = {"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint")}
+    return pieces.withColumns(sequence).select(
+        "doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "bucket"
     )
 
 
 def digest(pieces: DataFrame) -> DataFrame:
     """The pieces with the CRC-32 of their packed ids in place of the ids."""
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    columns = [F.crc32("ids").alias("ids_crc32") if c == "ids" else F.col(c) for c in pieces.columns]
+    return pieces.select(*columns)

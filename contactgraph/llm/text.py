@@ -23,10 +23,13 @@ TEXTS_TOGETHER = 512
 
 def in_pieces(batches: Iterable[pa.RecordBatch], rows: int = TEXTS_TOGETHER) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, so that not a whole batch of texts is
-    held as Python strings beside its Arrow form."""
+    held as Python strings beside its Arrow form. What Arrow holds but no longer
+    uses is given back after each batch: the worker outlives the task."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def words_column(text: str | Column) -> Column:

@@ -35,7 +35,7 @@ STEPS, EPOCHS, BATCH = 400, 30, 64
 REFRESH = 20
 SEED = 7
 #: Words a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 _GROUP = 2_048  # windows scored together
 
 _PUNCTUATION = bytes(range(1, 48)) + b":;<=>?@[\\]^_`{|}~"
@@ -472,6 +472,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             parts = [texts.slice(k, TEXTS_TOGETHER) for k in range(0, len(texts), TEXTS_TOGETHER)]
             found = [scorer.scores(part.to_pylist()) for part in parts]
             yield pa.array(np.concatenate([np.zeros(0), *found]), pa.float64())
+            del texts, parts
+            pa.default_memory_pool().release_unused()
 
     others = [c for c in docs.columns if c != "score"]
     return docs.select(*others, toxicity(text_col).alias("score"))

@@ -224,7 +224,7 @@ def test_pipeline_stages(spark, tmp_path):
             assert len(rows) == copies and {tuple(r) for r in rows} <= {tuple(r) for r in before}
         else:
             assert len({r["sequence_id"] for r in rows}) == len(rows)
-            total = sum(len(e) // 4 + 1 for e in packing.encode([r["text"] for r in before], packing.public_tokenizers.path(packing.VOCABULARY)))
+            total = sum(len(e) // 4 + 1 for e in packing.WordIds(packing.public_tokenizers.path(packing.VOCABULARY)).encode([r["text"] for r in before]))
             assert sum(r["length"] for r in rows) == total
         docs = after
     assert k == 4
