@@ -63,7 +63,17 @@ def _key(source: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("null"))
 
 
-def inclusion_rank(seed: int, inclusion: Column, *ids: str) -> Column:
+#: The order in which documents of one source are taken: rows of one rank by what
+#: follows, so that repeated rows come one by one.
+_ORDER = ["rank", "id", "size", "tie", "place"]
+
+
+def _drawn() -> Column:
+    """What the draw depends on: the id, or the text's hash where there is none."""
+    return F.coalesce(F.col("id").cast("string"), F.concat(F.lit("text "), F.col("tie").cast("string")))
+
+
+def inclusion_rank(seed: int, inclusion: Column, *ids: str | Column) -> Column:
     """The odds of a uniform number by the odds of ``inclusion``, as a number from 0 to 1."""
     u, p = portable_uniform(seed, *ids), inclusion
     return u * (1 - p) / (u * (1 - p) + (1 - u) * p)
@@ -73,7 +83,7 @@ def cut_table(
     sized: DataFrame, share: float, most: float, weights: tuple, power: float, seed: int
 ) -> DataFrame:
     """One row per source: what its documents get for certain and where its
-    sample ends. ``sized`` has ``id, source, size`` and is read several times.
+    sample ends. ``sized`` has ``id, source, size, tie, place`` and is read several times.
 
     The rank at which a sample ends is found from the words in ``BUCKETS`` equal
     ranges of rank, a count with a map-side aggregate, and then within the one
@@ -81,8 +91,10 @@ def cut_table(
     however large. The words taken miss the target by at most half of the
     document at the cut.
     """
+    # thousandths as whole numbers: a sum of doubles would depend on the order
+    measured = F.floor(_measure(power) * F.col("size") * 1000).cast("decimal(38,0)")
     sums = sized.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.sum(_measure(power) * F.col("size")).alias("measured")
+        F.sum("size").alias("source_size"), (F.sum(measured).cast("double") / 1000).alias("measured")
     )
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = cut_lineage(
@@ -104,14 +116,14 @@ def cut_table(
         .agg(F.min(F.struct("bucket", "reached", "words")).alias("cut"))
         .select("key", F.col("cut.bucket").alias("at"), (F.col("cut.reached") - F.col("cut.words")).alias("base"))
     )
-    by_rank = Window.partitionBy("key").orderBy("rank", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    by_rank = Window.partitionBy("key").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("base") + F.sum("size").over(by_rank) - F.col("size") / 2
     last = (
         hot_join(ranked, cuts, "key")
         .filter(F.col("bucket") == F.col("at"))
         .withColumn("taken", middle <= F.col("goal"))
         .groupBy("key")
-        .agg(F.max(F.when(F.col("taken"), F.struct("rank", "id", "size"))).alias("last"))
+        .agg(F.max(F.when(F.col("taken"), F.struct(*_ORDER))).alias("last"))
     )
     table = plan.join(cuts.drop("base"), "key", "left").join(last, "key", "left")
     # written and read again, so that its size is known where it is joined
@@ -126,15 +138,15 @@ def _measure(power: float) -> Column:
 
 def _ranked(rows: DataFrame, power: float, seed: int) -> DataFrame:
     inclusion = F.least(F.greatest(F.col("scale") * _measure(power), F.lit(1e-9)), F.lit(1 - 1e-9))
-    return rows.withColumn("rank", inclusion_rank(seed, inclusion, "id")).withColumn(
+    return rows.withColumn("rank", inclusion_rank(seed, inclusion, _drawn())).withColumn(
         "bucket", F.floor(F.col("rank") * BUCKETS).cast("int")
     )
 
 
 def with_copies(rows: DataFrame, cuts: DataFrame, power: float, seed: int) -> DataFrame:
-    """``rows`` (with ``id, source, size``) and their ``source_size, target, copies``."""
+    """``rows`` (with ``id, source, size, tie, place``) and their ``source_size, target, copies``."""
     ranked = _ranked(hot_join(rows.withColumn("key", _key()), cuts, "key"), power, seed)
-    at_cut = F.coalesce(F.struct("rank", "id", "size") <= F.col("last"), F.lit(False))
+    at_cut = F.coalesce(F.struct(*_ORDER) <= F.col("last"), F.lit(False))
     extra = (F.col("goal") > 0) & (
         F.col("at").isNull() | (F.col("bucket") < F.col("at")) | ((F.col("bucket") == F.col("at")) & at_cut)
     )
@@ -162,19 +174,24 @@ def mix(
     of a document is its size to the ``power``, so that long documents are
     likelier than short ones but less than in proportion. ``copies`` is at most
     ``most`` rounded up, and ``taken`` is copies times size. Null texts have size
-    0, a null source is a source, and rows of one source with equal id and size
-    fare alike. The draw is a hash of seed and id, so reruns agree. Runs jobs.
+    0 and a null source is a source. The draw is a hash of seed and id, of the text
+    where there is no id, so reruns agree; rows of one id are taken in order of
+    their texts' hashes, and equal rows one by one, by their place in the table,
+    which the table's files decide. Runs jobs.
     """
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("id"),
         F.col(source_col).cast("string").alias("source"),
         size_in_words(text_col).alias("size"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tie"),
+        F.monotonically_increasing_id().alias("place"),
         *[F.col(c).alias(f"_carried_{c}") for c in carry],
     )
-    sized = cut_lineage(rows.select("id", "source", "size"))
+    sized = cut_lineage(rows.select("id", "source", "size", "tie", "place"))
     cuts = cut_table(sized, share, most, weights, power, seed)
     return (
         with_copies(rows if carry else sized, cuts, power, seed)
+        .drop("tie", "place")
         .withColumn("taken", F.col("copies") * F.col("size"))
         .withColumnsRenamed({f"_carried_{c}": c for c in carry})
     )
@@ -184,7 +201,10 @@ def resample(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every row as often as the mix takes it, same columns.
 
     ``id_col``, ``text_col`` and ``source_col`` name the columns as for :func:`mix`."""
-    carried = docs.select(F.struct(*docs.columns).alias("row"), *docs.columns)
-    mixed = mix(carried, carry=("row",), **options)
+    own = "row"
+    while own in docs.columns:
+        own = f"_{own}"
+    carried = docs.select(F.struct(*docs.columns).alias(own), *docs.columns)
+    mixed = mix(carried, carry=(own,), **options)
     times = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
-    return mixed.select("row", times.alias("n")).select("row.*")
+    return mixed.select(F.col(own).alias("row"), times.alias("n")).select("row.*")

@@ -34,7 +34,8 @@ SOURCE_MIXING = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
 ), sums AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, sum(sqrt(size) * size) AS measured FROM sized GROUP BY source
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 
+    CAST(sum(CAST(floor(sqrt(size) * size * 1000) AS HUGEINT)) AS DOUBLE) / 1000 AS measured FROM sized GROUP BY source
 ), weighed AS (
   SELECT *, 2 * CAST(source_size AS DOUBLE) AS stop,
     CAST([3, 1, 2][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS DOUBLE) AS weight

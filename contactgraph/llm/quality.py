@@ -37,21 +37,30 @@ def _matched(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def statistics(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, list[str]]:
-    """``docs`` with the statistics of each whole text, and their names. Null
-    texts count as empty; shares of nothing are 0."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    counted = docs.withColumn("_text", text).withColumns(
-        {"_words": words_column("_text"), "_lines": F.split("_text", "\n")}
+def _free(name: str, columns: list[str]) -> str:
+    """``name``, with as many marks before it as keep it apart from ``columns``."""
+    while any(c.startswith(name) for c in columns):
+        name = f"_{name}"
+    return name
+
+
+def statistics(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the statistics of each whole text, and the column of each by
+    its name; the columns that ``docs`` has stay as they are. Null texts count as
+    empty; shares of nothing are 0."""
+    own = _free("_stat_", docs.columns)
+    at, listed, by_line = (f"{own}{name}" for name in ("text", "words", "lines"))
+    counted = docs.withColumn(at, F.coalesce(F.col(text_col), F.lit(""))).withColumns(
+        {listed: words_column(at), by_line: F.split(at, "\n")}
     )
-    n, words = F.length("_text"), F.size("_words")
-    text = F.col("_text")
+    text = F.col(at)
+    n, words = F.length(text), F.size(listed)
     found = {
         "log_chars": F.log1p(n),
         "word_length": _share(n - words, words),
-        "longest_word": F.log1p(F.coalesce(F.array_max(F.transform("_words", F.length)), F.lit(0))),
-        "distinct_words": _share(F.size(F.array_distinct("_words")), words),
-        "distinct_lines": _share(F.size(F.array_distinct("_lines")), F.size("_lines")),
+        "longest_word": F.log1p(F.coalesce(F.array_max(F.transform(listed, F.length)), F.lit(0))),
+        "distinct_words": _share(F.size(F.array_distinct(listed)), words),
+        "distinct_lines": _share(F.size(F.array_distinct(by_line)), F.size(by_line)),
         "letters": _share(_matched(text, r"\p{L}+"), n),
         "capitals": _share(_matched(text, r"\p{Lu}+"), n),
         "digits": _share(_matched(text, r"\p{N}+"), n),
@@ -60,9 +69,8 @@ def statistics(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, list
         "lone_symbols": _share(F.regexp_count(text, F.lit(r"(?<=\s)[^\p{L}\p{N}\s](?=\s)")), words),
         "sentences": _share(F.regexp_count(text, F.lit(r"[.!?](?=\s|$)")), words),
     }
-    names = [f"_stat_{name}" for name in found]
-    typed = {f"_stat_{name}": column.cast("double") for name, column in found.items()}
-    return counted.withColumns(typed).drop("_text", "_words", "_lines"), names
+    typed = {f"{own}{name}": column.cast("double") for name, column in found.items()}
+    return counted.withColumns(typed).drop(at, listed, by_line), {name: f"{own}{name}" for name in found}
 
 
 @dataclass(frozen=True)
@@ -71,10 +79,11 @@ class Rule:
 
     terms: tuple[tuple[str, str, float], ...]
 
-    def column(self) -> Column:
+    def column(self, columns: dict[str, str]) -> Column:
         kept = F.lit(True)
         for name, side, threshold in self.terms:
-            term = F.col(name) <= threshold if side == "<=" else F.col(name) > threshold
+            value = F.col(columns[name])
+            term = value <= threshold if side == "<=" else value > threshold
             kept = kept & term
         return kept
 
@@ -86,11 +95,11 @@ class Ensemble:
     intercept: float
     rules: tuple[tuple[Rule, float], ...]
 
-    def score(self) -> Column:
+    def score(self, columns: dict[str, str]) -> Column:
         """The probability of label 1, over columns of :func:`statistics`."""
         odds = F.lit(self.intercept)
         for rule, weight in self.rules:
-            odds = odds + F.when(rule.column(), F.lit(weight)).otherwise(F.lit(0.0))
+            odds = odds + F.when(rule.column(columns), F.lit(weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-odds))
 
 
@@ -124,8 +133,8 @@ def fit(
     """Grow and weigh rules on labelled documents that are not held out.
 
     ``labels`` has ``doc_id`` and the label; rows without both count for nothing.
-    Of each label at most ``sample`` ids, the first in hash order, are taken, and
-    each stands for as many as the label has for one taken, so that the scores
+    Of each label at most ``sample`` ids, the first in hash order, are taken, each
+    with one text, and each stands for as many as the label has for one taken, so that the scores
     keep to the ratio of all labels.
     With one label only, or none, the score is the smoothed share of label 1.
     """
@@ -140,8 +149,13 @@ def fit(
     parts = [usable.filter(F.col("label") == y).orderBy(*by_hash).limit(sample) for y in (0, 1)]
     # bounded by twice the sample
     chosen = F.broadcast(parts[0].union(parts[1]))
-    rows, names = statistics(docs.select("doc_id", "text").join(chosen, "doc_id"))
-    rows = cut_lineage(rows.select("label", *names).repartition(8, *names).sortWithinPartitions("label", *names))
+    # an id that many rows share has one text in the sample, and the bound holds
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    one = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
+    rows, columns = statistics(one)
+    names = list(columns)
+    rows = rows.select("label", *[F.col(columns[n]).alias(n) for n in names])
+    rows = cut_lineage(rows.repartition(8, *names).sortWithinPartitions("label", *names))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     ones, zeros = weights[1] * counts.get(1.0, 0), weights[0] * counts.get(0.0, 0)
     base = math.log((ones + 1) / (zeros + 1))
@@ -156,7 +170,7 @@ def fit(
     rules = sorted(set().union(*[rules_of(t.toDebugString, names) for t in forest.trees]), key=lambda r: r.terms)
     if not rules:
         return Ensemble(base, ())
-    marks = rows.select("label", "_weight", *[r.column().cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
+    marks = rows.select("label", "_weight", *[r.column({n: n for n in names}).cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
     marked = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(marks)
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False, weightCol="_weight").fit(
         cut_lineage(marked.select("label", "_weight", "features"))
@@ -169,5 +183,5 @@ def score(docs: DataFrame, ensemble: Ensemble, text_col: str = "text") -> DataFr
     """``docs`` with ``score``, from 0 to 1, by its whole texts; a column of that
     name is replaced. Null texts count as empty, which have statistics like any
     other text. Repeated rows come back as often as they came; nothing is shuffled."""
-    rows, names = statistics(docs, text_col)
-    return rows.withColumn("score", ensemble.score()).drop(*names)
+    rows, columns = statistics(docs, text_col)
+    return rows.withColumn("score", ensemble.score(columns)).drop(*columns.values())

@@ -445,7 +445,12 @@ def fit(
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .join(F.broadcast(sample), "doc_id")
         .filter(F.size(F.split("text", r"\s+", sample_words + 1)) <= sample_words)
-        .dropDuplicates(["text", "y"])
+        # an id that many rows share has one text in the sample, and the bound holds
+        .groupBy("doc_id")
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
+        # equal texts are one, under the least id, so that reruns train alike
+        .groupBy("text", "y")
+        .agg(F.min("doc_id").alias("doc_id"))
         .orderBy(*by_hash, "text")
         .select("text", "y")
         .collect()

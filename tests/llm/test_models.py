@@ -1,6 +1,9 @@
 """Learned operators: gradients, rules, held-out accuracy; and the pipeline."""
 
+import math
 import random
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -129,7 +132,8 @@ def test_quality_rules(spark):
     ensemble = quality.fit(rows, marks)
     assert ensemble.rules
     scored = quality.score(rows, ensemble)
-    assert sorted(scored.columns) == sorted(["doc_id", "text", "score"])
+    assert sorted(scored.columns) == sorted(["doc_id", "text", "_text", "score"])
+    assert {r["_text"] for r in scored.select("_text").distinct().collect()} == {"clash"}
     found = scored.withColumn("out", quality.held_out()).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).collect()
     assert len(found) == n and all(0 <= r["score"] <= 1 for r in found)
     truth = {i: q for i, q, _ in labels}
@@ -182,6 +186,110 @@ def test_rules_come_from_every_path():
     }
 
 
+def plain_statistics(text):
+    text = text or ""
+    words = [w for w in re.split("[\x20\x09-\x0D]+", text) if w]
+    lines = text.split("\n")
+    n = len(text)
+
+    def share(part, whole):
+        return part / whole if whole else 0.0
+
+    def having(*kinds):
+        return sum(unicodedata.category(c).startswith(kinds) for c in text)
+
+    def mark(c):
+        return not unicodedata.category(c).startswith(("L", "N")) and c not in " \t\n\x0b\f\r"
+
+    marks = "".join("x" if mark(c) else " " if c in " \t\n\x0b\f\r" else "." for c in text)
+    return {
+        "log_chars": math.log1p(n),
+        "word_length": share(n - len(words), len(words)),
+        "longest_word": math.log1p(max(map(len, words), default=0)),
+        "distinct_words": share(len(set(words)), len(words)),
+        "distinct_lines": share(len(set(lines)), len(lines)),
+        "letters": share(having("L"), n),
+        "capitals": share(having("Lu"), n),
+        "digits": share(having("N"), n),
+        "symbols": share(marks.count("x"), n),
+        "symbol_runs": share(len(re.findall("x{2,}", marks)), len(words)),
+        "lone_symbols": share(len(re.findall("(?<= )x(?= )", marks)), len(words)),
+        "sentences": share(len(re.findall(r"[.!?](?=[\s]|$)", text, re.A)), len(words)),
+    }
+
+
+def test_statistics_against_plain_ones(spark):
+    rng = random.Random(8)
+    pieces = ["word", "Word", "ÉA", "9", "½", " ", "  ", "\n", "\t", ".", "!", "?", "##", "*", "-", "é", "𝒳"]
+    texts = [None, "", " ", "a", ".", "a. b! c?", "\n\n", "x" * 100_000] + ["".join(rng.choices(pieces, k=rng.randint(1, 60))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_stat_id long, text string")
+    rows, columns = quality.statistics(docs)
+    assert rows.columns[:2] == ["_stat_id", "text"] and list(columns) == list(plain_statistics(""))
+    for r in rows.collect():
+        expected = plain_statistics(texts[r["_stat_id"]])
+        for name, column in columns.items():
+            assert r[column] == pytest.approx(expected[name], abs=1e-12), (name, texts[r["_stat_id"]])
+
+
+def test_one_id_of_many_rows_has_one_text_in_the_sample(spark):
+    docs, labels = labelled(200, seed=3)
+    rows = spark.createDataFrame(docs + [(0, f"text {k}") for k in range(2_000)], "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = []
+
+    def keep(texts, *rest):
+        seen.append(len(texts))
+        return toxicity_train(texts, *rest)
+
+    toxicity_train, toxicity.train = toxicity.train, keep
+    try:
+        toxicity.fit(rows, marks, steps=2)
+    finally:
+        toxicity.train = toxicity_train
+    assert 0 < seen[0] <= 200
+    assert quality.fit(rows, marks).rules
+
+
+def plain_logit(model, gates, window):
+    """One window, word by word."""
+    units = toxicity.UNITS
+    states = np.zeros((len(window), 2 * units))
+    for d in range(2):
+        h = np.zeros(units)
+        for t in range(len(window)) if d == 0 else reversed(range(len(window))):
+            x, s = gates[window[t], d], h @ model.states[d]
+            z, r = (1 / (1 + np.exp(-(x[a:b] + s[a:b]))) for a, b in ((0, units), (units, 2 * units)))
+            new = np.tanh(x[2 * units :] + r * s[2 * units :])
+            h = z * h + (1 - z) * new
+            states[t, d * units : (d + 1) * units] = h
+    e = np.exp([s @ model.attention if w else -np.inf for w, s in zip(window, states)])
+    return (e / e.sum()) @ states @ model.output + model.offset[0]
+
+
+def test_forward_pass_against_a_plain_one():
+    docs, labels = labelled(60, seed=4)
+    model = toxicity.train([t for _, t in docs], [t for _, _, t in labels], 0.2, steps=5)
+    words = sorted({w for _, t in docs for w in toxicity.words_of(t)})
+    rows, owners, scale = model.grams_of(words)
+    order = np.argsort(owners, kind="stable")
+    embedded = model.embed(np.array([model.vocabulary.get(w, 0) for w in words]), rows[order], owners[order], scale)
+    gates = np.concatenate([toxicity._pad_gates(), model.gates(embedded)])
+    rng = np.random.default_rng(0)
+    windows = rng.integers(1, len(gates), (20, toxicity.WINDOW))
+    windows[:5, 10:] = 0
+    found = toxicity.forward(model, gates, windows)
+    assert np.allclose(found, [plain_logit(model, gates, w) for w in windows], atol=1e-4)
+
+
+def test_toxicity_held_out_on_the_tables(spark):
+    folder = "/root/testdata/sf0.1"  # sf0.01 has 37 toxic documents to learn from, too few
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    found = [r for r in queries.op7_toxicity(spark, folder).collect() if r["held_out"] and truth.get(r["doc_id"]) is not None]
+    toxic = [r["predicted"] for r in found if truth[r["doc_id"]] == 1]
+    others = [r["predicted"] for r in found if truth[r["doc_id"]] == 0]
+    assert len(toxic) > 100 and np.mean(toxic) > 0.9 and np.mean(others) < 0.02
+
+
 @pytest.mark.parametrize("name, label", [("op1_quality_rules", "quality")])
 def test_held_out_accuracy_on_the_tables(spark, name, label):
     folder = "/root/testdata/sf0.01"
@@ -230,6 +338,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert k == 4
 
 
+def test_near_copies_under_repeated_ids_leave_one(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, text, "en", "a", 1), (1, text + " x", "en", "a", 2), (1, text + " y", "en", "b", 3), (2, text + " z", "en", "a", 4)]
+    rows += [(1, "quite another text", "en", "a", 5), (1, "quite another text", "en", "a", 5), (None, text, "en", "a", 6)]
+    rows += [(None, "without id", None, None, None)] * 2 + [(3, None, "en", "a", 0), (4, "", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert len(kept) == 4
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:5]) for r in kept) == [(0, "witho"), (1, "quite"), (1, "w0 w1"), (3, "")]
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)

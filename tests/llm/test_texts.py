@@ -315,6 +315,22 @@ def test_binary_pieces():
         packing.pack(None, limit=100)
 
 
+def test_mixing_takes_repeated_rows_one_by_one(spark):
+    text = "one two three"
+    rows = [(None, text, "a")] * 500 + [(None, f"{text[:-1]}{k}", "a") for k in range(500)] + [(7, text, "a")] * 1_000
+    found = mixing.mix(docs_of(spark, rows)).collect()
+    taken, target = sum(r["taken"] for r in found), found[0]["target"]
+    assert len(found) == 2_000 and abs(taken - target) <= 3 and {r["copies"] for r in found} == {1, 2}
+    again = mixing.mix(docs_of(spark, rows)).collect()
+    assert sorted(map(str, found)) == sorted(map(str, again))
+
+
+def test_resampling_keeps_a_column_named_row(spark):
+    docs = docs_of(spark, [(1, "a b", "s"), (2, "c", "s")]).withColumn("row", F.lit(1)).withColumn("_row", F.lit(2))
+    mixed = mixing.resample(docs)
+    assert mixed.columns == docs.columns and mixed.count() >= 2
+
+
 # licenses
 
 
