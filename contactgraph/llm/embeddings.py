@@ -21,9 +21,12 @@ from contactgraph.llm.components import connected_components
 from contactgraph.llm.runs import starts_of_runs, whole_runs
 from contactgraph.session import cut_lineage
 
-#: Pivots, the sample of vectors they are drawn from, and their highest cosine
-#: with each other; the pivots are all that is fitted.
-PIVOTS, SAMPLE, APART = 256, 2_048, 0.8
+#: Pivots grow with the square root of the number of vectors, so that lists do not
+#: grow with it, from the least number up to the most.
+LEAST_PIVOTS, MOST_PIVOTS, PER_ROOT = 256, 4_096, 2
+#: Vectors and components of the sample that pivots are drawn from, and their highest
+#: cosine with each other; the pivots are all that is fitted.
+SAMPLE, SAMPLE_VALUES, APART = 16_384, 2**23, 0.8
 NEAREST, SHARED = 6, 2
 #: Vectors of one list that one group compares; longer lists are cut.
 BLOCK = 1_024
@@ -47,18 +50,22 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy().astype(np.float64).reshape(-1, width)
 
 
-def fit_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE, apart: float = APART) -> np.ndarray:
-    """Unit rows: of the first ``sample`` distinct vectors in hash order the first
-    ``pivots`` whose cosine with each one taken before is at most ``apart``. So a
-    crowd of near-copies gives one pivot, not many that its members would list
-    in any order."""
+def pivots_for(vectors: int) -> int:
+    """The number of pivots for so many vectors."""
+    return int(min(max(LEAST_PIVOTS, PER_ROOT * vectors**0.5), MOST_PIVOTS))
+
+
+def fit_pivots(vectors: DataFrame, pivots: int, width: int, sample: int = SAMPLE, apart: float = APART) -> np.ndarray:
+    """Unit rows: of the first ``sample`` distinct vectors in hash order (fewer if they
+    are wide) the first ``pivots`` whose cosine with each one taken before is at most
+    ``apart``. So a crowd of near-copies gives one pivot, not many that its members
+    would list in any order."""
+    bound = max(1, min(sample, 8 * pivots, SAMPLE_VALUES // max(width, 1)))
     # bounded by the sample
-    rows = (
-        vectors.select("vector").orderBy(F.xxhash64(F.lit(SEED), "vector"), "vector").limit(sample).collect()
-    )
-    if not rows:
+    rows = vectors.select("vector").orderBy(F.xxhash64(F.lit(SEED), "vector"), "vector").limit(bound).toArrow()
+    if not rows.num_rows:
         return np.zeros((0, 0))
-    rows = unit(np.array([r["vector"] for r in rows], np.float64))
+    rows = unit(_matrix(rows["vector"].combine_chunks(), width))
     taken, free = [], np.ones(len(rows), bool)
     while free.any() and len(taken) < pivots:
         taken.append(int(np.argmax(free)))
@@ -119,7 +126,7 @@ _PAIRS = "a bigint, b bigint, links bigint"
 def near_duplicates(
     table: DataFrame,
     least: float = 0.95,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
     nearest: int = NEAREST,
     shared: int = SHARED,
     block: int = BLOCK,
@@ -135,17 +142,21 @@ def near_duplicates(
     two parts meet in a group of their own. Groups give sums of weights and
     spanning links, not pairs. Rows with one id count as one. Runs jobs.
     """
-    all_rows = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    # single precision stays so on the way, and is compared in double
+    single = table.select(vector_col).schema[0].dataType.simpleString() == "array<float>"
+    kind = "float" if single else "double"
+    all_rows = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"))
     good = all_rows.filter(F.col("id").isNotNull() & usable("vector"))
     # a copy is found by its least id, which stands for all of them
-    copies = good.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
+    copies = good.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0).cast(kind)))
     firsts = cut_lineage(copies.groupBy("vector").agg(F.min("id").alias("node"), F.count_distinct("id").alias("weight")))
-    lengths = [r["n"] for r in firsts.select(F.size("vector").alias("n")).distinct().collect()]
+    lengths = firsts.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n")).collect()
 
     found = None
-    for width in sorted(lengths):
+    for width, n in sorted(map(tuple, lengths)):
         same = firsts.filter(F.size("vector") == width)
-        part = _verified(same, width, least, fit_pivots(same, pivots), nearest, shared, block)
+        chosen = fit_pivots(same, pivots or pivots_for(n), width)
+        part = _verified(same, width, kind, least, chosen, nearest, shared, block)
         found = part if found is None else found.union(part)
     if found is None:
         found = table.sparkSession.createDataFrame([], _PAIRS)
@@ -180,43 +191,41 @@ def near_duplicates(
     )
 
 
-def _verified(firsts, width, least, pivots, nearest, shared, block) -> DataFrame:
+def _verified(firsts, width, kind, least, pivots, nearest, shared, block) -> DataFrame:
     """Rows ``(node, null, links)`` with sums of weights and ``(a, b, null)`` with links."""
     nearest = min(nearest, len(pivots))
     shared = min(shared, nearest)
     keys_of = pivot_keys(pivots, nearest, shared)
 
-    def describe(batches):
+    def listed(values: np.ndarray, kind) -> pa.Array:
+        return pa.FixedSizeListArray.from_arrays(pa.array(values.ravel(), kind), values.shape[1]).cast(pa.list_(kind))
+
+    def listings(batches):
         for batch in batches:
-            rows = unit(_matrix(batch.column("vector"), width))
-            near, codes = keys_of(rows)
-            per = codes.shape[1]
-            again = pa.array(np.repeat(np.arange(len(rows)), per))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(codes.ravel()),
-                    batch.column("node").take(again),
-                    batch.column("weight").take(again),
-                    pa.FixedSizeListArray.from_arrays(pa.array(near.astype(np.int32).ravel()), nearest)
-                    .cast(pa.list_(pa.int32()))
-                    .take(again),
-                    batch.column("vector").take(again),
-                ],
-                ["code", "node", "weight", "near", "vector"],
-            )
+            _, codes = keys_of(unit(_matrix(batch.column("vector"), width)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), listed(codes, pa.int64())], ["node", "codes"])
 
-    described = firsts.select("node", "weight", "vector").mapInArrow(
-        describe, "code bigint, node bigint, weight bigint, near array<int>, vector array<double>"
-    )
-    sizes = described.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1")
-    met = (
-        hot_join(described, sizes, "code")
+    def describe(batches):
+        for batch in batches:
+            near, _ = keys_of(unit(_matrix(batch.column("vector"), width)))
+            columns = [batch.column(c) for c in ("node", "weight", "vector")]
+            yield pa.RecordBatch.from_arrays([*columns, listed(near.astype(np.int32), pa.int32())], ["node", "weight", "vector", "near"])
+
+    entries = firsts.select("node", "vector").mapInArrow(listings, "node bigint, codes array<bigint>")
+    entries = entries.select("node", F.explode("codes").alias("code"))
+    sizes = entries.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1")
+    grouped = (
+        hot_join(entries, sizes, "code")
         .withColumn("parts", F.ceil(F.col("n") / F.lit(block)).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64(F.lit(SEED), "node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
         .withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-        .select("code", "lo", "hi", "own", "node", "weight", "near", "vector")
+        .select("node", "code", "lo", "hi", "own")
+    )
+    described = firsts.select("node", "weight", "vector").mapInArrow(
+        describe, f"node bigint, weight bigint, vector array<{kind}>, near array<int>"
     )
+    met = grouped.join(described, "node").select("code", "lo", "hi", "own", "node", "weight", "near", "vector")
     keys = ["code", "lo", "hi"]
     total = len(pivots)
 

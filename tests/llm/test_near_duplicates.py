@@ -153,6 +153,50 @@ def test_embedding_query_recall(spark):
     assert sum(found.values()) >= 0.9 * sum(degree.values())
 
 
+def planted(kind, n, width, seed):
+    """Vectors of which half have a partner at a cosine just above 0.95."""
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((40, width)) if kind == "clustered" else np.zeros((1, width))
+    x = centres[rng.integers(0, len(centres), n)] + (0.5 if kind == "clustered" else 1.0) * rng.standard_normal((n, width))
+    x = embeddings.unit(x)
+    away = rng.standard_normal((n // 2, width))
+    away -= (away * x[: n // 2]).sum(axis=1, keepdims=True) * x[: n // 2]
+    cosine = rng.uniform(0.951, 0.97, (n // 2, 1))
+    y = cosine * x[: n // 2] + np.sqrt(1 - cosine**2) * embeddings.unit(away)
+    return np.concatenate([x, y]), [(i, n + i) for i in range(n // 2)]
+
+
+@pytest.mark.parametrize("kind, width", [("isotropic", 64), ("clustered", 64), ("isotropic", 256)])
+def test_planted_pairs_are_found(spark, kind, width):
+    vectors, pairs = planted(kind, 4_000, width, seed=width)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    found = {r["id"]: r for r in embeddings.near_duplicates(df, block=128).collect()}
+    hit = sum(found[a]["component_id"] == found[b]["component_id"] for a, b in pairs)
+    assert hit >= 0.97 * len(pairs)
+    linked = {i for pair in pairs for i in pair}
+    near = vectors @ vectors.T >= 0.95 - 1e-6
+    assert all(found[i]["n_links"] <= near[i].sum() - 1 for i in range(len(vectors)))
+    assert sum(r["n_links"] for i, r in found.items() if i not in linked) == 0
+
+
+def test_candidates_do_not_grow_with_the_table():
+    per_vector = []
+    for n in (20_000, 160_000):
+        rows = embeddings.unit(np.random.default_rng(n).standard_normal((n, 64)))
+        pivots = rows[: embeddings.pivots_for(n)]
+        _, codes = embeddings.pivot_keys(pivots, embeddings.NEAREST, embeddings.SHARED)(rows)
+        counts = np.unique(codes, return_counts=True)[1]
+        per_vector.append((counts * (counts - 1)).sum() / n)
+    assert max(per_vector) < 1.4 * min(per_vector) and max(per_vector) < 400
+
+
+def test_two_vectors_under_one_id_count_as_one(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted((r["id"], r["component_id"]) for r in embeddings.near_duplicates(df).collect())
+    assert found == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def plain_simhash(text):
     words = text.lower().encode().split()
     words = [w.decode() for w in words]
