@@ -22,9 +22,9 @@ LIMIT = 4_096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Words at which the younger of the two halves of a worker's memory is full.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 #: Documents encoded together.
-TOGETHER = 256
+TOGETHER = 512
 
 _encoders: dict = {}
 
@@ -74,9 +74,9 @@ class WordIds:
         if len(self.ids) > REMEMBERED:
             self.older, self.ids = self.ids, {}
         new = words.difference(self.ids)
-        again = new.intersection(self.older)
-        self.ids.update((w, self.older[w]) for w in again)
-        new -= again
+        again = {w: self.older[w] for w in new if w in self.older}
+        self.ids.update(again)
+        new.difference_update(again)
         split = {}
         for word in new:
             stem = word.rstrip(b".,!?;:#$%&*)")
