@@ -209,7 +209,7 @@ class Template:
     """Words of a notice, the places that a match may not lack, and the hints of
     which any sufficient match has one.
 
-    Any match has the first required word. Without one, a match may still lack only
+    Any match has the longest required word. Without one, a match may still lack only
     ``missing`` words, so of any set of words that make up more places than that,
     one occurs; the longest are taken."""
 
@@ -219,8 +219,12 @@ class Template:
         missing = len(self.words) - int(-(-coverage * len(self.words) // 1))
         self.slack = max(3, missing)
         self.required = [p for phrase in license.required for p in self._places(phrase)]
-        named = [p for p in self.required if not self.words[p].startswith("#")]
+        named = sorted((p for p in self.required if not self.words[p].startswith("#")), key=lambda p: -len(self.words[p]))
         self.hints = {self.words[p]: p for p in named[:1]}
+        # of the distinct words a text has to have all but those that a match may lack
+        self.kinds = set(self.words)
+        self.spelled = {w.encode() for w in self.kinds if not w.startswith("#")}
+        self.enough, self.enough_spelled = len(self.kinds) - missing, len(self.spelled) - missing
         places = 0
         for word in sorted(set(self.words), key=lambda w: (-len(w), w)) if not self.hints else ():
             if places > missing:
@@ -236,6 +240,10 @@ class Template:
                 return range(p, p + len(wanted))
         raise ValueError(f"{self.name}: {phrase!r} is not in the text")
 
+    def possible(self, spelled: set[bytes]) -> bool:
+        """Whether a text with these words may have a match at all."""
+        return any(h.encode() in spelled for h in self.hints) and len(self.spelled & spelled) >= self.enough_spelled
+
     def match(self, words: list[str], low: int, high: int) -> tuple[int, int, int] | None:
         """Aligned words, first and last place of the text's part, if they are enough."""
         pairs = align(words[low:high], self.words)
@@ -252,7 +260,10 @@ class Template:
             if word not in self.hints or any(i <= p < j and n == size for n, i, j in found[-2:]):
                 continue
             start = p - self.hints[word]
-            match = self.match(words, max(0, start - self.slack), min(len(words), start + size + self.slack))
+            low, high = max(0, start - self.slack), min(len(words), start + size + self.slack)
+            if len(self.kinds.intersection(words[low:high])) < self.enough:
+                continue
+            match = self.match(words, low, high)
             if match is not None:
                 found.append(match)
         return found
@@ -286,8 +297,8 @@ def best_matches(found: list[Match]) -> list[Match]:
 
 def find_licenses(text: str | None, templates: list[Template]) -> list[tuple[str, float, int, int]]:
     """Matches of all templates, by start: name, coverage, start and end in code points."""
-    quick = set((text or "").lower().encode(errors="replace").translate(_TO_SPACE).split())
-    hinted = [t for t in templates if any(h.encode() in quick for h in t.hints)]
+    spelled = set((text or "").lower().encode(errors="replace").translate(_TO_SPACE).split())
+    hinted = [t for t in templates if t.possible(spelled)]
     if not hinted:
         return []
     words, places = words_with_places(text)
@@ -324,14 +335,12 @@ def scan(
     phrases of its template. Null texts count as empty; repeated rows come back as
     often as they came. Templates without words find nothing. Nothing is shuffled."""
     ready = prepared(templates, coverage)
-    hints = {h.encode() for t in ready for h in t.hints}
 
     def run(batches):
         for batch in in_pieces(batches):
             rows = []
             for text in batch.column(1).to_pylist():
-                quick = (text or "").lower().encode(errors="replace").translate(_TO_SPACE).split()
-                matches = [] if hints.isdisjoint(quick) else find_licenses(text, ready)
+                matches = find_licenses(text, ready)
                 rows.append([{"license": n, "coverage": c, "start": i, "end": j} for n, c, i, j in matches])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, _TYPE)], ["id", "found"])
 
