@@ -28,11 +28,12 @@ def _order_struct(keys) -> Column:
     return F.struct(*[c.alias(f"k{n}") for n, c in enumerate(_columns(keys))])
 
 
-def _refuse_unordered(rows: DataFrame, name: str) -> None:
+def _refuse_unordered(rows: DataFrame, names: list[str]) -> None:
     # NaN is not equal to itself as a number, but Spark orders it last
-    column = F.col(name)
-    odd = column.isNull() | F.isnan(column.cast("double"))
-    if rows.filter(odd).limit(1).count():
+    odd = F.lit(False)
+    for name in names:
+        odd = odd | F.col(name).isNull() | F.isnan(F.col(name).cast("double"))
+    if not rows.filter(odd).isEmpty():
         raise ValueError("keys must not be null or NaN")
 
 
@@ -40,8 +41,8 @@ def last_of_first(df: DataFrame, k: int, *keys, top_rows: int = TOP_ROWS) -> tup
     """Key tuple of the k-th row in ascending order of the numeric ``keys``,
     or of the last row when there are fewer; ``None`` when nothing is taken.
 
-    ``keys`` together must be unique. Null and NaN keys are refused where they
-    would decide; infinite ones are in order like others. Small k is a top-k.
+    ``keys`` together must be unique. Null and NaN keys are refused, whatever k
+    is; infinite ones are in order like others. Small k is a top-k.
     Large k narrows the range by counts between quantiles, two scans with
     map-side aggregates per pass: no row is sorted or moved. Quantiles are taken
     of the values below the largest, so every pass shrinks the range, whatever
@@ -53,10 +54,10 @@ def last_of_first(df: DataFrame, k: int, *keys, top_rows: int = TOP_ROWS) -> tup
         return None
     names = [f"k{n}" for n in range(len(keys))]
     rest = df.select(*[c.alias(n) for n, c in zip(names, _columns(keys))])
+    _refuse_unordered(rest, names)
     found: list = []
     for depth, name in enumerate(names):
         open_names = names[depth:]
-        checked = False
         while True:
             if k <= top_rows:
                 last = (
@@ -66,9 +67,6 @@ def last_of_first(df: DataFrame, k: int, *keys, top_rows: int = TOP_ROWS) -> tup
                     .first()["last"]
                 )
                 return None if last is None else tuple(found) + tuple(last)
-            if not checked:
-                _refuse_unordered(rest, name)
-                checked = True
             low, high, size = rest.agg(F.min(name), F.max(name), F.count("*")).first()
             if not size:
                 return None

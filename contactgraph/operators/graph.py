@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactgraph.functions.joins import hot_join
+from contactgraph.functions.sums import exact_sum
 from contactgraph.operators.sparse import SparseVec, vec_constant_on, vec_outer
 from contactgraph.schema import RECOVERED, Network
 from contactgraph.session import cut_lineage, partition_count
@@ -166,7 +167,8 @@ class _Neighbours:
     which is bounded because the number of hubs is (see HUB_SHARE).
     """
 
-    def __init__(self, links, degrees, n_links: int, partitions: int, hub_links: int, hold):
+    def __init__(self, links, degrees, n_links: int, partitions: int, hub_links: int, hold, exact: bool = False):
+        self.exact = exact
         limit = max(hub_links, int(n_links * HUB_SHARE))
         found = []
         if n_links > limit:
@@ -198,7 +200,10 @@ class _Neighbours:
             terms = terms.unionByName(
                 self.hub_links.join(F.broadcast(at_hubs), "i").select("j", "x")
             )
-        return terms.groupBy(F.col("j").alias("id")).agg(F.sum("x").alias("total"))
+        terms = terms.withColumnRenamed("j", "id")
+        if self.exact:
+            return exact_sum(terms, "id", value="x").withColumnRenamed("x", "total")
+        return terms.groupBy("id").agg(F.sum("x").alias("total"))
 
 
 def _walk_vertices(net: Network, links: DataFrame, alpha: float, scope: str) -> DataFrame:
@@ -223,6 +228,7 @@ def walk_rank(
     cut_every: int = 5,
     hub_links: int = HUB_LINKS,
     links_per_partition: int | None = None,
+    exact: bool = False,
 ) -> DataFrame:
     """``(id, r)`` after ``steps`` steps of the softmax walk from the uniform
     start, over active vertices; r sums to 1.
@@ -233,6 +239,7 @@ def walk_rank(
     has a closed form and only linked vertices are iterated. The links are laid
     out in as many partitions as their number takes at ``links_per_partition``
     (default as for other tables), not fewer than the session's setting.
+    ``exact`` makes all sums the same to the last bit however the rows are spread.
     Computes the walk when called.
     """
     if steps < 0 or cut_every < 1:
@@ -254,6 +261,11 @@ def walk_rank(
             F.coalesce(F.sum("weight"), F.lit(0.0)),
             F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("weight"))), F.lit(0.0)),
         ).first()
+        if exact:
+            sides = exact_sum(vertices.select(F.col("degree").isNull().alias("alone"), "weight"), "alone", value="weight")
+            sums = {r["alone"]: r["weight"] for r in sides.collect()}
+            isolated_weight = sums.get(True, 0.0)
+            weight = sums.get(False, 0.0) + isolated_weight
         linked = vertices.filter(F.col("degree").isNotNull())
         start = 1.0 / n if n else 0.0
         # per unit of weight, what each vertex gets from the isolated ones
@@ -265,7 +277,7 @@ def walk_rank(
         if n > n_isolated and steps:
             degrees = linked.select("id", "degree")
             partitions = partition_count(spark, n_links + n, links_per_partition)
-            near = _Neighbours(links, degrees, n_links, partitions, hub_links, hold)
+            near = _Neighbours(links, degrees, n_links, partitions, hub_links, hold, exact)
             around = near.sums(linked.select("id", F.col("weight").alias("x")))
             base = hold(
                 linked.select("id", "weight")

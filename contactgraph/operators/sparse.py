@@ -3,7 +3,8 @@
 A product is an equi-join on the shared index and a grouped sum, so Spark sums
 each task's share before the shuffle. Adaptive execution splits the partition of
 a hot index (see ``hot_join``). A matrix product, where a hot index multiplies
-rows, is split by counts.
+rows, is split by counts. With ``exact=True`` a sum is the same to the last bit
+however the rows are spread (see ``exact_sum``).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactgraph.functions.joins import hot_join
+from contactgraph.functions.sums import exact_sum
 from contactgraph.session import cut_lineage, spread
 
 # Entries of each side that meet in one cell of an all-with-all grid.
@@ -78,8 +80,10 @@ def validate(x: SparseVec | SparseMat) -> None:
         raise ValueError(f"{bad[1]} indices stored more than once")
 
 
-def coalesce(x: SparseVec | SparseMat) -> SparseVec | SparseMat:
+def coalesce(x: SparseVec | SparseMat, exact: bool = False) -> SparseVec | SparseMat:
     """Sum entries stored under the same index."""
+    if exact:
+        return _with_df(x, exact_sum(x.df, *_keys(x)))
     return _with_df(x, x.df.groupBy(*_keys(x)).agg(F.sum("value").alias("value")))
 
 
@@ -100,8 +104,9 @@ def _same(left, right) -> None:
         raise ValueError(f"size mismatch: {left} and {right}")
 
 
-def _summed(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.sum("value").alias("value")).filter(F.col("value") != 0)
+def _summed(df: DataFrame, *keys: str, exact: bool = False) -> DataFrame:
+    sums = exact_sum(df, *keys) if exact else df.groupBy(*keys).agg(F.sum("value").alias("value"))
+    return sums.filter(F.col("value") != 0)
 
 
 def _piece(key: str, count: Column) -> Column:
@@ -139,13 +144,14 @@ def mat_apply(a: SparseMat, fn: Callable[[Column], Column]) -> SparseMat:
     return _with_df(a, a.df.select("i", "j", fn(F.col("value")).cast("double").alias("value")))
 
 
-def vec_dot(u: SparseVec, v: SparseVec) -> DataFrame:
+def vec_dot(u: SparseVec, v: SparseVec, exact: bool = False) -> DataFrame:
     """One row ``(value)``; 0.0 when no index is stored on both sides."""
     _need(SparseVec, u, v)
     _same(u.size, v.size)
     both = u.df.join(v.df.select("i", F.col("value").alias("other")), "i")
-    total = F.sum(F.col("value") * F.col("other"))
-    return both.agg(F.coalesce(total, F.lit(0.0)).alias("value"))
+    terms = both.select((F.col("value") * F.col("other")).alias("value"))
+    total = exact_sum(terms) if exact else terms.agg(F.sum("value").alias("value"))
+    return total.select(F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def _signed_sum(u: SparseVec, v: SparseVec, right: Column) -> SparseVec:
@@ -208,7 +214,7 @@ def vec_outer(u: SparseVec, v: SparseVec, side: int = _SIDE) -> SparseMat:
     return SparseMat(product.filter(F.col("value") != 0), u.size, v.size)
 
 
-def vec_mat(v: SparseVec, a: SparseMat) -> SparseVec:
+def vec_mat(v: SparseVec, a: SparseMat, exact: bool = False) -> SparseVec:
     """Row vector times matrix, zeros dropped."""
     _need(SparseVec, v)
     _need(SparseMat, a)
@@ -216,7 +222,7 @@ def vec_mat(v: SparseVec, a: SparseMat) -> SparseVec:
     terms = hot_join(a.df, v.df.select("i", F.col("value").alias("other")), "i").select(
         F.col("j").alias("i"), (F.col("value") * F.col("other")).alias("value")
     )
-    return SparseVec(_summed(terms, "i"), a.n_cols)
+    return SparseVec(_summed(terms, "i", exact=exact), a.n_cols)
 
 
 # matrices
@@ -252,7 +258,7 @@ def _hot_indices(a: SparseMat, b: SparseMat, side: int) -> tuple[DataFrame | Non
     return F.broadcast(a.df.sparkSession.createDataFrame(listed, schema)), True
 
 
-def mat_mul(a: SparseMat, b: SparseMat, side: int = _SIDE) -> SparseMat:
+def mat_mul(a: SparseMat, b: SparseMat, side: int = _SIDE, exact: bool = False) -> SparseMat:
     """Matrix product, zeros dropped.
 
     The terms of a shared index are all pairs of its column in ``a`` and its
@@ -284,10 +290,10 @@ def mat_mul(a: SparseMat, b: SparseMat, side: int = _SIDE) -> SparseMat:
     terms = left.join(right, keys).select(
         "i", "j", (F.col("value") * F.col("other")).alias("value")
     )
-    return SparseMat(_summed(terms, "i", "j"), a.n_rows, b.n_cols)
+    return SparseMat(_summed(terms, "i", "j", exact=exact), a.n_rows, b.n_cols)
 
 
-def mat_vec(a: SparseMat, v: SparseVec) -> SparseVec:
+def mat_vec(a: SparseMat, v: SparseVec, exact: bool = False) -> SparseVec:
     """Matrix times column vector, zeros dropped."""
     _need(SparseMat, a)
     _need(SparseVec, v)
@@ -296,7 +302,7 @@ def mat_vec(a: SparseMat, v: SparseVec) -> SparseVec:
     terms = hot_join(a.df, right, "j").select(
         "i", (F.col("value") * F.col("other")).alias("value")
     )
-    return SparseVec(_summed(terms, "i"), a.n_rows)
+    return SparseVec(_summed(terms, "i", exact=exact), a.n_rows)
 
 
 def mat_diag(v: SparseVec) -> SparseMat:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactgraph.functions.ordering import dense_index, sample_k
-from contactgraph.operators import curves, graph, links, sampling, sparse
+from contactgraph.operators import blocks, curves, graph, links, sampling, sparse, stored
 from contactgraph.operators.relabel import prune_edges, rank_order, relabel
 from contactgraph.schema import INFECTED, SUSCEPTIBLE, Network
 from contactgraph.session import cut_lineage, fresh_folder
@@ -34,6 +34,7 @@ GRID_GAMMA = [0.05, 0.1]
 QUOTA_STEP = 5
 ROW_BLOCK = 1000
 GRID_SIDE = 8
+BLOCK_SIDE = 16
 CUSTOMERS_WITH = 0.25
 
 
@@ -243,6 +244,47 @@ def mat_mul(spark, sf_dir, **options):
     return _rounded(sparse.mat_mul(tables.trade(spark, sf_dir), sold, **options).df, 4, "value")
 
 
+def mat_mul_blocks(spark, sf_dir):
+    sold = sparse.mat_transpose(tables.trade(spark, sf_dir, "l_tax"))
+    left, right = (blocks.to_blocks(m, BLOCK_SIDE) for m in (tables.trade(spark, sf_dir), sold))
+    return _rounded(blocks.block_mul(left, right).df, 4, "value")
+
+
+def block_matrix(spark, sf_dir):
+    """The purchases, turned, in blocks and back."""
+    laid = blocks.to_blocks(tables.purchases(spark, sf_dir))
+    return blocks.from_blocks(blocks.block_transpose(laid)).df
+
+
+def vec_dot_exact(spark, sf_dir):
+    return sparse.vec_dot(tables.customer_balance(spark, sf_dir), tables.urgent_orders(spark, sf_dir), exact=True)
+
+
+def vec_mat_exact(spark, sf_dir):
+    return sparse.vec_mat(tables.customer_balance(spark, sf_dir), tables.purchases(spark, sf_dir), exact=True).df
+
+
+def mat_vec_exact(spark, sf_dir):
+    return sparse.mat_vec(tables.purchases(spark, sf_dir), tables.supplier_balance(spark, sf_dir), exact=True).df
+
+
+def _stored_products(spark, sf_dir, key, vector, product):
+    """Two products by one stored matrix: with a vector and with its squares."""
+    matrix = stored.store(tables.purchases(spark, sf_dir), key)
+    v = vector(spark, sf_dir)
+    once, squares = product(matrix, v), product(matrix, sparse.vec_apply(v, lambda x: x * x))
+    both = once.df.join(squares.df.withColumnRenamed("value", "squares"), "i")
+    return _rounded(both, 6, "value", "squares")
+
+
+def mat_vec_stored(spark, sf_dir):
+    return _stored_products(spark, sf_dir, "j", tables.supplier_balance, stored.stored_mat_vec)
+
+
+def vec_mat_stored(spark, sf_dir):
+    return _stored_products(spark, sf_dir, "i", tables.customer_balance, lambda m, v: stored.stored_vec_mat(v, m))
+
+
 def mat_diag(spark, sf_dir):
     return sparse.mat_diag(tables.customer_balance(spark, sf_dir)).df
 
@@ -431,6 +473,13 @@ def queries() -> dict[str, Query]:
         "mat_transpose": mat_transpose,
         "mat_mul": mat_mul,
         "mat_mul_grid": partial(mat_mul, side=GRID_SIDE),
+        "mat_mul_blocks": mat_mul_blocks,
+        "block_matrix": block_matrix,
+        "vec_dot_exact": vec_dot_exact,
+        "vec_mat_exact": vec_mat_exact,
+        "mat_vec_exact": mat_vec_exact,
+        "mat_vec_stored": mat_vec_stored,
+        "vec_mat_stored": vec_mat_stored,
         "mat_diag": mat_diag,
         "mat_apply": mat_apply,
         "mat_scale_cols": mat_scale_cols,

@@ -540,7 +540,24 @@ def oracle_sql() -> dict[str, str]:
         " group by m.i having sum(m.value * sx.value) <> 0",
     )
     out["mat_transpose"] = _with(_MATRICES, "select j i, i j, value from m")
-    out["mat_mul"] = out["mat_mul_grid"] = _with(
+    urgent = "select o_custkey i, count(*) value from orders where o_orderpriority = '1-URGENT' group by 1"
+    # whole numbers of 2**-72, which all these products are; the text of a whole number is read as the nearest double
+    exact = "cast(cast(sum(cast(m.value * x.value * pow(2.0, 72) as hugeint)) as varchar) as double) / pow(2.0, 72)"
+    out["vec_dot_exact"] = _with([("x", _CUST_X), ("m", urgent)], f"select {exact} value from x join m using (i)")
+    for name, own, other, vector in (("mat_vec_exact", "i", "j", "sx"), ("vec_mat_exact", "j", "i", "cx")):
+        out[name] = _with(
+            _MATRICES,
+            f"select m.{own} i, {exact} value from m join {vector} x on x.i = m.{other} group by 1 having {exact} <> 0",
+        )
+    for name, own, other, vector in (("mat_vec_stored", "i", "j", "sx"), ("vec_mat_stored", "j", "i", "cx")):
+        out[name] = _with(
+            _MATRICES,
+            f"select m.{own} i, round(sum(m.value * x.value), 6) value, round(sum(m.value * (x.value * x.value)), 6) squares"
+            f" from m join {vector} x on x.i = m.{other} group by 1"
+            " having sum(m.value * x.value) <> 0 and sum(m.value * (x.value * x.value)) <> 0",
+        )
+    out["block_matrix"] = out["mat_transpose"]
+    out["mat_mul"] = out["mat_mul_grid"] = out["mat_mul_blocks"] = _with(
         [("a", _trade("l_quantity")), ("b", _trade("l_tax"))],
         "select a.i, b.i j, round(sum(a.value * b.value), 4) value from a join b on a.j = b.j"
         " group by a.i, b.i having sum(a.value * b.value) <> 0",
