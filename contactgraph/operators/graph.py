@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactgraph.functions.components import connected_components
 from contactgraph.functions.joins import hot_join
 from contactgraph.functions.sums import exact_sum
 from contactgraph.operators.sparse import SparseVec, vec_constant_on, vec_outer
@@ -307,16 +308,67 @@ def walk_rank(
             df.unpersist()
 
 
+def walk_limit(net: Network, alpha: float = -2.0, scope: str = "both") -> DataFrame:
+    """``(id, r)`` that :func:`walk_rank` comes to after ever more steps, without
+    taking them.
+
+    A step from i to j is as likely, weighed by weight times neighbourhood weight,
+    as one from j to i, so within a connected component the limit is in proportion
+    to that product; loops see to it that there is one. A component holds the share
+    of walkers that started in it, and by weight of those that started isolated,
+    who all leave in the end unless everyone is isolated. So it takes the
+    components, whose rounds grow with the logarithm of the largest, and a few
+    sums, where steps grow with how slowly the walk mixes. Runs jobs.
+    """
+    edges = cut_lineage(_weighted_edges(net, scope))
+    links = both_directions(edges)
+    vertices = cut_lineage(_walk_vertices(net, links, alpha, scope))
+    n, n_isolated, weight, isolated_weight = vertices.agg(
+        F.count("*"),
+        F.count_if(F.col("degree").isNull()),
+        F.coalesce(F.sum("weight"), F.lit(0.0)),
+        F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("weight"))), F.lit(0.0)),
+    ).first()
+    alone = vertices.filter(F.col("degree").isNull())
+    if n == n_isolated:
+        return alone.select("id", (F.col("weight") / F.lit(weight or 1.0)).alias("r"))
+    linked = vertices.filter(F.col("degree").isNotNull()).select("id", "weight")
+    by_target = hot_join(links, linked.select(F.col("id").alias("j"), "weight"), "j")
+    around = by_target.groupBy(F.col("i").alias("id")).agg(F.sum("weight").alias("around"))
+    named = connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    placed = cut_lineage(
+        linked.join(around, "id", "left")
+        .join(named.withColumnRenamed("node", "id"), "id", "left")
+        .select(
+            "id",
+            "weight",
+            (F.col("weight") * (F.coalesce("around", F.lit(0.0)) + F.col("weight"))).alias("pull"),
+            F.coalesce("component", "id").alias("component"),
+        )
+    )
+    start = 1.0 / n
+    from_isolated = n_isolated * start / (weight - isolated_weight)
+    held = placed.groupBy("component").agg(
+        F.sum("pull").alias("pulls"), (F.count("*") * F.lit(start) + F.sum("weight") * F.lit(from_isolated)).alias("held")
+    )
+    rank = hot_join(placed, held, "component").select("id", (F.col("held") * F.col("pull") / F.col("pulls")).alias("r"))
+    return rank.unionByName(alone.select("id", F.lit(0.0).alias("r")))
+
+
 def rescore(
     net: Network,
     alpha: float = -2.0,
-    steps: int = 10,
+    steps: int | None = 10,
     scope: str = "both",
     cut_every: int = 5,
     hub_links: int = HUB_LINKS,
 ) -> DataFrame:
-    """``(id, score)`` with ``score + (1 - score)·r`` for active vertices."""
-    rank = walk_rank(net, alpha, steps, scope, cut_every, hub_links)
+    """``(id, score)`` with ``score + (1 - score)·r`` for active vertices, r being
+    that after ``steps`` steps, or with None that of :func:`walk_limit`."""
+    if steps is None:
+        rank = walk_limit(net, alpha, scope)
+    else:
+        rank = walk_rank(net, alpha, steps, scope, cut_every, hub_links)
     return (
         active_vertices(net.vertices)
         .join(rank, "id")

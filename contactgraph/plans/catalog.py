@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactgraph.functions.ordering import dense_index, sample_k
-from contactgraph.operators import blocks, curves, graph, links, sampling, sparse, stored
+from contactgraph.operators import blocks, curves, graph, incremental, links, sampling, sparse, stored
 from contactgraph.operators.relabel import prune_edges, rank_order, relabel
-from contactgraph.schema import INFECTED, SUSCEPTIBLE, Network
+from contactgraph.schema import INFECTED, RECOVERED, SUSCEPTIBLE, Network
 from contactgraph.session import cut_lineage, fresh_folder
 from contactgraph.sources import snapshots, tables
 
@@ -24,8 +24,8 @@ INFECTED_IN, RECOVERED_IN = 75, 150
 ILL_LABELS_IN, RECOVERED_LABELS_IN = 5, 8
 PAIRS_IN = SAMPLE_IN = 15
 # Above this many rows the selections count instead of sorting; low, so that
-# the counting is what the queries run.
-TOP_ROWS = 8
+# the counting is what the queries named so run.
+COUNTED_ROWS = 8
 TOP = 20
 # SPARSE_SDF times the number of vertices, so that links grow with vertices
 SPARSE_ALPHA, SPARSE_BETA, SPARSE_SDF = 2.0, 5.0, 10
@@ -35,6 +35,7 @@ QUOTA_STEP = 5
 ROW_BLOCK = 1000
 GRID_SIDE = 8
 BLOCK_SIDE = 16
+CHANGED_IN = 50
 CUSTOMERS_WITH = 0.25
 
 
@@ -95,9 +96,30 @@ def walk_rank(spark, sf_dir, steps, scope, source):
     return _rounded(graph.walk_rank(source(spark, sf_dir), ALPHA, steps, scope), 9, "r")
 
 
-def rescore(spark, sf_dir, steps):
+def rescore(spark, sf_dir, steps, scope="both"):
     net = tables.customer_network(spark, sf_dir)
-    return _rounded(graph.rescore(net, ALPHA, steps), 9, "score")
+    return _rounded(graph.rescore(net, ALPHA, steps, scope), 9, "score")
+
+
+def walk_limit(spark, sf_dir, source):
+    return _rounded(graph.walk_limit(source(spark, sf_dir), ALPHA), 9, "r")
+
+
+def walk_updated(spark, sf_dir):
+    """Three steps on the customers' network, kept, and then brought up to date after
+    some customers recover or change their score, and edges come and go."""
+    net = tables.customer_network(spark, sf_dir)
+    state = incremental.walk_state(net, ALPHA, steps=3)
+    place = F.col("id") % CHANGED_IN
+    upserts = net.vertices.filter(place <= 1).select(
+        "id",
+        F.when(place == 0, 0.0).otherwise(1 - F.col("score") / 2).alias("score"),
+        F.when(place == 0, RECOVERED).otherwise(F.col("health_status")).alias("health_status"),
+    )
+    removed = net.edges.filter((F.col("src") + F.col("dst")) % CHANGED_IN == 2)
+    pairs = net.vertices.filter(place == 3).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    added = pairs.join(net.vertices.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return _rounded(incremental.update_walk(state, upserts, added, removed).rank(), 9, "r")
 
 
 def pagerank_equal_scores(spark, sf_dir):
@@ -127,7 +149,7 @@ def _customer_relabel(spark, sf_dir) -> Network:
     # read by the walk, by the selection and by the removal of edges
     net = Network(net.vertices, cut_lineage(net.edges))
     scores = graph.rescore(net, ALPHA, 3)
-    return relabel(net, scores, *_quota(net.vertices.count()), SEED, TOP_ROWS)
+    return relabel(net, scores, *_quota(net.vertices.count()), SEED)
 
 
 def relabel_vertices(spark, sf_dir):
@@ -147,15 +169,15 @@ def pruned_edges(spark, sf_dir):
 # sampling
 
 
-def label_sample(spark, sf_dir):
+def label_sample(spark, sf_dir, **options):
     ids = tables.customer_vertices(spark, sf_dir).select("id")
     n = ids.count()
-    return sampling.label_sample(ids, n // ILL_LABELS_IN, n // RECOVERED_LABELS_IN, SEED, TOP_ROWS)
+    return sampling.label_sample(ids, n // ILL_LABELS_IN, n // RECOVERED_LABELS_IN, SEED, **options)
 
 
-def sample_customers(spark, sf_dir):
+def sample_customers(spark, sf_dir, **options):
     customers = tables.customer_vertices(spark, sf_dir)
-    return sample_k(customers, customers.count() // SAMPLE_IN, SEED, top_rows=TOP_ROWS).select("id")
+    return sample_k(customers, customers.count() // SAMPLE_IN, SEED, **options).select("id")
 
 
 def disjoint_pairs(spark, sf_dir):
@@ -385,14 +407,9 @@ def snapshot_edges_csv(spark, sf_dir):
 
 
 def observed_curve(spark, sf_dir):
+    """A snapshot for every month of orders, written at once and read back."""
     base = fresh_folder(spark, "history")
-    net = tables.customer_network(spark, sf_dir)
-    snapshots.write_snapshot(net, base, 0)
-    quota = _quota(net.vertices.count())
-    for step in (1, 2):
-        net = snapshots.read_snapshot(spark, base, step - 1)
-        net = relabel(net, net.vertices.select("id", "score"), *quota, SEED + step, TOP_ROWS)
-        snapshots.write_snapshot(net, base, step, input_step=step - 1)
+    snapshots.write_history(tables.monthly_vertices(spark, sf_dir), tables.monthly_edges(spark, sf_dir), base)
     return curves.observed_curve(snapshots.read_history(spark, base)[0])
 
 
@@ -448,13 +465,20 @@ def queries() -> dict[str, Query]:
         "walk_rank_suppliers": partial(
             walk_rank, steps=3, scope="both", source=tables.supplier_network
         ),
+        "walk_rank_users": partial(walk_rank, steps=3, scope="both", source=tables.user_network),
+        "walk_limit": partial(walk_limit, source=tables.customer_network),
+        "walk_limit_suppliers": partial(walk_limit, source=tables.supplier_network),
+        "walk_updated": walk_updated,
         "rescore_3": partial(rescore, steps=3),
+        "rescore_either": partial(rescore, steps=3, scope="either"),
         "pagerank_equal_scores": pagerank_equal_scores,
         "relabel_topk": relabel_vertices,
         "relabel_edges": relabel_edges,
         "prune_edges": pruned_edges,
         "label_sample": label_sample,
+        "label_sample_counted": partial(label_sample, top_rows=COUNTED_ROWS),
         "sample_k": sample_customers,
+        "sample_k_counted": partial(sample_customers, top_rows=COUNTED_ROWS),
         "disjoint_pairs": disjoint_pairs,
         "dense_index": order_index,
         "initial_vertices": initial_vertices,

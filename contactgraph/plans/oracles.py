@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from contactgraph.plans.catalog import (
     ALPHA,
+    CHANGED_IN,
     CUSTOMERS_WITH,
     GRID_BETA,
     GRID_GAMMA,
@@ -153,6 +154,39 @@ def _walk(steps: int) -> Ctes:
     return ctes
 
 
+# the limit of the walk: within a component in proportion to weight times neighbourhood weight
+_LIMIT: Ctes = [
+    ("w", f"select id, exp(({ALPHA}) * score) w from act"),
+    ("reach", "select i, j from adj union select r.i, a.j from reach r join adj a on a.i = r.j"),
+    ("comp", "select i id, min(j) c from reach group by i"),
+    ("pull", "select adj.i id, any_value(x.w) w, any_value(x.w) * sum(y.w) pull from adj join w x on x.id = adj.i"
+     " join w y on y.id = adj.j group by adj.i"),
+    ("gone", "select count(*) / cast((select count(*) from act) as double) share from iso"),
+    ("held", "select c, sum(pull) pulls, count(*) / cast((select count(*) from act) as double)"
+     " + sum(w) / (select sum(w) from pull) * (select share from gone) held from comp join pull using (id) group by c"),
+]
+_LIMIT_RANK = (
+    "select id, round(held * pull / pulls, 9) r from comp join pull using (id) join held using (c)"
+    " union all select id, cast(0 as double) from iso"
+)
+
+# the customers' network after the changes of walk_updated
+_CHANGED: Ctes = [
+    ("v0", _CUSTOMER_V),
+    ("e0", _CUSTOMER_E),
+    (
+        "v",
+        f"select id, case when id % {CHANGED_IN} = 0 then cast(0 as double) when id % {CHANGED_IN} = 1 then 1 - score / 2"
+        f" else score end score, cast(case when id % {CHANGED_IN} = 0 then -1 else health_status end as integer) health_status from v0",
+    ),
+    (
+        "e",
+        f"select src, dst from e0 where (src + dst) % {CHANGED_IN} <> 2"
+        f" union select a.id, b.id from v0 a join v0 b on b.id = a.id + 1 where a.id % {CHANGED_IN} = 3",
+    ),
+]
+
+
 def _scores(net: Ctes, steps: int, scope: str = "both") -> Ctes:
     return [
         *net,
@@ -439,8 +473,13 @@ def oracle_sql() -> dict[str, str]:
         ("walk_rank_10", CUSTOMERS, 10, "both"),
         ("walk_rank_either", CUSTOMERS, 3, "either"),
         ("walk_rank_suppliers", SUPPLIERS, 3, "both"),
+        ("walk_rank_users", USERS, 3, "both"),
     ):
         out[name] = _with(_scores(net, steps, scope), f"select id, round(r, 9) r from r{steps}")
+    for name, net in (("walk_limit", CUSTOMERS), ("walk_limit_suppliers", SUPPLIERS)):
+        out[name] = _with([*net, *_ACTIVE, *_isolated("both"), *_LINKS, *_LIMIT], _LIMIT_RANK, recursive=True)
+    out["walk_updated"] = _with(_scores(_CHANGED, 3), "select id, round(r, 9) r from r3")
+    out["rescore_either"] = _with(_scores(CUSTOMERS, 3, "either"), "select id, round(score, 9) score from scores")
     out["rescore_3"] = _with(scores, "select id, round(score, 9) score from scores")
     out["pagerank_equal_scores"] = _with(equal, "select id, round(r, 9) r from r5")
 
@@ -462,8 +501,8 @@ def oracle_sql() -> dict[str, str]:
         f" cast(case when n <= {ill} then 1 when n <= {both} then -1 else 0 end as integer)"
         f" health_status from ranked",
     )
-    out["label_sample"] = out["initial_vertices"] = labels
-    out["sample_k"] = _with(
+    out["label_sample"] = out["label_sample_counted"] = out["initial_vertices"] = labels
+    out["sample_k"] = out["sample_k_counted"] = _with(
         [("v", _CUSTOMER_V), ("s", _first_in_hash_order("v", _part(SAMPLE_IN)))], "select id from s"
     )
     out["disjoint_pairs"] = out["initial_edges"] = _with(
@@ -614,25 +653,17 @@ def oracle_sql() -> dict[str, str]:
 
     out["snapshot_vertices"] = _with(CUSTOMERS, "select id, score, health_status from v")
     out["snapshot_edges_csv"] = _with(CUSTOMERS, "select src, dst from e")
-    history = [("v", _CUSTOMER_V), ("v0", "select * from v")]
-    quota = _part(INFECTED_IN), _part(RECOVERED_IN)
-    for step in (1, 2):
-        before = f"v{step - 1}"
-        history += [
-            (f"s{step}", f"select id, score from {before}"),
-            *_relabel(
-                before, f"s{step}", *quota, SEED + step, f"v{step}"
-            ),
-        ]
-    counted = ", ".join(
-        f"count(*) filter (health_status = {code}) n_{c}"
-        for c, code in (("s", 0), ("i", 1), ("r", -1))
-    )
     out["observed_curve"] = _with(
-        history,
-        " union all ".join(
-            f"select cast({k} as integer) step, {counted} from v{k}" for k in range(3)
-        ),
+        [
+            (
+                "held",
+                "select cast(date_diff('month', (select min(o_orderdate) from orders), o_orderdate) as integer) step,"
+                " o_custkey, count(*) n, count(*) filter (o_orderpriority = '1-URGENT') urgent,"
+                " count(*) filter (o_orderstatus = 'F') filled from orders group by 1, 2",
+            )
+        ],
+        "select step, count(*) filter (urgent = 0 and filled < n) n_s, count(*) filter (urgent > 0) n_i,"
+        " count(*) filter (urgent = 0 and filled = n) n_r from held group by step",
     )
     out["foreign_csv_vertices"], out["foreign_csv_edges"] = (
         out["snapshot_vertices"],

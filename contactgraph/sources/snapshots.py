@@ -50,6 +50,30 @@ def write_snapshot(
     _mark(spark, base, step, True)
 
 
+def write_history(vertices: DataFrame, edges: DataFrame, base: str, fmt: str = "parquet") -> None:
+    """Write the snapshots of many steps in one go, replacing those steps.
+
+    Both tables have a column ``step`` beside those of a network, and neither may
+    come from the steps that are replaced. Marks are taken away first and written
+    last, as for one snapshot; a step without vertices is none.
+    """
+    _check(fmt)
+    steps = vertices.select(F.col("step").cast("int").alias("step")).distinct()
+
+    def marked(complete: bool) -> None:
+        rows = steps.select(F.lit(complete).alias("complete"), "step").coalesce(1)
+        rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("step").parquet(table_path(base, "marks"))
+
+    marked(False)
+    for table, df, schema in (("vertices", vertices, VERTICES), ("edges", edges, EDGES)):
+        order = ["step", *(["id"] if table == "vertices" else ["src", "dst"])]
+        # a long step is several ranges, and a range few steps, so files are neither many nor long
+        laid = df.select(*schema.names, "step").repartitionByRange(*order).sortWithinPartitions(*order)
+        writer = laid.write.option("partitionOverwriteMode", "dynamic").mode("overwrite")
+        writer.partitionBy("step").format(fmt).save(table_path(base, table))
+    marked(True)
+
+
 def _mark(spark: SparkSession, base: str, step: int, complete: bool) -> None:
     row = spark.range(1).select(F.lit(complete).alias("complete"))
     row.write.mode("overwrite").parquet(table_path(base, "marks", step))

@@ -3,7 +3,7 @@ event tables. Every function reads its tables whole."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contactgraph.functions.ordering import with_next
@@ -71,6 +71,41 @@ def customer_network(spark: SparkSession, sf_dir: str) -> Network:
     return Network(customer_vertices(spark, sf_dir), customer_contacts(spark, sf_dir))
 
 
+def _month(first_day) -> Column:
+    first = 12 * first_day.year + first_day.month if first_day else 0
+    return (12 * F.year("o_orderdate") + F.month("o_orderdate") - first).cast("int")
+
+
+def _dated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with ``step``, the months since the first."""
+    orders = load(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    return orders.withColumn("step", _month(orders.agg(F.min("o_orderdate")).first()[0]))
+
+
+def monthly_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, score, health_status, step)``: the customers that ordered in a month;
+    infected with an urgent order in it, else recovered when all orders are filled."""
+    held = _dated_orders(spark, sf_dir).groupBy(F.col("o_custkey").alias("id"), "step").agg(
+        F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
+        F.count_if(F.col("o_orderstatus") == "F").alias("filled"),
+        F.count("*").alias("orders"),
+    )
+    ill, done = F.col("urgent") > 0, F.col("filled") == F.col("orders")
+    return held.select(
+        "id",
+        F.when(ill, 1.0).when(done, 0.0).otherwise(F.col("filled") / F.col("orders")).alias("score"),
+        F.when(ill, INFECTED).when(done, RECOVERED).otherwise(SUSCEPTIBLE).alias("health_status"),
+        "step",
+    )
+
+
+def monthly_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(src, dst, step)``: customers next to each other by number among those of a month."""
+    held = _dated_orders(spark, sf_dir).select(F.col("o_custkey").alias("src"), "step").distinct()
+    pairs = with_next(held, ["step", "src"], ["step", "src"]).filter("step = next_step")
+    return pairs.select("src", F.col("next_src").alias("dst"), "step")
+
+
 def supplier_network(spark: SparkSession, sf_dir: str) -> Network:
     """Suppliers, all susceptible; neighbours by balance within a nation when
     the balances differ by less than 500."""

@@ -1,5 +1,6 @@
 import pytest
 from networks import make, random_network
+from pyspark.sql import functions as F
 
 from contactgraph.operators import curves
 from contactgraph.schema import EDGES, QUOTAS, VERTICES, check_network
@@ -69,3 +70,21 @@ def test_half_written_steps_are_not_read(spark, monkeypatch):
     assert {r["step"] for r in snapshots.read_history(spark, base)[0].select("step").collect()} == {0}
     snapshots.write_snapshot(net, base, 1)
     assert content(snapshots.read_snapshot(spark, base, 1)) == content(net)
+
+
+def test_history_written_at_once(spark, tmp_path):
+    base = str(tmp_path)
+    vertices, edges = random_network(3)
+    net = make(spark, vertices, edges)
+    snapshots.write_snapshot(net, base, 7)
+    v = net.vertices.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).filter("step < 2 or id % 2 = 0")
+    e = net.edges.withColumn("step", F.lit(1))
+    for _ in range(2):  # again, in place of what was there
+        snapshots.write_history(v, e, base)
+        assert snapshots.complete_steps(spark, base) == [0, 1, 2, 7]
+        held, links = snapshots.read_history(spark, base)
+        counts = {r["step"]: r["count"] for r in held.groupBy("step").count().collect()}
+        n = len(vertices)
+        assert counts == {0: n, 1: n, 2: sum(i % 2 == 0 for i, *_ in vertices), 7: n}
+        assert links.filter("step = 1").count() == net.edges.count() and links.filter("step = 0").count() == 0
+    assert snapshots.read_snapshot(spark, base, 1).edges.count() == net.edges.count()
