@@ -22,9 +22,9 @@ LIMIT = 4_096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Words at which the younger of the two halves of a worker's memory is full.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: Documents encoded together.
-TOGETHER = 512
+TOGETHER = 1_024
 
 _encoders: dict = {}
 
