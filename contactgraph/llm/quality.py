@@ -149,12 +149,13 @@ def fit(
     parts = [usable.filter(F.col("label") == y).orderBy(*by_hash).limit(sample) for y in (0, 1)]
     # bounded by twice the sample
     chosen = F.broadcast(parts[0].union(parts[1]))
-    # an id that many rows share has one text in the sample, and the bound holds
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
-    one = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
-    rows, columns = statistics(one)
+    rows, columns = statistics(texts)
     names = list(columns)
-    rows = rows.select("label", *[F.col(columns[n]).alias(n) for n in names])
+    # an id that many rows share has one text in the sample, and the bound holds; no text is shuffled
+    measured = F.struct(F.xxhash64("text").alias("hash"), *[F.col(columns[n]).alias(n) for n in names])
+    one = rows.select("doc_id", "label", measured.alias("least")).groupBy("doc_id", "label").agg(F.min("least").alias("least"))
+    rows = one.select("label", *[F.col("least")[n].alias(n) for n in names])
     rows = cut_lineage(rows.repartition(8, *names).sortWithinPartitions("label", *names))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     ones, zeros = weights[1] * counts.get(1.0, 0), weights[0] * counts.get(0.0, 0)
