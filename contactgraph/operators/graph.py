@@ -201,10 +201,9 @@ class _Neighbours:
             terms = terms.unionByName(
                 self.hub_links.join(F.broadcast(at_hubs), "i").select("j", "x")
             )
-        terms = terms.withColumnRenamed("j", "id")
         if self.exact:
-            return exact_sum(terms, "id", value="x").withColumnRenamed("x", "total")
-        return terms.groupBy("id").agg(F.sum("x").alias("total"))
+            return exact_sum(terms, "j", value="x").select(F.col("j").alias("id"), F.col("x").alias("total"))
+        return terms.groupBy(F.col("j").alias("id")).agg(F.sum("x").alias("total"))
 
 
 def _walk_vertices(net: Network, links: DataFrame, alpha: float, scope: str) -> DataFrame:

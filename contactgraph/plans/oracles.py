@@ -167,7 +167,9 @@ _LIMIT: Ctes = [
 ]
 _LIMIT_RANK = (
     "select id, round(held * pull / pulls, 9) r from comp join pull using (id) join held using (c)"
-    " union all select id, cast(0 as double) from iso"
+    # those who start isolated leave in the end, unless everyone is isolated
+    " union all select id, case when exists (from comp) then 0 else round(w / (select sum(w) from w), 9) end"
+    " from iso join w using (id)"
 )
 
 # the customers' network after the changes of walk_updated
