@@ -1,5 +1,5 @@
 """Global order without a single-partition sort: exact k-th row, first k rows,
-random k rows, dense row numbers, the next row."""
+random k rows, dense row numbers, sums of the rows before, the next row."""
 
 from __future__ import annotations
 
@@ -143,6 +143,43 @@ def dense_index(df: DataFrame, *keys, name: str = "idx") -> DataFrame:
     )
 
 
+def sum_before(df: DataFrame, keys: list[str], value: str, name: str = "before") -> DataFrame:
+    """Add the sum of the whole-number column ``value`` over all rows before, in
+    the order of unique ``keys``; null counts as 0.
+
+    Rows are range-partitioned and sorted once and summed within their partition
+    as they pass; one total per partition is added up on the driver. Sums must fit
+    a long. Runs a job.
+    """
+    order = _columns(keys)
+    ranged = df.withColumn("_value", F.coalesce(F.col(value).cast("long"), F.lit(0)))
+    ranged = ranged.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def summed(batches):
+        block, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ends = np.cumsum(batch.column("_value").to_numpy()) + before
+            starts = ends - batch.column("_value").to_numpy()
+            before = int(ends[-1]) if batch.num_rows else before
+            blocks = pa.array(np.full(batch.num_rows, block, np.int32))
+            columns = [*batch.columns, pa.array(starts, pa.int64()), blocks]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_before", "_block"])
+
+    schema = T.StructType(
+        [T.StructField(f.name, f.dataType) for f in ranged.schema]
+        + [T.StructField("_before", T.LongType()), T.StructField("_block", T.IntegerType())]
+    )
+    placed = cut_lineage(ranged.mapInArrow(summed, schema))
+    totals, before = [], 0
+    # one row per partition
+    for row in sorted(placed.groupBy("_block").agg(F.sum("_value").alias("n")).collect()):
+        totals.append((row["_block"], before))
+        before += row["n"]
+    offsets = df.sparkSession.createDataFrame(totals, "_block int, _offset long")
+    joined = placed.join(F.broadcast(offsets), "_block")
+    return joined.select(*df.columns, (F.col("_before") + F.col("_offset")).alias(name))
+
+
 def with_next(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Each row but the last with the next row's ``cols`` as ``next_<col>``, in
     the order of unique ``keys``.

@@ -7,16 +7,19 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactgraph.functions.hashing import uniform_text
+from contactgraph.functions.draws import beta_draw
+from contactgraph.functions.hashing import portable_uniform, uniform_text
 from contactgraph.functions.joins import hot_join
-from contactgraph.functions.ordering import dense_index, with_next
+from contactgraph.functions.ordering import dense_index, first_k, sum_before, with_next
 from contactgraph.schema import EDGES, Network, conform
-from contactgraph.session import cut_lineage, spread
+from contactgraph.session import cut_lineage, partition_count, spread
 
 _PIECE = 1_024  # numbers per array
 # Ranges are not longer than 2**40; at lower rates there are more ranges than
 # links, which changes the work and not the law.
 _MAX_LEVELS = 40
+_UNIFORM_BITS = 52  # of one uniform; longer numbers are drawn in two parts
+_LOW_BITS = 20
 
 
 def _eligible_ids(net: Network, eligible: Column | None) -> DataFrame:
@@ -144,3 +147,84 @@ def propose_links(
     drawn = _sampled_ranks(spread(ids, "id", rows=int(rate * n * (n - 1) / 2)), n, rate, seed)
     pairs = drawn.join(ids.select(F.col("id").alias("dst"), F.col("idx").alias("t")), "t")
     return conform(pairs, EDGES).join(net.edges, ["src", "dst"], "left_anti")
+
+
+def link_chances(links: DataFrame, alpha: float, beta: float, sdf: float, seed) -> DataFrame:
+    """Add ``chance``: the Beta(alpha, beta + sdf) chance that each drawn link had.
+
+    Given that a pair became a link, its chance is Beta(alpha + 1, beta + sdf), so
+    links of :func:`propose_links` with these chances have the law of drawing a
+    chance for every pair and then the link, without a row for the other pairs.
+    """
+    link_rate(alpha, beta, sdf)
+    return links.withColumn("chance", beta_draw(alpha + 1, beta + sdf, seed, "src", "dst"))
+
+
+def _numbers_below(total: int, seed, key: str) -> Column:
+    """Whole numbers drawn for each ``key``; some may be ``total`` or more, where
+    the caller drops the draw."""
+    low = 1 if total <= 2**_UNIFORM_BITS else 2**_LOW_BITS
+    high = F.floor(portable_uniform(seed, F.lit("high"), key) * F.lit(float(-(-total // low)))).cast("long")
+    if low == 1:
+        return high
+    return high * low + F.floor(portable_uniform(seed, F.lit("low"), key) * F.lit(float(low))).cast("long")
+
+
+def _distinct_numbers(spark, k: int, total: int, seed) -> DataFrame:
+    """``(pos)``: k different numbers below ``total``, every set of k equally
+    likely: the first k different ones of a sequence of draws. Meant for k of at
+    most half of ``total``, where k numbers take less than 1.4 k draws."""
+    expected = -total * math.log1p(-k / total)
+    draws = math.ceil(expected + 6 * math.sqrt(expected)) + 16
+    while True:
+        drawn = spark.range(0, draws, 1, partition_count(spark, draws))
+        drawn = drawn.select("id", _numbers_below(total, seed, "id").alias("pos")).filter(F.col("pos") < total)
+        firsts = cut_lineage(drawn.groupBy("pos").agg(F.min("id").alias("draw")))
+        if firsts.count() >= k:
+            return first_k(firsts, k, "draw").select("pos")
+        draws *= 2  # the draws so far stay the first ones
+
+
+def draw_links(net: Network, m: int, seed, eligible: Column | None = None) -> DataFrame:
+    """Exactly ``m`` new edges (all missing pairs, if fewer), every set of m
+    missing pairs of (eligible) vertices equally likely.
+
+    Missing pairs are numbered through by the lengths of :func:`missing_ranges`;
+    m different numbers are drawn and looked up. Numbers are cut into as many
+    equal blocks as there are ranges or draws, ranges are listed under the blocks
+    they touch, and both meet by block, so work follows vertices, edges and m. For
+    more than half of all pairs those to leave out are drawn instead and the others
+    spelled out, fewer than 2 m rows. Runs jobs.
+    """
+    if m < 0:
+        raise ValueError(f"m must not be negative, got {m}")
+    spark = net.vertices.sparkSession
+    ranges, ids = missing_ranges(net, eligible)
+    sized = ranges.withColumn("len", F.col("last") - F.col("first") + 1)
+    placed = sum_before(sized, ["src", "first"], "len", "start")
+    count, total = placed.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+    m = min(m, total)
+    if m == 0:
+        return net.edges.limit(0)
+    if 2 * m <= total:
+        numbers = _distinct_numbers(spark, m, total, seed)
+        width = -(-total // max(count, m))
+        touched = F.sequence(F.expr(f"start div {width}L"), F.expr(f"(start + len - 1) div {width}L"))
+        listed = placed.select("src", "first", "start", "len", F.explode(touched).alias("block"))
+        inside = (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + F.col("len"))
+        found = numbers.withColumn("block", F.expr(f"pos div {width}L")).join(listed, "block").filter(inside)
+    else:
+        pieces = placed.select(
+            "src",
+            "first",
+            "start",
+            F.expr("start + len - 1").alias("end"),
+            F.explode(F.expr(f"sequence(start, start + len - 1, {_PIECE}L)")).alias("lo"),
+        )
+        spelled = F.sequence("lo", F.least("end", F.col("lo") + (_PIECE - 1)))
+        found = spread(pieces, "src", "lo", rows=total).select("src", "first", "start", F.explode(spelled).alias("pos"))
+        if m < total:
+            left_out = _distinct_numbers(spark, total - m, total, seed)
+            found = found.join(left_out, "pos", "left_anti")
+    ranks = found.select("src", (F.col("first") + F.col("pos") - F.col("start")).alias("idx"))
+    return conform(ranks.join(ids.withColumnRenamed("id", "dst"), "idx"), EDGES)
