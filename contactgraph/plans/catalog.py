@@ -13,7 +13,7 @@ from contactgraph.operators import blocks, curves, graph, incremental, links, sa
 from contactgraph.operators.relabel import prune_edges, rank_order, relabel
 from contactgraph.schema import INFECTED, RECOVERED, SUSCEPTIBLE, Network
 from contactgraph.session import cut_lineage, fresh_folder
-from contactgraph.sources import snapshots, tables
+from contactgraph.sources import deltas, snapshots, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,7 @@ ROW_BLOCK = 1000
 GRID_SIDE = 8
 BLOCK_SIDE = 16
 CHANGED_IN = 50
+LINKS_IN = 5
 CUSTOMERS_WITH = 0.25
 
 
@@ -216,6 +217,19 @@ def propose_links_skip(spark, sf_dir):
     return links.propose_links(net, SPARSE_ALPHA, SPARSE_BETA, sdf, SEED)
 
 
+def propose_links_chance(spark, sf_dir):
+    """The links of ``propose_links_skip`` with the chance that each had."""
+    sdf = float(SPARSE_SDF * tables.customer_vertices(spark, sf_dir).count())
+    drawn = propose_links_skip(spark, sf_dir)
+    return _rounded(links.link_chances(drawn, SPARSE_ALPHA, SPARSE_BETA, sdf, SEED), 9, "chance")
+
+
+def draw_links(spark, sf_dir):
+    """One new link for every so many customers, no more and no fewer."""
+    net = tables.customer_network(spark, sf_dir)
+    return links.draw_links(net, net.vertices.count() // LINKS_IN, SEED)
+
+
 # sparse algebra
 
 
@@ -413,6 +427,41 @@ def observed_curve(spark, sf_dir):
     return curves.observed_curve(snapshots.read_history(spark, base)[0])
 
 
+def _kept_steps(spark, sf_dir) -> str:
+    """Three steps of the customers' network, the first whole: some recover, change
+    their score, lose and get edges; then some leave."""
+    base = fresh_folder(spark, "deltas")
+    net = tables.customer_network(spark, sf_dir)
+    deltas.write_step(net, base, 0)
+    place = F.col("id") % CHANGED_IN
+    vertices = net.vertices.withColumns(
+        {
+            "score": F.when(place == 0, 0.0).when(place == 1, 1 - F.col("score") / 2).otherwise(F.col("score")),
+            "health_status": F.when(place == 0, RECOVERED).otherwise(F.col("health_status")),
+        }
+    )
+    pairs = net.vertices.filter(place == 3).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    added = pairs.join(net.vertices.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    kept = net.edges.filter((F.col("src") + F.col("dst")) % CHANGED_IN != 2)
+    edges = kept.unionByName(added).distinct()
+    deltas.write_step(Network(vertices, edges), base, 1, parent=0)
+    stays = [F.col(end) % CHANGED_IN != 4 for end in ("id", "src", "dst")]
+    deltas.write_step(Network(vertices.filter(stays[0]), edges.filter(stays[1] & stays[2])), base, 2, parent=1)
+    return base
+
+
+def delta_vertices(spark, sf_dir):
+    return deltas.read_step(spark, _kept_steps(spark, sf_dir), 2).vertices
+
+
+def delta_edges(spark, sf_dir):
+    return deltas.read_step(spark, _kept_steps(spark, sf_dir), 2).edges
+
+
+def delta_counts(spark, sf_dir):
+    return deltas.kept_counts(spark, _kept_steps(spark, sf_dir))
+
+
 def _foreign(spark, sf_dir) -> Network:
     """Headerless CSV as others write it: the status as 1.0, edges in any order and twice."""
     base = fresh_folder(spark, "foreign")
@@ -485,6 +534,8 @@ def queries() -> dict[str, Query]:
         "initial_edges": initial_edges,
         "missing_ranges": missing_ranges,
         "propose_links_skip": propose_links_skip,
+        "propose_links_chance": propose_links_chance,
+        "draw_links": draw_links,
         "vec_repeat": vec_repeat,
         "vec_apply_exp": vec_apply_exp,
         "vec_dot": two(fn=sparse.vec_dot, places=6),
@@ -520,6 +571,9 @@ def queries() -> dict[str, Query]:
         "snapshot_vertices": snapshot_vertices,
         "snapshot_edges_csv": snapshot_edges_csv,
         "observed_curve": observed_curve,
+        "delta_vertices": delta_vertices,
+        "delta_edges": delta_edges,
+        "delta_counts": delta_counts,
         "foreign_csv_vertices": foreign_csv_vertices,
         "foreign_csv_edges": foreign_csv_edges,
     }

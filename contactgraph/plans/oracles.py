@@ -11,6 +11,7 @@ from contactgraph.plans.catalog import (
     GRID_GAMMA,
     ILL_LABELS_IN,
     INFECTED_IN,
+    LINKS_IN,
     PAIRS_IN,
     QUOTA_STEP,
     RECOVERED_IN,
@@ -303,6 +304,72 @@ def _skip_links(v: str, e: str, seed) -> tuple[Ctes, str]:
     )
 
 
+_RANGES: Ctes = [
+    ("ids", "select id, row_number() over (order by id) idx from v"),
+    (
+        "marks",
+        "select id, idx s, idx t from ids union all select a.id, a.idx, b.idx"
+        " from e join ids a on a.id = src join ids b on b.id = dst",
+    ),
+    (
+        "gaps",
+        "select id src, t + 1 first, coalesce(lead(t) over (partition by s order by t) - 1,"
+        " (select count(*) from ids)) last from marks",
+    ),
+]
+
+
+def _drawn_numbers(m: str) -> Ctes:
+    """CTEs for the missing pairs numbered through and the first m different numbers drawn."""
+    number = f"cast(floor({_uniform(SEED, chr(39) + 'high' + chr(39), 'k')} * total) as bigint)"
+    return [
+        (
+            "placed",
+            "select src, first, last - first + 1 len, sum(last - first + 1) over (order by src, first)"
+            " - (last - first + 1) start from gaps where first <= last",
+        ),
+        ("size", "select sum(len) total from placed"),
+        ("draws", f"select k, {number} pos from (select unnest(range(4 * {m} + 64)) k), size"),
+        ("numbers", f"select pos from draws group by pos order by min(k) limit {m}"),
+    ]
+
+
+_NUMBERED_LINKS = (
+    "select src, id dst from numbers join placed on pos >= start and pos < start + len"
+    " join ids on idx = first + pos - start"
+)
+
+
+def _chances(links: str, seed) -> Ctes:
+    """CTEs for a Beta(alpha + 1, beta + sdf) chance of each link, see log_gamma_text."""
+    u = {t: f"(1 - {_uniform(seed, chr(39) + t + chr(39), 'tag', 'src', 'dst', 'k')})" for t in ("r", "angle", "accept")}
+    return [
+        ("links", links),
+        (
+            "shapes",
+            f"select 'a' tag, {_double(SPARSE_ALPHA + 1)} - cast(1 as double) / 3 d"
+            f" union all select 'b', {_double(SPARSE_BETA)} + {SPARSE_SDF} * n - cast(1 as double) / 3 from rate",
+        ),
+        (
+            "tries",
+            f"select *, sqrt(-2 * ln({u['r']})) * cos(2 * pi() * {u['angle']}) x, ln({u['accept']}) l"
+            f" from links, shapes, (select unnest(range(32)) k)",
+        ),
+        ("cubed", "select *, power(1 + x / sqrt(9 * d), 3) v from tries"),
+        (
+            "gammas",
+            "select src, dst, tag, any_value(d) * arg_min(v, k) g from cubed"
+            " where l < case when v > 0 then x * x / 2 + d * (1 - v + ln(v)) end group by src, dst, tag",
+        ),
+    ]
+
+
+_CHANCES = (
+    "select a.src, a.dst, round(a.g / (a.g + b.g), 9) chance from gammas a"
+    " join gammas b on a.src = b.src and a.dst = b.dst where a.tag = 'a' and b.tag = 'b'"
+)
+
+
 # curves
 
 _SUPPLIER_SCENARIOS: Ctes = [
@@ -524,24 +591,12 @@ def oracle_sql() -> dict[str, str]:
         "select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) idx from orders"
     )
     out["missing_ranges"] = _with(
-        [
-            *CUSTOMERS,
-            ("ids", "select id, row_number() over (order by id) idx from v"),
-            (
-                "marks",
-                "select id, idx s, idx t from ids union all select a.id, a.idx, b.idx"
-                " from e join ids a on a.id = src join ids b on b.id = dst",
-            ),
-            (
-                "gaps",
-                "select id src, t + 1 first, coalesce(lead(t) over (partition by s order by t) - 1,"
-                " (select count(*) from ids)) last from marks",
-            ),
-        ],
-        "select src, first, last from gaps where first <= last",
+        [*CUSTOMERS, *_RANGES], "select src, first, last from gaps where first <= last"
     )
+    out["draw_links"] = _with([*CUSTOMERS, *_RANGES, *_drawn_numbers(_part(LINKS_IN))], _NUMBERED_LINKS)
     drawn, links = _skip_links("v", "e", SEED)
     out["propose_links_skip"] = _with([*CUSTOMERS, *drawn], links, recursive=True)
+    out["propose_links_chance"] = _with([*CUSTOMERS, *drawn, *_chances(links, SEED)], _CHANCES, recursive=True)
 
     out["vec_repeat"] = (
         "select i, cast(0.25 as double) value"
@@ -667,6 +722,23 @@ def oracle_sql() -> dict[str, str]:
         "select step, count(*) filter (urgent = 0 and filled < n) n_s, count(*) filter (urgent > 0) n_i,"
         " count(*) filter (urgent = 0 and filled = n) n_r from held group by step",
     )
+    stays = f"{{}} % {CHANGED_IN} <> 4"
+    later: Ctes = [
+        *_CHANGED,
+        ("v2", f"select * from v where {stays.format('id')}"),
+        ("e2", f"select * from e where {stays.format('src')} and {stays.format('dst')}"),
+    ]
+    out["delta_vertices"] = _with(later, "select id, score, health_status from v2")
+    out["delta_edges"] = _with(later, "select src, dst from e2")
+    out["delta_counts"] = _with(
+        later,
+        " union all ".join(
+            f"select cast({k} as integer) step, count(*) filter (health_status = 0) n_s,"
+            f" count(*) filter (health_status = 1) n_i, count(*) filter (health_status = -1) n_r,"
+            f" (select count(*) from {e}) n_edges from {v}"
+            for k, (v, e) in enumerate((("v0", "e0"), ("v", "e"), ("v2", "e2")))
+        ),
+    )
     out["foreign_csv_vertices"], out["foreign_csv_edges"] = (
         out["snapshot_vertices"],
         out["snapshot_edges_csv"],
