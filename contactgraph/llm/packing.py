@@ -77,18 +77,24 @@ class WordIds:
         again = {w: self.older[w] for w in new if w in self.older}
         self.ids.update(again)
         new.difference_update(again)
-        split = {}
+        letters, rest, split = [], [], []
         for word in new:
+            if word.isalpha():  # bytes: ASCII letters alone
+                letters.append(word)
+                continue
             stem = word.rstrip(b".,!?;:#$%&*)")
-            if len(stem) < len(word) and stem.decode().isalpha():
-                split[word] = (stem, word[len(stem) :])
-        simple = new.difference(split).union(*map(set, split.values())).difference(self.ids)
-        letters = [w for w in simple if w.decode().isalpha()]
-        if letters and self._learn_letters(letters):
-            simple.difference_update(letters)
-        rest = list(simple)
+            if not (stem.isalpha() or stem.decode().isalpha()):
+                rest.append(word)
+            elif len(stem) == len(word):
+                letters.append(word)
+            else:
+                split.append((word, stem, word[len(stem) :]))
+        letters.extend({stem for _, stem, _ in split}.difference(self.ids, new))
+        rest.extend({tail for _, _, tail in split}.difference(self.ids, new))
+        if letters and not self._learn_letters(letters):
+            rest += letters
         self.ids.update(zip(rest, (i.tobytes() for i in self._encode([w.decode() for w in rest]))))
-        self.ids.update((w, self.ids[stem] + self.ids[tail]) for w, (stem, tail) in split.items())
+        self.ids.update((w, self.ids[stem] + self.ids[tail]) for w, stem, tail in split)
 
     def encode(self, texts: list[str | bytes | None]) -> list[bytes]:
         """Packed ids of each text, a string or its UTF-8 form, without special
