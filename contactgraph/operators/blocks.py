@@ -48,13 +48,18 @@ def _compressed(places: np.ndarray, cells: np.ndarray, side: int):
     return starts.astype(np.int32), (places % side).astype(np.int32), cells
 
 
-def to_blocks(a: SparseMat, side: int = SIDE) -> BlockMat:
-    """``a`` in blocks; entries stored under one index are summed."""
+def to_blocks(a: SparseMat, side: int = SIDE, coalesced: bool = False) -> BlockMat:
+    """``a`` in blocks; entries stored under one index are summed.
+
+    ``coalesced`` says that no index is stored twice, as after ``coalesce``, a product
+    or a grouping by both indices. Entries then go to their blocks as they come; to
+    sum them once more would hold a task's entries two more times."""
     _need(SparseMat, a)
     if side < 1 or side > 4_096:
         raise ValueError(f"side must be from 1 to 4096, got {side}")
-    # summed first, so that no block gathers more than side * side entries
-    entries = a.df.groupBy("i", "j").agg(F.sum("value").alias("value")).select(
+    # one entry per index, so that no block gathers more than side * side of them
+    once = a.df if coalesced else a.df.groupBy("i", "j").agg(F.sum("value").alias("value"))
+    entries = once.select(
         F.floor(F.col("i") / side).alias("bi"),
         F.floor(F.col("j") / side).alias("bj"),
         (F.pmod("i", F.lit(side)) * side + F.pmod("j", F.lit(side))).cast("int").alias("place"),

@@ -282,13 +282,13 @@ def mat_mul(spark, sf_dir, **options):
 
 def mat_mul_blocks(spark, sf_dir):
     sold = sparse.mat_transpose(tables.trade(spark, sf_dir, "l_tax"))
-    left, right = (blocks.to_blocks(m, BLOCK_SIDE) for m in (tables.trade(spark, sf_dir), sold))
+    left, right = (blocks.to_blocks(m, BLOCK_SIDE, coalesced=True) for m in (tables.trade(spark, sf_dir), sold))
     return _rounded(blocks.block_mul(left, right).df, 4, "value")
 
 
 def block_matrix(spark, sf_dir):
     """The purchases, turned, in blocks and back."""
-    laid = blocks.to_blocks(tables.purchases(spark, sf_dir))
+    laid = blocks.to_blocks(tables.purchases(spark, sf_dir), coalesced=True)
     return blocks.from_blocks(blocks.block_transpose(laid)).df
 
 

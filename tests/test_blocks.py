@@ -4,12 +4,14 @@ import random
 
 import numpy as np
 import pytest
-from networks import make
+from networks import make, plan_lines
 from pyspark.sql import functions as F
 
 from contactgraph.functions.ordering import first_k
 from contactgraph.operators import blocks, sparse, stored
 from contactgraph.operators.graph import walk_rank
+from contactgraph.plans import catalog
+from contactgraph.sources import tables
 
 
 def random_matrix(spark, rows, cols, n, seed, hot=None):
@@ -74,6 +76,20 @@ def test_blocks_of_odd_matrices(spark):
         blocks.block_mul(empty, empty)
 
 
+def test_coalesced_entries_are_not_summed_again(spark, small):
+    def sums(df):
+        return sum("HashAggregate" in line for line in plan_lines(df))
+
+    _, a = random_matrix(spark, 50, 33, 300, seed=8)
+    twice = sparse.SparseMat(a.df.union(a.df), 50, 33)
+    once = sparse.coalesce(twice)
+    laid = blocks.to_blocks(once, 16, coalesced=True)
+    assert sums(laid.df) == sums(once.df)
+    assert np.array_equal(dense_of(blocks.from_blocks(laid)), 2 * dense_of(a))
+    assert np.array_equal(dense_of(blocks.from_blocks(blocks.to_blocks(twice, 16))), 2 * dense_of(a))
+    assert sums(catalog.block_matrix(spark, small)) == sums(tables.purchases(spark, small).df)
+
+
 @pytest.mark.parametrize("hot_entries", [10, 1_000_000])
 def test_stored_matrices(spark, hot_entries):
     x, a = random_matrix(spark, 40, 60, 500, seed=5, hot=(slice(None), 3))
