@@ -19,6 +19,11 @@ from contactgraph.schema import (
     canonical_edges,
     conform,
 )
+from contactgraph.session import ROWS_PER_PARTITION, spread
+
+# More order lines than this are spread by count: a task sorts, joins and groups
+# them, which takes many times the bytes that adaptive coalescing goes by.
+MANY_LINES = 8 * ROWS_PER_PARTITION
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -236,6 +241,9 @@ def nation_balance(spark: SparkSession, sf_dir: str) -> SparseVec:
 
 def _order_lines(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", *cols)
+    rows = load(spark, sf_dir, "lineitem").count()
+    if rows > MANY_LINES:
+        lines = spread(lines, "l_orderkey", rows=rows)
     orders = load(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), "o_custkey"
     )

@@ -7,6 +7,7 @@ import pytest
 from networks import make, plan_lines
 from pyspark.sql import functions as F
 
+from contactgraph import session
 from contactgraph.functions.ordering import first_k
 from contactgraph.operators import blocks, sparse, stored
 from contactgraph.operators.graph import walk_rank
@@ -90,6 +91,21 @@ def test_coalesced_entries_are_not_summed_again(spark, small):
     assert sums(catalog.block_matrix(spark, small)) == sums(tables.purchases(spark, small).df)
 
 
+def test_many_order_lines_are_spread_by_count(spark, small, monkeypatch):
+    def spread_to(df):
+        return [line.split("(l_orderkey")[1].split("),")[0] for line in plan_lines(df) if "REPARTITION_BY_NUM" in line]
+
+    few = catalog.block_matrix(spark, small)
+    assert spread_to(few) == []
+    monkeypatch.setattr(tables, "MANY_LINES", 1_000)
+    monkeypatch.setattr(session, "ROWS_PER_PARTITION", 1_000)
+    many = catalog.block_matrix(spark, small)
+    lines = tables.load(spark, small, "lineitem").count()
+    (found,) = spread_to(many)
+    assert found.endswith(f", {-(-lines // 1_000)}")
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+
+
 @pytest.mark.parametrize("hot_entries", [10, 1_000_000])
 def test_stored_matrices(spark, hot_entries):
     x, a = random_matrix(spark, 40, 60, 500, seed=5, hot=(slice(None), 3))
